@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import queries_overlap
+from mnemospark.llm import queries_neardup, queries_overlap
 
-_MODULES = [queries_overlap]
+_MODULES = [queries_overlap, queries_neardup]
 
 
 def queries() -> dict:
