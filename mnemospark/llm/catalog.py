@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import queries_neardup, queries_overlap
+from mnemospark.llm import queries_conversations, queries_neardup, queries_overlap, queries_pii
 
-_MODULES = [queries_overlap, queries_neardup]
+_MODULES = [queries_overlap, queries_pii, queries_neardup, queries_conversations]
 
 
 def queries() -> dict:
