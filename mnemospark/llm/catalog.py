@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import queries_conversations, queries_neardup, queries_overlap, queries_pii
+from mnemospark.llm import queries_conversations, queries_encode, queries_neardup, queries_overlap, queries_pii
 
-_MODULES = [queries_overlap, queries_pii, queries_neardup, queries_conversations]
+_MODULES = [queries_overlap, queries_pii, queries_neardup, queries_conversations, queries_encode]
 
 
 def queries() -> dict:
