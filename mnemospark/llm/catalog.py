@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import queries_conversations, queries_encode, queries_neardup, queries_overlap, queries_pii
+from mnemospark.llm import queries_conversations, queries_encode, queries_mixing, queries_neardup, queries_overlap, queries_pii, queries_reading
 
-_MODULES = [queries_overlap, queries_pii, queries_neardup, queries_conversations, queries_encode]
+_MODULES = [queries_overlap, queries_pii, queries_neardup, queries_conversations, queries_encode, queries_mixing, queries_reading]
 
 
 def queries() -> dict:
