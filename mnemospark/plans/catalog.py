@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import orphans
+from mnemospark.plans import orphans, text
 
-_MODULES = [orphans]
+_MODULES = [text, orphans]
 
 
 def queries() -> dict:
