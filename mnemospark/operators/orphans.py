@@ -105,10 +105,11 @@ def orphan_references(references: DataFrame, parents: DataFrame, ranges: int | N
     """
     refs = references.select("source_table", "source_id", "field_name", "kind", normal_key("key").alias("key"), "seen_at").where("key IS NOT NULL")
     no_period = F.lit(1 << 30)
-    refs = refs.withColumn("period", F.coalesce(period_of(F.col("seen_at")), no_period))
+    # both sides are read several times: each is computed once
+    refs = checkpointed(refs.withColumn("period", F.coalesce(period_of(F.col("seen_at")), no_period)))
     held = parents.select("kind", normal_key("key").alias("key"), "first_at", "alive").where("key IS NOT NULL")
     # a parent that isn't alive is as good as none for the bitmaps; the reason is looked up for the survivors only
-    held = held.groupBy("kind", "key").agg(F.min("first_at").alias("first_at"), F.max("alive").alias("alive"))
+    held = checkpointed(held.groupBy("kind", "key").agg(F.min("first_at").alias("first_at"), F.max("alive").alias("alive")))
 
     # pre-aggregated: one row per key and period, however often a hot key is referred to
     wanted = refs.groupBy("kind", "key", "period").agg(F.lit(1).alias("one"))
