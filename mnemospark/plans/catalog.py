@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import orphans, text
+from mnemospark.plans import belief, orphans, text
 
-_MODULES = [text, orphans]
+_MODULES = [text, belief, orphans]
 
 
 def queries() -> dict:
