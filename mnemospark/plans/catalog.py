@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import belief, orphans, text
+from mnemospark.plans import belief, graph, orphans, text
 
-_MODULES = [text, belief, orphans]
+_MODULES = [text, belief, graph, orphans]
 
 
 def queries() -> dict:
