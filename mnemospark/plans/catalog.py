@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import belief, graph, orphans, text
+from mnemospark.plans import belief, experience, graph, orphans, text
 
-_MODULES = [text, belief, graph, orphans]
+_MODULES = [text, belief, graph, experience, orphans]
 
 
 def queries() -> dict:
