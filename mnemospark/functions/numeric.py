@@ -36,7 +36,9 @@ def weakened(confidence: Column | str, rate: float) -> Column:
 
 
 def clamped(value: Column | str) -> Column:
-    return F.nanvl(F.least(F.greatest(column(value), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    """Into [0, 1]; NaN, which Spark orders above all numbers, becomes 0."""
+    c = column(value)
+    return F.when(F.isnan(c), 0.0).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def frequency_confidence(count: Column | str, most: float = POLICY["max_confidence"], saturation: float = POLICY["saturation"]) -> Column:

@@ -151,7 +151,7 @@ def scope_kind(key: Column | str) -> Column:
 
 def fnv1a(term: Column | str) -> Column:
     """32-bit FNV-1a over the code points of a term, as BIGINT."""
-    points = F.transform(F.split(column(term), ""), lambda c: F.ascii(c).cast("bigint"))
+    points = F.transform(F.filter(F.split(column(term), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
     return F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 

@@ -28,12 +28,12 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 def recall_cues(spark: SparkSession, d: str) -> DataFrame:
     c = Q.recalled_cues(_requests(spark, d), records(spark, d), nodes(spark, d), _edges(spark, d), NOW)
-    return c.select("query_id", "kind", "id", F.round("score", 8).alias("score"), "rk")
+    return c.select("query_id", "kind", "id", F.round("score", 6).alias("score"), "rk")
 
 
 def recall_diverse(spark: SparkSession, d: str) -> DataFrame:
     c = Q.recall(_requests(spark, d), records(spark, d), nodes(spark, d), _edges(spark, d), NOW)
-    return c.select("query_id", "kind", "id", F.round("score", 8).alias("score"), "rk", "pick", "truncated")
+    return c.select("query_id", "kind", "id", F.round("score", 6).alias("score"), "rk", "pick", "truncated")
 
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def skill_search(spark: SparkSession, d: str) -> DataFrame:
     """Every hundredth document asks the active skills."""
     active = skills(spark, d).where("status = 'active'")
     hits = X.skill_search(_asked(spark, d), active, 4)
-    return hits.select("query_id", "id", F.round("score", 8).alias("score"), "rk")
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rk")
 
 
 def skill_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -280,8 +280,8 @@ fin AS (SELECT query_id, arg_max(kept, rk) AS kept, max(rk) AS n FROM walk GROUP
     greedy = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM {lines}), w AS (SELECT scope, CAST(0 AS BIGINT) AS rk, CAST(150 AS BIGINT) AS room, false AS took FROM (SELECT DISTINCT scope FROM x)
 UNION ALL SELECT w.scope, x.rk, CASE WHEN len <= room THEN room - len ELSE room END, len <= room FROM w JOIN x ON x.scope = w.scope AND x.rk = w.rk + 1) SELECT scope, rk FROM w WHERE took"""
     return {
-        "recall_cues": f"{_recall_sql()} SELECT query_id, kind, id, round(score, 8) AS score, rk FROM cues",
-        "recall_diverse": f"{_recall_sql()}, {walk} SELECT c.query_id, kind, id, round(score, 8) AS score, c.rk, p.pick, n > len(kept) AS truncated FROM (SELECT query_id, kept, n, unnest(kept) AS rk, generate_subscripts(kept, 1) AS pick FROM fin) p JOIN cues c ON c.query_id = p.query_id AND c.rk = p.rk",
+        "recall_cues": f"{_recall_sql()} SELECT query_id, kind, id, round(score, 6) AS score, rk FROM cues",
+        "recall_diverse": f"{_recall_sql()}, {walk} SELECT c.query_id, kind, id, round(score, 6) AS score, c.rk, p.pick, n > len(kept) AS truncated FROM (SELECT query_id, kept, n, unnest(kept) AS rk, generate_subscripts(kept, 1) AS pick FROM fin) p JOIN cues c ON c.query_id = p.query_id AND c.rk = p.rk",
         "episode_steps": f"SELECT tool, role, execution, count(*) AS steps, count(*) FILTER (complete) AS complete, count(DISTINCT id) AS episodes FROM {step} GROUP BY ALL",
         "quote_checks": f"""WITH q AS (SELECT id, any_value({S.key('episode_id')}) AS episode_id, any_value({S.key('event_id')}) AS event_id, any_value(quote) AS quote FROM evidence_quotes GROUP BY id), s AS (SELECT id AS episode_id, lower(trim(event_id)) AS event_id, any_value(observation) AS o FROM {step} WHERE event_id IS NOT NULL GROUP BY ALL)
 SELECT q.id, q.episode_id, q.event_id, CASE WHEN o IS NULL THEN NULL WHEN instr(o, quote) > 0 THEN 'exact' WHEN instr(regexp_replace(o, '\\s+', '', 'g'), regexp_replace(quote, '\\s+', '', 'g')) > 0 THEN 'white_space' ELSE 'absent' END AS match, CASE WHEN instr(o, quote) > 0 THEN instr(o, quote) END AS start FROM q LEFT JOIN s ON q.episode_id = s.episode_id AND q.event_id = s.event_id""",
@@ -294,7 +294,7 @@ SELECT id, count(*) AS families, count(*) FILTER (ok) AS supporting, round(avg(w
         "conflict_pairs": f"WITH k AS MATERIALIZED (SELECT id, scope, lower(title) AS t, array_to_string(list_sort(list_distinct(coalesce(required_tools, []))), ',') AS tools, kind, coalesce(array_to_string(procedure_steps, chr(10)), '') AS p FROM {sk}) SELECT a.id AS id_a, b.id AS id_b, a.kind <> b.kind AS other_kind FROM k a JOIN k b ON a.scope = b.scope AND a.t = b.t AND a.tools = b.tools AND a.id < b.id WHERE a.kind <> b.kind OR a.p <> b.p",
         "source_manifest": f"WITH RECURSIVE {fam}, c AS (SELECT DISTINCT k.id, family FROM (SELECT id, unnest(episode_ids) AS ep FROM {sk}) k JOIN fam ON fam.id = k.ep), m AS (SELECT c.id, e.session_id, e.id AS ep, e.evidence FROM c JOIN fam USING (family) JOIN e ON e.id = fam.id), x AS (SELECT id, session_id, ep, unnest(CASE WHEN len(evidence) > 0 THEN evidence ELSE [NULL] END) AS v FROM m) SELECT id, session_id, count(DISTINCT ep) AS episodes, count(DISTINCT v) AS evidence FROM x GROUP BY ALL",
         "checkpoint_latest": f"WITH e AS MATERIALIZED (SELECT * FROM {ep}) SELECT session_id, id, completed_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS k FROM e WHERE session_id IS NOT NULL AND id NOT IN (SELECT derived_from FROM e WHERE derived_from IS NOT NULL)) WHERE k = 1",
-        "skill_search": f"WITH {docs}, sd AS MATERIALIZED (SELECT id AS doc_id, confidence, {S.tokenize(text)} AS terms FROM {sk} WHERE status = 'active'), {bm25_sql('asked', 'sd')}, p AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc), h AS (SELECT query_id, doc_id AS id, confidence / (60 + pos) AS score FROM p JOIN sd USING (doc_id)) SELECT query_id, id, round(score, 8) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rk FROM h) WHERE rk <= 4",
+        "skill_search": f"WITH {docs}, sd AS MATERIALIZED (SELECT id AS doc_id, confidence, {S.tokenize(text)} AS terms FROM {sk} WHERE status = 'active'), {bm25_sql('asked', 'sd')}, p AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc), h AS (SELECT query_id, doc_id AS id, confidence / (60 + pos) AS score FROM p JOIN sd USING (doc_id)) SELECT query_id, id, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rk FROM h) WHERE rk <= 4",
         "skill_markdown": f"""SELECT id, '---' || chr(10) || 'name: experience-' || left(sha256(id), 32) || chr(10) || 'description: "' || regexp_replace(coalesce(description, ''), '(["\\\\])', '\\\\\\1', 'g') || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(description, '') || chr(10) || chr(10) || 'Status: ' || status || '; version: ' || version || '; kind: ' || kind || '.' || chr(10) || chr(10) || 'Scope: ' || scope || chr(10) || {section('Applicability', 'applicability')} || {section('Required tools', 'required_tools')} || {section('Procedure', 'procedure_steps')} || {section('Cautions', 'cautions')} || {section('Verification', 'verification')} || {section('Source episodes', 'episode_ids')} AS markdown FROM {sk}""",
         "step_sampling": f"SELECT id, len(steps) AS steps, array_to_string(CASE WHEN len(steps) <= 3 THEN range(0, len(steps)) ELSE [0, (len(steps) - 1) // 2, len(steps) - 1] END, ',') AS picks FROM {ep} WHERE steps IS NOT NULL",
         "overlapping_episodes": f"SELECT id, session_id, busy_until FROM (SELECT *, max(completed_at) OVER (PARTITION BY session_id ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {ep} WHERE session_id IS NOT NULL AND started_at IS NOT NULL) WHERE busy_until > started_at",
