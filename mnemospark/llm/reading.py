@@ -251,9 +251,10 @@ class ReadingLevels:
 
 def reading_levels(documents: DataFrame, labels: DataFrame, most_fitted: int = MOST_FITTED) -> DataFrame:
     """Reading level of every document: doc_id, text, perhaps group_name (the language, say) and other columns, which
-    are kept. Null texts come out with null levels; repeated documents come out as often as they go in. See
-    ``ReadingLevels``.
+    are kept unless they are named as a result column. Null texts come out with null levels; repeated documents come out
+    as often as they go in; an empty table gives an empty result. See ``ReadingLevels``.
     """
+    documents = documents.drop("score", "surprisal_mean", "surprisal_sd", "surprisal_p90", "n_words", "level_score", "reading_level")
     fitted = ReadingLevels.fit(documents, labels, most_fitted)
     known = fitted.levels(documents.where("text IS NOT NULL"))
     none = documents.where("text IS NULL").drop("text", "group_name")
