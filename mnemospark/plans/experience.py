@@ -17,7 +17,7 @@ from mnemospark.operators.views import current_versions, latest
 from mnemospark.plans import sqltext as S
 from mnemospark.plans.belief import NOW, decay_sql, edges, nodes, records
 from mnemospark.plans.graph import _edges
-from mnemospark.plans.text import _asked, _docs, _vectors, bm25_sql
+from mnemospark.plans.text import _asked, _vectors, asked_and_documents, bm25_sql
 from mnemospark.runtime import table
 
 
@@ -150,7 +150,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Document hits of each query kept once per scope and ranked again."""
     scope = table(spark, d, "documents").select("doc_id", "scope")
-    best = R.top(R.bm25(_asked(spark, d), _docs(spark, d)), ["query_id"], 50, "doc_id").join(scope, "doc_id")
+    best = R.top(R.bm25(*asked_and_documents(spark, d)), ["query_id"], 50, "doc_id").join(scope, "doc_id")
     return E.keep_first(best, ["query_id"], "scope").where("rk <= 10").select("query_id", "scope", "rk")
 
 

@@ -9,7 +9,7 @@ from mnemospark.functions import text as X
 from mnemospark.operators import ranking as R
 from mnemospark.operators.views import first_arrivals
 from mnemospark.plans import sqltext as S
-from mnemospark.runtime import table
+from mnemospark.runtime import checkpointed, table
 
 #: A literal multilingual request, for the queries with one cue.
 CUE = "compare the shared archive with Dienstag sessions 快照 and historial"
@@ -24,6 +24,12 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
 
 
+def asked_and_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The query set and all documents with their terms, extracted once: matches and statistics read them several times."""
+    docs = checkpointed(_docs(spark, d))
+    return docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), docs
+
+
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
 
@@ -96,12 +102,12 @@ def source_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.range(1).select(F.lit(1).alias("query_id"), X.tokenize(F.lit(CUE)).alias("terms"))
-    best = R.top(R.bm25(asked, _docs(spark, d)), ["query_id"], 10, "doc_id")
+    best = R.top(R.bm25(asked, checkpointed(_docs(spark, d))), ["query_id"], 10, "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"), "rk", F.round(1 / (60 + F.col("rk")), 9).alias("rank_score"))
 
 
 def bm25_multiquery(spark: SparkSession, d: str) -> DataFrame:
-    best = R.top(R.bm25(_asked(spark, d), _docs(spark, d)), ["query_id"], 10, "doc_id")
+    best = R.top(R.bm25(*asked_and_documents(spark, d)), ["query_id"], 10, "doc_id")
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rk")
 
 
@@ -133,7 +139,7 @@ def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and recency rankings of the documents fused per query, best ten."""
     docs = table(spark, d, "documents").select("doc_id", "created_at")
-    lexical = R.top(R.bm25(_asked(spark, d), _docs(spark, d)), ["query_id"], 50, "doc_id").select("query_id", "doc_id", "rk")
+    lexical = R.top(R.bm25(*asked_and_documents(spark, d)), ["query_id"], 50, "doc_id").select("query_id", "doc_id", "rk")
     recent = R.ranked(lexical.join(docs, "doc_id"), ["query_id"], [F.col("created_at").desc_nulls_last(), F.col("doc_id")], "recent").select("query_id", "doc_id", F.col("recent").alias("rk"))
     lists = lexical.select("*", F.lit(0).alias("list_no"), F.lit(1.0).alias("weight")).unionByName(recent.select("*", F.lit(1).alias("list_no"), F.lit(0.25).alias("weight")))
     fused = R.reciprocal_rank_fusion(lists, ["query_id"], "doc_id")
@@ -148,14 +154,15 @@ def interleave_parts(spark: SparkSession, d: str) -> DataFrame:
     """A multi-part cue: the whole cue's list and each part's are merged seat by seat, best 20."""
     parts = spark.range(1).select(F.posexplode(F.concat(F.array(F.lit(_PARTS)), X.split_cue(F.lit(_PARTS)))).alias("list_no", "part"))
     asked = parts.select(F.col("list_no").alias("query_id"), X.tokenize("part").alias("terms"))
-    lists = R.top(R.bm25(asked, _docs(spark, d)), ["query_id"], 20, "doc_id").select(F.lit(1).alias("cue"), F.col("query_id").alias("list_no"), "doc_id", "rk")
+    lists = R.top(R.bm25(asked, checkpointed(_docs(spark, d))), ["query_id"], 20, "doc_id").select(F.lit(1).alias("cue"), F.col("query_id").alias("list_no"), "doc_id", "rk")
     return R.interleave(lists, ["cue"], "doc_id").where("rk <= 20").select("doc_id", "rk")
 
 
 def diversify_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best 40 documents of each query, cut to 8 that don't restate one another."""
-    best = R.top(R.bm25(_asked(spark, d), _docs(spark, d)), ["query_id"], 40, "doc_id").select("query_id", "doc_id", "rk")
-    cues = best.join(_docs(spark, d), "doc_id").select("query_id", F.col("doc_id").alias("id"), "rk", "terms")
+    asked, docs = asked_and_documents(spark, d)
+    best = R.top(R.bm25(asked, docs), ["query_id"], 40, "doc_id").select("query_id", "doc_id", "rk")
+    cues = best.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "rk", "terms")
     return R.diversify(cues, ["query_id"], 8, 0.3).select("query_id", F.col("id").alias("doc_id"), "rk", "pick")
 
 
