@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mnemospark.llm.words import slices
+
 #: Folder of the vocabulary files; a parameter of every operator.
 TOKENIZERS = os.environ.get("MNEMOSPARK_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the split pattern of the byte-level BPE vocabularies.
@@ -129,7 +131,8 @@ def _batches(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Itera
     encoder = ChunkEncoder(name, folder)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        yield batch, *encoder(texts)
+        parts = [encoder(texts[s]) for s in slices(texts)]
+        yield batch, np.concatenate([np.array([], np.int32), *(ids for ids, _ in parts)]), np.concatenate([np.array([], np.int64), *(n for _, n in parts)])
 
 
 def encode_texts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, key: str = "doc_id") -> DataFrame:

@@ -15,9 +15,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_token_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of every token id in the corpus, and the documents that hold it."""
-    ids = p6_ids(spark, d).select("doc_id", F.explode("ids").alias("token_id"))
-    per_document = ids.groupBy("doc_id", "token_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_document.groupBy("token_id").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+    mark = lambda ids, first: F.transform(ids, lambda t: F.struct(t.alias("token_id"), F.lit(first).alias("first")))
+    # one pass: each id once per occurrence and once per document; sums are combined before the shuffle
+    marked = p6_ids(spark, d).select(F.explode(F.concat(mark("ids", 0), mark(F.array_distinct("ids"), 1))).alias("m")).select("m.*")
+    return marked.groupBy("token_id").agg(F.sum(1 - F.col("first")).alias("occurrences"), F.sum("first").alias("documents"))
 
 
 def queries() -> dict:

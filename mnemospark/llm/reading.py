@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.words import slices
 from mnemospark.runtime import checkpointed
 
 #: Counts of each n-gram order are hashed into so many buckets, whatever the vocabulary: the models take 3 MB.
@@ -149,7 +150,7 @@ def train_counts(rated: DataFrame) -> np.ndarray:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         tokens, sums = Tokens(), np.zeros((2, 2, ORDERS, BUCKETS), np.float32)
-        for frame in frames:
+        for frame in (f.iloc[s] for f in frames for s in slices(f["text"].tolist())):
             words, sizes = tokens(frame["text"])
             buckets = ngram_buckets(words, sizes)
             hard = np.repeat(hardness(frame["level"].to_numpy()), sizes)
@@ -189,7 +190,7 @@ def _score(documents: DataFrame, models: list[Model], model_of: str) -> DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         tokens, own = Tokens(), [Model(c) for c in shared.value]
-        for frame in frames:
+        for frame in (f.iloc[s] for f in frames for s in slices(f["text"].tolist())):
             for number, part in frame.groupby(model_of, sort=False):
                 described = own[int(number)].describe(*tokens(part["text"]))
                 described.index = part.index

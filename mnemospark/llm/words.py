@@ -24,6 +24,18 @@ def words_of(text: str | None) -> list[str]:
     return _RUN.findall(text.lower())
 
 
+def slices(texts: list[str | None], most: int = 2_000_000) -> Iterable[slice]:
+    """Slices of texts of about ``most`` characters each, so that work arrays stay small however long the texts are."""
+    begin = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= most:
+            yield slice(begin, i + 1)
+            begin, chars = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 class WordHashes:
     """64-bit hashes of words; those seen before are kept, up to a bound."""
 
