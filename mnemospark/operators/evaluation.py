@@ -75,3 +75,48 @@ def as_of(versions: DataFrame, cutoffs: list, at: str = "stored_at") -> DataFram
     seen = versions.withColumn("cutoff", F.explode(F.filter(points, lambda c: c >= F.col(at).cast("timestamp"))))
     rank = F.row_number().over(Window.partitionBy("cutoff", "id").orderBy(F.col("version").desc(), "ord"))
     return seen.withColumn("__rank", rank).where("__rank = 1 AND op = 'put'").drop("__rank")
+
+
+def keyword_judgement(answers: DataFrame) -> DataFrame:
+    """Adds countable (keywords the question doesn't already hold), hits and passed. answers: question, answer, keywords."""
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    countable = F.filter("keywords", lambda k: ~F.contains(q, k))
+    hits = F.filter(countable, lambda k: F.contains(a, k))
+    return answers.select("*", F.size(countable).alias("countable"), F.size(hits).alias("hits"), (F.size(hits) > 0).alias("passed"))
+
+
+def random_floor(queries: DataFrame, items: DataFrame, limit: int, slots: int = 1 << 20) -> DataFrame:
+    """query_id, item, rk: ``limit`` items per query, reproducibly at random — a floor for retrieval scores.
+
+    Every item sits in one of the slots by hash; a query draws a run of slots from a hashed start and takes the first
+    items it meets. No query looks at more than the slots of its run, so queries x items are never paired.
+
+    queries: query_id; items: item. With fewer items than asked for, all come out.
+    """
+    n = max(1, items.count())
+    width = min(slots, max(1, -(-slots * (limit * 8 + 64) // n)))
+    cell = max(1, width)
+    cells = -(-slots // cell)
+    placed = items.select("item", F.pmod(F.xxhash64("item"), F.lit(slots)).alias("slot")).withColumn("cell", F.floor(F.col("slot") / cell))
+    begin = F.pmod(F.xxhash64(F.lit(11), "query_id"), F.lit(slots))
+    runs = queries.select("query_id", begin.alias("begin"))
+    spans = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(min(1, cells - 1))))).withColumn("cell", F.pmod(F.floor(F.col("begin") / cell) + F.col("k"), F.lit(cells)))
+    met = placed.join(spans, "cell").withColumn("far", F.pmod(F.col("slot") - F.col("begin"), F.lit(slots)))
+    order = Window.partitionBy("query_id").orderBy("far", "item")
+    return met.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= limit).select("query_id", "item", "rk")
+
+
+def visible_counts(events: DataFrame, forgets: DataFrame, tasks: DataFrame) -> DataFrame:
+    """task_id, visible: events of the task's episode up to its cutoff that weren't forgotten by then.
+
+    events: episode, seq, id; forgets: episode, seq, target (an event id); tasks: episode, cutoff, task_id. A running sum
+    over events (+1), their ends (-1) and tasks (0) in order of seq replaces the range join.
+    """
+    ends = forgets.groupBy("episode", F.col("target").alias("id")).agg(F.min("seq").alias("end"))
+    known = events.select("episode", "seq", "id").join(ends, ["episode", "id"], "left")
+    none = F.lit(None).cast(dict(tasks.dtypes)["task_id"])
+    plus = known.select("episode", F.col("seq").alias("at"), F.lit(1).alias("d"), F.lit(0).alias("kind"), none.alias("task_id"))
+    minus = known.where("end IS NOT NULL").select("episode", F.greatest("seq", "end").alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("kind"), none.alias("task_id"))
+    asked = tasks.select("episode", F.col("cutoff").alias("at"), F.lit(0).alias("d"), F.lit(1).alias("kind"), "task_id")
+    order = Window.partitionBy("episode").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return plus.unionByName(minus).unionByName(asked).withColumn("visible", F.sum("d").over(order)).where("kind = 1").select("task_id", "visible")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import belief, experience, graph, orphans, text
+from mnemospark.plans import belief, experience, graph, orphans, rendering, text
 
-_MODULES = [text, belief, graph, experience, orphans]
+_MODULES = [text, belief, graph, experience, rendering, orphans]
 
 
 def queries() -> dict:

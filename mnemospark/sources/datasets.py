@@ -115,3 +115,52 @@ def write_predictions(answers: DataFrame, path: str) -> None:
 def write_documents(documents: DataFrame, path: str) -> None:
     """id, markdown as one text file a partition, documents separated by a blank line."""
     documents.orderBy("id").select(F.concat("markdown", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+_OFFICE = """task_id string, subtasks array<string>, chat_sessions_info struct<sessions:array<struct<session:string,date:string,user_requests:array<string>>>>,
+memory_dependency struct<memory_chains:array<struct<subtask_index:int,related_memories:array<struct<date:string,text:string>>>>>"""
+
+
+def artefact(subtask: Column | str) -> Column:
+    """The header a subtask names, quoted or capitalised, in lower case; null if none."""
+    c = F.col(subtask) if isinstance(subtask, str) else subtask
+    quoted = F.regexp_extract(c, r"(?:new header(?: named)?|header)\s+'([^']+)'", 1)
+    bare = F.regexp_extract(c, r"(?:new header(?: named)?|header)\s+([A-Z][\w ]*?)(?:,|\s+in\b|\s+to\b|$)", 1)
+    name = F.lower(F.trim(F.when(quoted != "", quoted).otherwise(bare)))
+    return F.when(name != "", name)
+
+
+def office_memory(spark: SparkSession, path: str, grounded: bool) -> tuple[DataFrame, DataFrame]:
+    """Task files with chat sessions and cited memories. A text is one document, its first place counts.
+
+    Gold: the cited memories of the subtask, or (grounded) every document that names the subtask's artefact.
+    """
+    rows = spark.read.schema(_OFFICE).json(path, multiLine=True)
+    s = rows.select("task_id", F.posexplode("chat_sessions_info.sessions").alias("n", "s")).select("task_id", "n", F.concat_ws("@", "s.session", "s.date").alias("session"), F.col("s.date").alias("date"), F.posexplode("s.user_requests").alias("p", "text"))
+    said = s.select("task_id", F.concat_ws("#", "session", F.col("p").cast("string")).alias("id"), "session", (F.col("n") + 1).alias("turn"), "text", "date", F.lit(0).alias("part"), (F.col("n") * 100_000 + F.col("p")).alias("place"))
+    m = rows.select("task_id", F.posexplode("memory_dependency.memory_chains").alias("n", "c")).select("task_id", "n", F.posexplode("c.related_memories").alias("p", "m"))
+    cited = m.select("task_id", F.concat(F.lit("cited@"), F.col("m.date"), F.lit("#"), F.left("m.text", F.lit(24))).alias("id"), F.concat(F.lit("cited@"), F.col("m.date")).alias("session"), F.lit(None).cast("int").alias("turn"), F.col("m.text").alias("text"), F.col("m.date").alias("date"), F.lit(1).alias("part"), (F.col("n") * 100_000 + F.col("p")).alias("place"))
+    first = F.row_number().over(Window.partitionBy("task_id", "text").orderBy("part", "place"))
+    documents = said.unionByName(cited).withColumn("k", first).where("k = 1")
+    out = documents.select(F.col("task_id").alias("corpus"), "id", "session", "turn", F.lit("user").alias("role"), "text", _ms(F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))).alias("at"))
+    asked = rows.select(F.col("task_id").alias("corpus"), F.posexplode("subtasks").alias("no", "query"))
+    if grounded:
+        named = asked.withColumn("artefact", artefact("query")).where("artefact IS NOT NULL")
+        hits = named.join(out.select("corpus", F.col("id").alias("doc"), F.lower("text").alias("low")), "corpus").where("instr(low, artefact) > 0").select("corpus", "no", "doc")
+    else:
+        chains = rows.select(F.col("task_id").alias("corpus"), F.explode("memory_dependency.memory_chains").alias("c")).select("corpus", F.col("c.subtask_index").alias("no"), F.explode("c.related_memories.text").alias("text"))
+        hits = chains.join(out.select("corpus", "text", F.col("id").alias("doc")), ["corpus", "text"]).select("corpus", "no", "doc")
+    gold = hits.groupBy("corpus", "no").agg(F.array_sort(F.collect_set("doc")).alias("gold"))
+    tasks = asked.join(gold, ["corpus", "no"]).select("corpus", F.concat_ws(":", "corpus", F.col("no").cast("string")).alias("id"), F.lit("office").alias("category"), "query", F.lit(None).cast("string").alias("answer"), "gold")
+    return out, tasks
+
+
+def selected_tasks(spark: SparkSession, directory: str, selection: str) -> DataFrame:
+    """domain, id, instruction of the task files examples/<domain>/<id>.json that a selection (domain -> ids) names."""
+    import json
+
+    text = "\n".join(r[0] for r in spark.read.text(selection).collect())  # a hand-made list of task ids
+    chosen = [(d, i) for d, ids in json.loads(text).items() for i in ids]
+    paths = [f"{directory}/examples/{d}/{i}.json" for d, i in chosen]
+    files = spark.read.schema("id string, instruction string").json(paths, multiLine=True)
+    return files.join(spark.createDataFrame(chosen, "domain string, id string"), "id").select("domain", "id", "instruction")
