@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.numeric import POLICY, decayed, reinforced, weakened
+from mnemospark.operators.capture import running_count
 from mnemospark.operators.views import latest
 
 
@@ -38,16 +39,17 @@ def profile(nodes: DataFrame, now: int, limit: int = POLICY["profile_limit"], ty
 
 
 def folded_support(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Support of each key from its observations (evidence ARRAY, session_id, at): the sequential fold as one aggregate.
+    """Support of each key from its observations (evidence ARRAY, session_id, at, ord): the sequential fold as aggregates.
 
     The first observation creates the belief, every later one reinforces it; an observation adds the evidence not seen
-    before. observations, reinforcements, sessions, first_seen_at, last_seen_at, evidence (distinct, by first citation).
+    before. keys, observations (distinct evidence), reinforcements, sessions, first_seen_at, last_seen_at, first_evidence.
+    Evidence is counted per (key, id) first, so a key with any number of observations is never gathered.
     """
-    rows = observations.select(*keys, "at", "ord", "session_id", F.posexplode_outer("evidence").alias("pos", "id"))
+    rows = observations.select(*keys, "at", "ord", F.posexplode_outer("evidence").alias("pos", "id"))
     firsts = rows.where("id IS NOT NULL").groupBy(*keys, "id").agg(F.min(F.struct("at", "ord", "pos")).alias("first"))
-    cited = firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "id"))), lambda x: x["id"]).alias("evidence"))
+    cited = firsts.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.min_by("id", "first").alias("first_evidence"))
     whole = observations.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("reinforcements"), F.count_distinct("session_id").alias("sessions"), F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"))
-    return whole.join(cited, keys, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))).withColumn("observations", F.size("evidence").cast("bigint"))
+    return whole.join(cited, keys, "left").na.fill(0, ["observations"])
 
 
 def reinforce(nodes: DataFrame, signals: DataFrame, reinforcement: float = POLICY["reinforcement_rate"], contradiction: float = POLICY["contradiction_rate"]) -> DataFrame:
@@ -107,13 +109,13 @@ def retired(beliefs: DataFrame, now: int, floor: float = POLICY["retirement_floo
 def evicted(records: DataFrame, beliefs: list[DataFrame], budget: int) -> DataFrame:
     """Records over each scope's budget: the oldest ones that no belief's evidence cites.
 
-    A scope of any size is ranked by range: overflow counts come from an aggregate, then (created_at, ord) is ranked
-    only in scopes over the budget.
+    The order within a scope is counted over day buckets, so a scope of any size is spread over tasks.
     """
     over = records.groupBy("scope").agg((F.count(F.lit(1)) - budget).alias("overflow")).where("overflow > 0")
     cited = beliefs[0].select("scope", F.explode("evidence").alias("id"))
     for more in beliefs[1:]:
         cited = cited.unionByName(more.select("scope", F.explode("evidence").alias("id")))
     free = records.join(over, "scope").join(cited.distinct(), ["scope", "id"], "left_anti")
-    order = Window.partitionBy("scope").orderBy("created_at", "ord")
-    return free.withColumn("rk", F.row_number().over(order)).where("rk <= overflow").drop("rk", "overflow")
+    marked = free.withColumn("__one", F.lit(1)).withColumn("__day", F.floor(F.col("created_at") / 86_400_000))
+    placed = running_count(marked, ["scope"], "__day", ["created_at", "ord"], "__one", "rk")
+    return placed.where("rk <= overflow").drop("rk", "overflow", "__one", "__day")

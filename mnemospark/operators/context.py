@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import is_correction, similarity, tokenize, topic_terms
-from mnemospark.operators.views import latest
+from mnemospark.operators.views import folded_in_blocks, latest
 
 
 def companions(records: DataFrame) -> DataFrame:
@@ -74,9 +74,12 @@ def resolved_labels(edges: DataFrame, fresh: DataFrame, nodes: DataFrame) -> Dat
 
 
 def running_budget(lines: DataFrame, by: list[str], room: int) -> DataFrame:
-    """Lines (by, rk, length) that fit a character budget: stops at the first overflow; a separator costs one."""
+    """Lines (by, rk, length) that fit a character budget: stops at the first overflow; a separator costs one.
+
+    As every line costs at least one, lines beyond rank room + 1 can't fit and are left out before the sum.
+    """
     total = F.sum(F.col("length") + 1).over(Window.partitionBy(*by).orderBy("rk").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("used", total - 1).where(F.col("used") <= room)
+    return lines.where(F.col("rk") <= room + 1).withColumn("used", total - 1).where(F.col("used") <= room)
 
 
 def greedy_budget(items: DataFrame, by: list[str], room: int) -> DataFrame:
@@ -88,7 +91,7 @@ def greedy_budget(items: DataFrame, by: list[str], room: int) -> DataFrame:
         taken = F.struct((acc["left"] - x["length"]).alias("left"), F.concat(acc["kept"], F.array(x["rk"])).alias("kept"))
         return F.when(fits, taken).otherwise(acc)
 
-    rows = items.select(*by, F.struct(F.col("rk").cast("int").alias("rk"), F.col("length").cast("bigint").alias("length")).alias("x"))
+    rows = items.select(*by, F.col("rk").cast("int").alias("rk"), F.col("length").cast("bigint").alias("length"))
     start = F.struct(F.lit(room).cast("bigint").alias("left"), F.array().cast("array<int>").alias("kept")).cast(kind)
-    walked = rows.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list("x")), start, step).alias("acc"))
-    return walked.select(*by, F.explode("acc.kept").alias("rk"))
+    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "length"), start, step, F.col("state.left") > 0)
+    return walked.select(*by, F.explode("state.kept").alias("rk"))

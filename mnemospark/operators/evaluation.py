@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.capture import running_count
+
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per query: gold size, reciprocal rank, and recall, hit and nDCG at each cutoff.
@@ -106,11 +108,11 @@ def random_floor(queries: DataFrame, items: DataFrame, limit: int, slots: int =
     return met.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= limit).select("query_id", "item", "rk")
 
 
-def visible_counts(events: DataFrame, forgets: DataFrame, tasks: DataFrame) -> DataFrame:
+def visible_counts(events: DataFrame, forgets: DataFrame, tasks: DataFrame, bucket: int = 1000) -> DataFrame:
     """task_id, visible: events of the task's episode up to its cutoff that weren't forgotten by then.
 
     events: episode, seq, id; forgets: episode, seq, target (an event id); tasks: episode, cutoff, task_id. A running sum
-    over events (+1), their ends (-1) and tasks (0) in order of seq replaces the range join.
+    over events (+1), their ends (-1) and tasks (0) in order of seq replaces the range join; it runs over buckets of seq.
     """
     ends = forgets.groupBy("episode", F.col("target").alias("id")).agg(F.min("seq").alias("end"))
     known = events.select("episode", "seq", "id").join(ends, ["episode", "id"], "left")
@@ -118,5 +120,5 @@ def visible_counts(events: DataFrame, forgets: DataFrame, tasks: DataFrame) -> D
     plus = known.select("episode", F.col("seq").alias("at"), F.lit(1).alias("d"), F.lit(0).alias("kind"), none.alias("task_id"))
     minus = known.where("end IS NOT NULL").select("episode", F.greatest("seq", "end").alias("at"), F.lit(-1).alias("d"), F.lit(0).alias("kind"), none.alias("task_id"))
     asked = tasks.select("episode", F.col("cutoff").alias("at"), F.lit(0).alias("d"), F.lit(1).alias("kind"), "task_id")
-    order = Window.partitionBy("episode").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return plus.unionByName(minus).unionByName(asked).withColumn("visible", F.sum("d").over(order)).where("kind = 1").select("task_id", "visible")
+    rows = plus.unionByName(minus).unionByName(asked).withColumn("__bucket", F.floor(F.col("at") / bucket))
+    return running_count(rows, ["episode"], "__bucket", ["at", "kind"], "d", "visible").where("kind = 1").select("task_id", "visible")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.numeric import POLICY, cosine
 from mnemospark.functions.text import similarity
+from mnemospark.operators.views import folded_in_blocks
 
 
 def bm25(queries: DataFrame, documents: DataFrame, partition: list[str] | None = None) -> DataFrame:
@@ -97,23 +98,20 @@ def interleave(lists: DataFrame, by: list[str], item: str) -> DataFrame:
     return ranked(first, by, [F.col("seat")]).drop("seat")
 
 
-def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POLICY["diversity_threshold"], candidates: int | None = None) -> DataFrame:
+def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POLICY["diversity_threshold"]) -> DataFrame:
     """Greedy diverse top-k: walks each group's cues by ``rk`` and skips one whose terms overlap a kept one's by the threshold.
 
-    cues: by, id, rk, terms. Result: by, id, rk (old), pick (new rank). A threshold of 1 or more is plain top-k. A group is
-    one query's ranked list; its terms are folded in rank order without leaving the JVM.
+    cues: by, id, rk (1, 2, ...), terms. Result: by, id, rk (old), pick (new rank). A threshold of 1 or more is plain
+    top-k. The walk is exact and goes block by block, so a request with any number of cues never fills a task.
     """
     if threshold >= 1:
         return ranked(cues.where(F.col("rk") <= limit), by, [F.col("rk")], "pick").select(*by, "id", "rk", "pick")
-    if candidates is not None:
-        cues = cues.where(F.col("rk") <= candidates)
-    item = F.struct("rk", "id", "terms")
     kind = f"array<struct<rk:int,id:{dict(cues.dtypes)['id']},terms:array<string>>>"
 
     def step(kept: Column, x: Column) -> Column:
         close = F.exists(kept, lambda y: similarity(y["terms"], x["terms"]) >= threshold)
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    lists = cues.withColumn("rk", F.col("rk").cast("int")).groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = lists.select(*by, F.aggregate("items", F.array().cast(kind), step).alias("kept"))
-    return kept.select(*by, F.posexplode("kept").alias("pos", "x")).select(*by, "x.id", "x.rk", (F.col("pos") + 1).alias("pick"))
+    rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), "terms")
+    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "id", "terms"), F.array().cast(kind), step, F.size("state") < limit)
+    return walked.select(*by, F.posexplode("state").alias("pos", "x")).select(*by, "x.id", "x.rk", (F.col("pos") + 1).alias("pick"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.runtime import checkpointed
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``."""
@@ -20,3 +22,25 @@ def first_arrivals(df: DataFrame) -> DataFrame:
 def current_versions(df: DataFrame) -> DataFrame:
     """The highest version of each id, if it isn't an erase; of resent rows the first."""
     return latest(df, ["id"], [F.col("version").desc(), F.col("ord")]).where("op = 'put'")
+
+
+def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, start: Column, step, open_: Column, block: int = 512) -> DataFrame:
+    """by, state: an order-dependent fold over each group's rows by rank, a block of ranks at a time.
+
+    A group's rows are never gathered as a whole: each round folds at most ``block`` of them into the state, and goes on
+    only with groups for which ``open_`` (on ``state``) still holds and rows are left. rank starts at 1 and has no gaps.
+    """
+    rows = checkpointed(rows)
+    state, low = None, 0
+    while True:
+        part = rows.where((F.col(rank) > low) & (F.col(rank) <= low + block))
+        lists = part.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+        if state is None:
+            folded = lists.select(*by, F.aggregate("__items", start, step).alias("state"))
+        else:
+            met = state.where(open_).join(lists, by).select(*by, F.aggregate("__items", F.col("state"), step).alias("state"))
+            folded = met.unionByName(state.join(met.select(*by), by, "left_anti"))
+        state = checkpointed(folded)
+        low += block
+        if rows.where(F.col(rank) > low).join(state.where(open_), by, "left_semi").isEmpty():
+            return state

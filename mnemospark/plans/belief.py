@@ -57,7 +57,7 @@ def support_fold(spark: SparkSession, d: str) -> DataFrame:
     """Support of (scope, kind) from the records that witness it, as if each were observed in turn."""
     r = records(spark, d).select("scope", "kind", F.col("created_at").alias("at"), "ord", F.col("provenance.session_id").alias("session_id"), F.array("id").alias("evidence"))
     s = B.folded_support(r, ["scope", "kind"])
-    return s.select("scope", "kind", "observations", "reinforcements", "sessions", "first_seen_at", "last_seen_at", F.element_at("evidence", 1).alias("first_evidence"))
+    return s.select("scope", "kind", "observations", "reinforcements", "sessions", "first_seen_at", "last_seen_at", "first_evidence")
 
 
 def reinforce_signals(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def replay_visible(spark: SparkSession, d: str) -> DataFrame:
     forgets = v.where("op = 'put'").join(erased, "id").select(F.col("scope").alias("episode"), F.col("gone").alias("seq"), F.col("ord").alias("target"))
     events = v.where("op = 'put'").select(F.col("scope").alias("episode"), "seq", F.col("ord").alias("id"))
     tasks = v.where("ord % 100 = 0").select(F.col("scope").alias("episode"), F.col("seq").alias("cutoff"), F.col("ord").alias("task_id"))
-    return E.visible_counts(events, forgets, tasks)
+    return E.visible_counts(events, forgets, tasks, 86_400_000_000)
 
 
 def queries() -> dict:
