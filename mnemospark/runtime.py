@@ -42,6 +42,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def file_count_hint(df: DataFrame, least: int = 1) -> int:
-    """Partitions to spread ``df`` over when it is split by rows: the session's shuffle partitions, at least ``least``."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def busy_partitions(spark: SparkSession, least: int = 1) -> int:
+    """Partitions for a stage that computes much on little data, which AQE would coalesce by size: three a core and at
+    least the session's shuffle partitions. Passed to ``repartition``, which AQE leaves alone.
+    """
+    return max(least, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
