@@ -55,7 +55,7 @@ def similar_nodes(candidates: DataFrame, nodes: DataFrame, threshold: float) ->
     right = nodes.where("status = 'active'").select(*base, F.col("id").alias("node"), "ord", terms.alias("terms")).where("size(terms) > 0")
     l = left.select(*base, "candidate", F.col("terms").alias("left_terms"), F.explode(prefix).alias("term"))  # noqa: E741
     r = right.select(*base, "node", "ord", F.col("terms").alias("right_terms"), F.explode(prefix).alias("term"))
-    pairs = l.join(r, [*base, "term"]).dropDuplicates(["candidate", "node"])
+    pairs = l.join(r.hint("merge"), [*base, "term"]).dropDuplicates(["candidate", "node"])
     scored = pairs.withColumn("score", similarity(F.col("left_terms"), F.col("right_terms"))).where(F.col("score") >= threshold)
     return latest(scored, ["candidate"], [F.round("score", 9).desc(), F.col("ord").desc()]).select("candidate", "node", "score")
 

@@ -126,7 +126,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, ranges: int | N
     ref_lists = ref_bits.groupBy("key_range").agg(F.collect_list(F.struct("period", "refs")).alias("by_period"))
     known_lists = known_bits.groupBy("key_range").agg(F.collect_list(F.struct("since", "bits")).alias("by_since"))
     suspects = (
-        ref_lists.join(known_lists, "key_range", "left")
+        ref_lists.join(known_lists.hint("merge"), "key_range", "left")  # bitmaps, which the planner would take for small
         .mapInPandas(_range_suspects, "key_range int, period int, key_id int")
         .join(codes, ["key_range", "key_id"])
         .select("kind", "key", "period")

@@ -38,7 +38,7 @@ def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, st
         if state is None:
             folded = lists.select(*by, F.aggregate("__items", start, step).alias("state"))
         else:
-            met = state.where(open_).join(lists, by).select(*by, F.aggregate("__items", F.col("state"), step).alias("state"))
+            met = state.where(open_).join(lists.hint("merge"), by).select(*by, F.aggregate("__items", F.col("state"), step).alias("state"))
             folded = met.unionByName(state.join(met.select(*by), by, "left_anti"))
         state = checkpointed(folded)
         low += block
