@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.runtime import checkpointed
+from mnemospark.runtime import busy_partitions, checkpointed
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,10 +173,11 @@ def similar_sets(sets: DataFrame, threshold: float, rows: int = 8, miss: float =
     banded = keyed.select("set_key", "n", "sketch_a", "sketch_b", F.explode("keys").alias("key"))
     limit = sketch_limit(threshold, min(128, rows * bands))
     close = _distance(F.col("a.sketch_a"), F.col("b.sketch_a")) + _distance(F.col("a.sketch_b"), F.col("b.sketch_b")) <= limit
-    joined = banded.alias("a").join(banded.alias("b"), F.col("a.key") == F.col("b.key"))
+    # lists of words and bands are longer than the planner thinks: it must not broadcast what carries them
+    joined = banded.alias("a").hint("merge").join(banded.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
     pairs = joined.where((F.col("a.set_key") < F.col("b.set_key")) & lengths_fit & close).select(F.col("a.set_key").alias("set_a"), F.col("b.set_key").alias("set_b")).distinct()
-    words = sets.select("set_key", "words")
-    both = pairs.join(words.select(F.col("set_key").alias("set_a"), F.col("words").alias("words_a")), "set_a").join(words.select(F.col("set_key").alias("set_b"), F.col("words").alias("words_b")), "set_b")
+    side = lambda x: sets.select(F.col("set_key").alias(f"set_{x}"), F.col("words").alias(f"words_{x}")).hint("merge")
+    both = pairs.join(side("a"), "set_a").join(side("b"), "set_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     overlap = F.col("shared") / (F.size("words_a") + F.size("words_b") - F.col("shared"))
     return both.withColumn("shared", shared).withColumn("overlap", overlap).where(F.col("overlap") >= threshold).select("set_a", "set_b", "shared", "overlap")
@@ -215,7 +216,8 @@ def near_duplicates(records: DataFrame, threshold: float, rows: int = 8) -> tupl
     A record without words has no class. Extra columns are ignored; ties need no order, repeated ids stay repeated.
     """
     members = checkpointed(records.select("id", "words").where("size(words) > 0").withColumn("set_key", F.xxhash64("words")))
-    sets = checkpointed(members.groupBy("set_key").agg(F.any_value("words").alias("words")))
+    spread = members.repartition(busy_partitions(members.sparkSession), "set_key")
+    sets = checkpointed(spread.groupBy("set_key").agg(F.any_value("words").alias("words")))
     return members.select("id", "set_key"), similar_sets(sets, threshold, rows)
 
 
