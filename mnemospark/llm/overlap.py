@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.runtime import checkpointed
+from mnemospark.runtime import busy_partitions, checkpointed
 
 #: Words are ordered by how often their bucket occurs; so many buckets, whatever the vocabulary (0.5 MB).
 BUCKETS = 1 << 16
@@ -248,8 +248,9 @@ def overlapping_sets(records: DataFrame, pairs: DataFrame, threshold: float = 0.
     jobs = pairs.join(indexes.select("held_out", "shard"), "held_out")
     key = ["training", "held_out", "shard", "block"]
     streamed = parted("training", "block").withColumnRenamed("dataset", "training").join(jobs, "training")
+    # indexes are far larger than the planner thinks: they must not be broadcast
     # cogroup matches keys by place; other names keep the two sides' columns apart
-    shipped = pairs.join(indexes, "held_out").join(blocks, "training").select(*[F.col(c).alias(f"of_{c}") for c in key], "index")
+    shipped = pairs.join(indexes.hint("merge"), "held_out").join(blocks.hint("merge"), "training").select(*[F.col(c).alias(f"of_{c}") for c in key], "index")
 
     def search(block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -265,7 +266,10 @@ def overlapping_sets(records: DataFrame, pairs: DataFrame, threshold: float = 0.
         return pd.DataFrame(out, columns=["training", "held_out", "set_a", "set_b", "shared", "spans", "longest"])
 
     schema = "training string, held_out string, set_a bigint, set_b bigint, shared int, spans int, longest int"
-    return streamed.groupBy(*key).cogroup(shipped.groupBy(*[f"of_{c}" for c in key])).applyInPandas(search, schema)
+    # a job computes long on few bytes: as many partitions as jobs, up to three a core, keep the cores busy
+    n = min(busy_partitions(spark), max(1, jobs.join(blocks, "training").count()) * 2)
+    left, right = streamed.repartition(n, *key), shipped.repartition(n, *[f"of_{c}" for c in key])
+    return left.groupBy(*key).cogroup(right.groupBy(*[f"of_{c}" for c in key])).applyInPandas(search, schema)
 
 
 def cross_split_overlaps(records: DataFrame, pairs: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
