@@ -21,6 +21,10 @@ from mnemospark.runtime import busy_partitions, checkpointed
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+#: No dart yet.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     with np.errstate(over="ignore"):
@@ -66,7 +70,7 @@ class DartMinHash:
         return of, weight, rank, dart
 
     def signatures(self, words: np.ndarray, lengths: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        """uint64 matrix (sets, k) of the kept darts' hashes; sets are concatenated, empty ones give rows of zeros.
+        """uint64 matrix (sets, k) of the kept darts; sets are concatenated, empty ones give rows of zeros.
 
         weights: of each word in each set, 1 if none are given.
         """
@@ -75,11 +79,10 @@ class DartMinHash:
         # layers is a power of two, so sets of unlike sizes look at the same darts
         total = lengths.astype(float) if weights is None else np.add.reduceat(np.append(weights, 0), np.minimum(np.cumsum(lengths) - lengths, len(weights)))[: len(lengths)] * (lengths > 0)
         starts = np.cumsum(lengths) - lengths
-        for i0 in range(0, len(lengths), 256):
-            rows = np.arange(i0, min(i0 + 256, len(lengths)))
+        for i0 in range(0, len(lengths), 512):
+            rows = np.arange(i0, min(i0 + 512, len(lengths)))
             rows = rows[total[rows] > 0]
-            best = np.full((len(rows), self.k), np.inf)
-            kept = np.zeros((len(rows), self.k), np.uint64)
+            best = np.full((len(rows), self.k), _NONE)
             todo, depth = np.arange(len(rows)), np.zeros(len(rows), np.int64)
             while len(todo):
                 at = rows[todo]
@@ -88,19 +91,20 @@ class DartMinHash:
                 owner = np.repeat(todo, size)
                 w = np.ones(len(pick)) if weights is None else weights[pick]
                 need = np.repeat(np.ceil(self.darts / total[at]).astype(np.int64), size)
-                self._fill(words[pick].view(np.uint64), owner, w, need, np.repeat(depth[todo], size), best, kept)
+                self._fill(words[pick].view(np.uint64), owner, w, need, np.repeat(depth[todo], size), best)
                 depth[todo] += 1
-                todo = todo[np.isinf(best[todo]).any(axis=1)]
-            out[rows] = kept
+                todo = todo[(best[todo] == _NONE).any(axis=1)]
+            out[rows] = best
         return out
 
     #: Ranks are cut into layers of this height; a set of total weight t looks at ceil(darts / t / HEIGHT) of them at a time.
     HEIGHT = 16.0
 
-    def _fill(self, elements: np.ndarray, owner: np.ndarray, w: np.ndarray, need: np.ndarray, depth: np.ndarray, best: np.ndarray, kept: np.ndarray) -> None:
+    def _fill(self, elements: np.ndarray, owner: np.ndarray, w: np.ndarray, need: np.ndarray, depth: np.ndarray, best: np.ndarray) -> None:
         layers = np.ceil(need / self.HEIGHT).astype(np.int64)
         first, last = depth * layers, (depth + 1) * layers
         levels = np.ceil(np.log2(np.maximum(w, 1.0))).astype(np.int64)
+        flat = best.reshape(-1)
         for level in range(int(levels.max()) + 1 if len(levels) else 0):
             for step in range(int(first.min()), int(last.max())):
                 use = np.flatnonzero((first <= step) & (step < last) & (levels >= level))
@@ -108,19 +112,18 @@ class DartMinHash:
                     continue
                 distinct, back = np.unique(elements[use], return_inverse=True)
                 of, weight, rank, dart = self._throw(distinct, level, step, self.HEIGHT)
+                # one number a dart, ordered by rank: 40 bits of the rank, then 24 of the dart's hash
+                value = (rank.view(np.uint64) & ~np.uint64(0xFFFFFF)) | (dart >> np.uint64(40))
+                coordinate = (dart % np.uint64(self.k)).astype(np.int64)
                 n = np.bincount(of, minlength=len(distinct))
                 begin = np.cumsum(n) - n
                 m = n[back]
                 pick = np.repeat(begin[back] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                row, limit = np.repeat(owner[use], m), np.repeat(w[use], m)
-                under = weight[pick] < limit
-                row, pick = row[under], pick[under]
-                cell = row * self.k + (dart[pick] % np.uint64(self.k)).astype(np.int64)
-                flat_best, flat_kept = best.reshape(-1), kept.reshape(-1)
-                r = rank[pick]
-                np.minimum.at(flat_best, cell, r)
-                won = flat_best[cell] == r
-                flat_kept[cell[won]] = dart[pick][won]
+                row = np.repeat(owner[use], m)
+                if len(weight) and w[use].min() <= weight.max():
+                    under = weight[pick] < np.repeat(w[use], m)
+                    row, pick = row[under], pick[under]
+                np.minimum.at(flat, row * self.k + coordinate[pick], value[pick])
 
 
 def bands_for(threshold: float, rows: int, miss: float = 1e-4) -> int:
