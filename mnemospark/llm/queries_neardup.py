@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.neardup import near_duplicate_groups, near_duplicate_pairs
-from mnemospark.llm.words import word_set
+from mnemospark.llm.words import word_set, words_sql
 from mnemospark.runtime import table
 
 THRESHOLD = 0.75
@@ -31,5 +31,11 @@ def queries() -> dict:
     return {"p3_found": p3_found, "p3_groups": p3_groups}
 
 
+#: All pairs.
+_SQL = f"""WITH s AS MATERIALIZED (SELECT id, {words_sql("any_value(concat_ws(' ', title, description, array_to_string(procedure_steps, ' '), array_to_string(verification, ' ')))")} AS w FROM experience_skills GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS s, len(a.w) AS n, len(b.w) AS m FROM s a JOIN s b ON a.id < b.id WHERE len(a.w) > 0)
+SELECT id_a, id_b FROM p WHERE s >= 0.75 * (n + m - s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.overlap import cross_split_overlaps, overlap_report
-from mnemospark.llm.words import word_set
+from mnemospark.llm.words import word_set, words_sql
 from mnemospark.runtime import checkpointed, table
 
 
@@ -41,5 +41,17 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p1_report": p1_report}
 
 
+#: All pairs of two datasets.
+_SQL = f"""WITH c AS MATERIALIZED (SELECT id, any_value(dataset_fingerprint) AS ds, any_value(source) AS source, {words_sql("any_value(concat_ws(' ', question, reference))")} AS w FROM evaluation_cases GROUP BY id),
+b AS (SELECT DISTINCT training_dataset_fingerprint AS training, held_out_dataset_fingerprint AS held_out FROM experience_banks WHERE training_dataset_fingerprint IS NOT NULL AND held_out_dataset_fingerprint IS NOT NULL),
+p AS MATERIALIZED (SELECT training, held_out, x.id AS t, y.id AS h, x.source AS ts, y.source AS hs, len(list_intersect(x.w, y.w)) AS s, len(x.w) AS n, len(y.w) AS m FROM b JOIN c x ON x.ds = training JOIN c y ON y.ds = held_out AND x.id <> y.id WHERE len(x.w) > 0 AND len(y.w) > 0),
+f AS MATERIALIZED (SELECT *, s = n AND s = m AS exact FROM p WHERE s >= 0.7 * (n + m - s))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ends = "SELECT training, held_out, 'training' AS split, t AS id, ts AS source, exact FROM f UNION ALL SELECT training, held_out, 'held_out', h, hs, exact FROM f"
+    return {
+        "p1_found": _SQL + "SELECT DISTINCT least(t, h) AS id_a, greatest(t, h) AS id_b FROM f",
+        "p1_report": _SQL + f"SELECT training, held_out, split, source, count(*) AS cases, count(*) FILTER (e) AS exact_cases, sum(k) AS links FROM (SELECT training, held_out, split, id, source, bool_or(exact) AS e, count(*) AS k FROM ({ends}) GROUP BY ALL) GROUP BY ALL",
+    }

@@ -61,3 +61,12 @@ def word_set(texts: pd.Series) -> pd.Series:
     """Sorted distinct 64-bit word hashes of each text; an empty array for null and blank texts."""
     hashes = WordHashes()
     return pd.Series([hashes(words_of(t)) for t in texts], index=texts.index, dtype=object)
+
+
+def words_sql(text: str) -> str:
+    """DuckDB twin of ``words_of`` as a list of distinct words. DuckDB has NFC only; of the compatibility forms the twin
+    folds full-width ASCII, the only ones that change words in the test tables.
+    """
+    full = "".join(chr(0xFF01 + i) for i in range(94) if chr(0x21 + i).isalnum() or i == 62)
+    plain = "".join(chr(ord(c) - 0xFEE0) for c in full)
+    return f"list_distinct(regexp_extract_all(lower(nfc_normalize(translate({text}, '{full}', '{plain}'))), '[\\p{{L}}\\p{{N}}_]+'))"
