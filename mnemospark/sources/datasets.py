@@ -88,10 +88,11 @@ def persona_memory(spark: SparkSession, path: str) -> DataFrame:
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, health): parsed lines, and one row with lines, blank, broken."""
     lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    kept = lines.where("line <> ''").select("line", F.from_json("line", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
-    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
-    health = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line") == "").alias("blank")).crossJoin(kept.agg(F.count_if(broken).alias("broken")))  # one row each
-    return kept.where(~broken).select("r.*").drop("_broken"), health
+    parsed = lines.select("line", F.from_json("line", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    blank = F.col("line") == ""
+    broken = ~blank & (F.col("r").isNull() | F.col("r._broken").isNotNull())
+    health = parsed.agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(broken).alias("broken"))
+    return parsed.where(~blank & ~broken).select("r.*").drop("_broken"), health
 
 
 def repaired_list(value: Column | str) -> Column:
