@@ -159,10 +159,10 @@ def interleave_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diversify_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The best 40 documents of each query, cut to 8 that don't restate one another."""
+    """All matches of each query by rank, of which the first 8 that don't restate one another are kept."""
     asked, docs = asked_and_documents(spark, d)
-    best = R.top(R.bm25(asked, docs), ["query_id"], 40, "doc_id").select("query_id", "doc_id", "rk")
-    cues = best.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "rk", "terms")
+    matches = R.ranked(R.bm25(asked, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")]).select("query_id", "doc_id", "rk")
+    cues = matches.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "rk", "terms")
     return R.diversify(cues, ["query_id"], 8, 0.3).select("query_id", F.col("id").alias("doc_id"), "rk", "pick")
 
 
