@@ -150,9 +150,12 @@ def scope_kind(key: Column | str) -> Column:
 
 
 def fnv1a(term: Column | str) -> Column:
-    """32-bit FNV-1a over the code points of a term, as BIGINT."""
+    """32-bit FNV-1a over the UTF-16 code units of a term, as BIGINT."""
     points = F.transform(F.filter(F.split(column(term), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    high = lambda p: F.shiftright(p - 0x10000, 10) + 0xD800
+    low = lambda p: (p - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    units = F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(F.array(high(p), low(p)))))
+    return F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
 def iso_day(epoch_ms: Column | str) -> Column:

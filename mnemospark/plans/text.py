@@ -60,13 +60,13 @@ def topic_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
-    terms = _docs(spark, d).select(F.explode("terms").alias("term")).distinct().where(F.col("term").rlike(r"^[\x{1}-\x{7f}]+$"))
+    terms = _docs(spark, d).select(F.explode("terms").alias("term")).distinct()
     return terms.select("term", X.fnv1a("term").alias("hash"))
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Hashed-term vectors of 512 dimensions, sparse: bucket and L2-normalised value."""
-    tf = _docs(spark, d).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).where(F.col("term").rlike(r"^[\x{1}-\x{7f}]+$"))
+    tf = _docs(spark, d).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     h = tf.withColumn("h", X.fnv1a("term"))
     sign = F.when(F.shiftright("h", 31) == 1, -1.0).otherwise(1.0)
     cells = h.groupBy("doc_id", (F.col("h") % 512).alias("bucket")).agg(F.sum(sign * (1 + F.log("tf"))).alias("x"))

@@ -1,5 +1,7 @@
 """Queries over small tables of their own that hold what a cut would lose."""
 
+import math
+
 from mnemospark.plans import text as T
 
 DOCUMENTS = "doc_id long, text string, created_at timestamp"
@@ -17,3 +19,26 @@ def test_diversify_topk_reaches_distinct_documents_behind_many_copies(spark, row
     d = stored(tmp_path, documents=rows(DOCUMENTS, (100, "alpha beta gamma delta", None), *copies, *far))
     got = {r["doc_id"]: (r["rk"], r["pick"]) for r in T.diversify_topk(spark, d).collect()}
     assert got == {1: (1, 1), **{70 + i: (62 + i, 2 + i) for i in range(7)}}
+
+
+def fnv1a(term):
+    h = 0x811C9DC5
+    units = term.encode("utf-16-le")
+    for i in range(0, len(units), 2):
+        h = ((h ^ int.from_bytes(units[i : i + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+    return h
+
+
+def test_hashes_and_embedding_hold_terms_of_every_script(spark, rows, tmp_path):
+    d = stored(tmp_path, documents=rows(DOCUMENTS, (1, "快照 é plain", None), (2, "共享", None), (3, "\U00020000 \U0001d5d4", None)))
+    got = {r["term"]: r["hash"] for r in T.fnv_hashes(spark, d).collect()}
+    # "快照" is a word and a bigram
+    assert got == {t: fnv1a(t) for t in ("快照", "é", "plain", "共享", "\U00020000", "\U0001d5d4")}
+    cells = {}
+    for r in T.hash_embedding(spark, d).collect():
+        cells.setdefault(r["doc_id"], {})[r["bucket"]] = r["value"]
+    signed = lambda t, x: {fnv1a(t) % 512: round(-x if fnv1a(t) >> 31 else x, 6)}
+    assert cells[2] == signed("共享", 1.0)
+    twice, norm = 1 + math.log(2), math.sqrt((1 + math.log(2)) ** 2 + 2)
+    assert cells[1] == {**signed("快照", twice / norm), **signed("é", 1 / norm), **signed("plain", 1 / norm)}
+    assert len(cells[3]) == 2
