@@ -1,5 +1,6 @@
 """Queries over small tables of their own that hold what a cut would lose."""
 
+import datetime
 import math
 
 from mnemospark.plans import text as T
@@ -42,3 +43,13 @@ def test_hashes_and_embedding_hold_terms_of_every_script(spark, rows, tmp_path):
     twice, norm = 1 + math.log(2), math.sqrt((1 + math.log(2)) ** 2 + 2)
     assert cells[1] == {**signed("快照", twice / norm), **signed("é", 1 / norm), **signed("plain", 1 / norm)}
     assert len(cells[3]) == 2
+
+
+def test_rrf_fusion_ranks_recency_among_all_matches(spark, rows, tmp_path):
+    # equal texts rank by id; 11 is the latest of the first fifty, but 51 to 400 are later still
+    day = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=500 if i == 11 else 1000 + i if i > 50 else i)
+    d = stored(tmp_path, documents=rows(DOCUMENTS, *[(i, "alpha beta", day(i)) for i in range(1, 401)]))
+    got = [r["doc_id"] for r in T.rrf_fusion(spark, d).where("query_id = 100").orderBy("rk").collect()]
+    recent = sorted(range(1, 401), key=day, reverse=True)
+    score = {i: round(1 / (60 + i) + 0.25 / (61 + recent.index(i)), 9) for i in recent}
+    assert got == sorted(score, key=lambda i: (-score[i], i))[:10] == list(range(1, 11))
