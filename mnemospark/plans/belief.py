@@ -10,7 +10,7 @@ from mnemospark.functions.text import tokenize
 from mnemospark.operators import belief as B
 from mnemospark.operators import invariants as V
 from mnemospark.operators.context import similar_nodes
-from mnemospark.operators.views import current_versions, first_arrivals
+from mnemospark.operators.views import current_versions, first_arrivals, latest
 from mnemospark.plans import sqltext as S
 from mnemospark.runtime import table
 
@@ -78,9 +78,14 @@ def support_boosts(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", F.round(N.support_boost("support.observations", "support.reinforcements", 0.15), 6).alias("boost"), F.round(N.frequency_confidence("support.observations"), 6).alias("frequency"))
 
 
+def _first_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The least version of each node that is put, as versions may start above 1; of resent rows the first."""
+    return latest(table(spark, d, "memory_nodes").where("op = 'put'"), ["id"], [F.col("version"), F.col("ord")])
+
+
 def assert_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The first versions of all nodes, labels lower-cased, asserted again over the current ones."""
-    first = table(spark, d, "memory_nodes").where("op = 'put' AND version = 1").dropDuplicates(["id"])
+    first = _first_versions(spark, d)
     a = first.select("scope", "node_type", F.lower("label").alias("label"), "summary", "evidence", F.col("created_at").alias("at"), F.col("created_at").alias("ord"))
     u = B.upsert_nodes(nodes(spark, d), a)
     return u.select("scope", "node_type", "label", "created", F.round("confidence", 6).alias("confidence"), "new_evidence", F.size("evidence").alias("evidence"))
@@ -118,7 +123,7 @@ def record_filters(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_node_merge(spark: SparkSession, d: str) -> DataFrame:
     """Every node's first version as a candidate against the current nodes."""
-    first = table(spark, d, "memory_nodes").where("op = 'put' AND version = 1").dropDuplicates(["id"]).select("id", "scope", "node_type", "label")
+    first = _first_versions(spark, d).select("id", "scope", "node_type", "label")
     return similar_nodes(first, nodes(spark, d), 0.6).select("candidate", "node", F.round("score", 6).alias("score"))
 
 

@@ -3,6 +3,10 @@
 import datetime
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
+from mnemospark.plans import belief as B
 from mnemospark.plans import text as T
 
 DOCUMENTS = "doc_id long, text string, created_at timestamp"
@@ -53,3 +57,14 @@ def test_rrf_fusion_ranks_recency_among_all_matches(spark, rows, tmp_path):
     recent = sorted(range(1, 401), key=day, reverse=True)
     score = {i: round(1 / (60 + i) + 0.25 / (61 + recent.index(i)), 9) for i in recent}
     assert got == sorted(score, key=lambda i: (-score[i], i))[:10] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("query", [B.similar_node_merge, B.assert_upsert])
+def test_first_versions_may_start_above_one(spark, tmp_path, query):
+    nodes = spark.read.parquet("/root/testdata/sf0.001/memory_nodes.parquet")
+    ids = nodes.where("op = 'put' AND version = 1").select("id").distinct()
+    nodes = nodes.join(ids, "id", "left_semi")
+    one, three = (stored(tmp_path / str(k), memory_nodes=nodes.withColumn("version", F.col("version") + F.lit(k))) for k in (0, 2))
+    expected = sorted(map(str, query(spark, one).collect()))
+    assert expected
+    assert sorted(map(str, query(spark, three).collect())) == expected
