@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import tokenize
+from mnemospark.functions.numeric import POLICY
+from mnemospark.functions.text import similarity, tokenize
 from mnemospark.operators import ranking as R
 from mnemospark.operators.graph import chain_roots
-from mnemospark.operators.views import latest
+from mnemospark.operators.views import folded_in_blocks, latest
 
 #: How much an outcome weighs, by its source.
 OUTCOME_WEIGHT = {"verified": 1.0, "tool-evidence": 0.85, "user": 0.9, "model": 0.35, "unknown": 0.0}
@@ -96,14 +97,26 @@ def search_text() -> Column:
 
 
 def skill_search(queries: DataFrame, skills: DataFrame, limit: int) -> DataFrame:
-    """query_id, id, score, rk: BM25 over the skills given, each hit weighed by rank score times confidence.
+    """query_id, id, score, rk: BM25 over the skills given, each hit weighed by rank score times confidence, best ``limit``.
 
-    queries: query_id, terms. Filter skills (status, expiry, tools) before: statistics are those of the rows given.
+    queries: query_id, terms. Filter skills (status, expiry, tools) before: statistics are those of the rows given. A hit
+    of the kind and tool context of a selected one whose search text is as similar as duplicates are is skipped; the walk
+    over all hits is exact and goes block by block. rk counts the selected ones.
     """
-    docs = skills.select(F.col("id").alias("doc_id"), "confidence", tokenize(search_text()).alias("terms"))
+    docs = skills.select(F.col("id").alias("doc_id"), "confidence", "kind", context_key(F.col("required_tools")).alias("context"), tokenize(search_text()).alias("terms"))
     hits = R.ranked(R.bm25(queries, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "pos")
-    scored = hits.join(docs.select("doc_id", "confidence"), "doc_id").select("query_id", F.col("doc_id").alias("id"), (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
-    return R.top(scored, ["query_id"], limit, "id")
+    scored = hits.join(docs.drop("terms"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "kind", "context", (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
+    walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")]).join(docs.select(F.col("doc_id").alias("id"), "terms"), "id")
+
+    def step(kept: Column, x: Column) -> Column:
+        close = F.exists(kept, lambda y: y["kind"].eqNullSafe(x["kind"]) & (y["context"] == x["context"]) & (similarity(y["terms"], x["terms"]) >= POLICY["duplicate_similarity"]))
+        return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
+
+    kinds = dict(walked.dtypes)
+    fields = ["rk", "id", "score", "kind", "context", "terms"]
+    start = F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in fields)}>>")
+    kept = folded_in_blocks(walked.select("query_id", *fields), ["query_id"], "rk", F.struct(*fields), start, step, F.size("state") < limit)
+    return kept.select("query_id", F.posexplode("state").alias("at", "x")).select("query_id", "x.id", "x.score", (F.col("at") + 1).alias("rk"))
 
 
 def source_manifest(skills: DataFrame, episodes: DataFrame) -> DataFrame:

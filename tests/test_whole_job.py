@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.operators import experience as X
 from mnemospark.plans import belief as B
 from mnemospark.plans import text as T
 
@@ -68,3 +69,14 @@ def test_first_versions_may_start_above_one(spark, tmp_path, query):
     expected = sorted(map(str, query(spark, one).collect()))
     assert expected
     assert sorted(map(str, query(spark, three).collect())) == expected
+
+
+def test_skill_search_skips_restatements_and_walks_on(spark, rows):
+    schema = "id string, confidence double, kind string, required_tools array<string>, title string, description string, applicability array<string>, tags array<string>, procedure_steps array<string>"
+    skill = lambda i, text, kind="procedure", tools=(): (i, 0.9, kind, list(tools), text, None, [], [], [])
+    same = "alpha one two three four five six"
+    skills = rows(schema, skill("a", same), skill("b", same), skill("c", same, "caution"), skill("d", same, tools=["shell"]), skill("e", same + " seven"), skill("f", "alpha " + " ".join(f"other{i}" for i in range(12))))
+    got = X.skill_search(rows("query_id long, terms array<string>", (1, ["alpha", "one"])), skills, 4).orderBy("rk").collect()
+    # b and e (7 of 8 terms) restate a
+    assert [(r["id"], r["rk"]) for r in got] == [("a", 1), ("c", 2), ("d", 3), ("f", 4)]
+    assert [r["score"] for r in got] == pytest.approx([0.9 / 61, 0.9 / 63, 0.9 / 64, 0.9 / 66])
