@@ -96,7 +96,7 @@ def ngram_procedures(spark: SparkSession, d: str) -> DataFrame:
 
 def cooccur_edges(spark: SparkSession, d: str) -> DataFrame:
     a = _event_actions(spark, d)
-    known = M.affinities(a, ["scope"]).where("uses > 1000").select("scope", "action")
+    known = M.affinities(a, ["scope"]).select("scope", "action")
     e = M.sequence_edges(M.ngrams(a, ["scope"], longest=3), ["scope"], known)
     return e.select("from_label", "to_label", "relation", F.round("confidence", 6).alias("confidence"))
 

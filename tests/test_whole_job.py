@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import experience as X
 from mnemospark.plans import belief as B
+from mnemospark.plans import graph as G
 from mnemospark.plans import text as T
 
 DOCUMENTS = "doc_id long, text string, created_at timestamp"
@@ -80,3 +81,11 @@ def test_skill_search_skips_restatements_and_walks_on(spark, rows):
     # b and e (7 of 8 terms) restate a
     assert [(r["id"], r["rk"]) for r in got] == [("a", 1), ("c", 2), ("d", 3), ("f", 4)]
     assert [r["score"] for r in got] == pytest.approx([0.9 / 61, 0.9 / 63, 0.9 / 64, 0.9 / 66])
+
+
+def test_cooccur_edges_know_actions_used_three_times(spark, rows, tmp_path):
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour)
+    events = [(3 * day + k, day, at(day, k), kind) for day in (1, 2, 3) for k, kind in enumerate(["open", "read"])]
+    d = stored(tmp_path, events=rows("event_id long, user_id long, ts timestamp, event_type string", *events))
+    got = {(r["from_label"], r["to_label"], r["relation"]) for r in G.cooccur_edges(spark, d).collect()}
+    assert got == {("open", "open > read", "part-of"), ("read", "open > read", "part-of"), ("open", "read", "co-occurs")}
