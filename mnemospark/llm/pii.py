@@ -9,6 +9,7 @@ Digits have no fixed spelling, so runs of them are anchors by a pattern.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -56,7 +57,11 @@ _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+'~-]*[A-Za-z0-9_+-])?$")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z]{2,}(?![A-Za-z0-9-])", re.I)
 _AT = re.compile(r" ?(?:@|%40|[(\[]at[)\]]) ?| at ", re.I)
 
-_ID_CUE = re.compile(r"(?:\bid\b|id_number|social|passport|pasaporte|reisepass|ausweis|kennung|documento|dni|nie\b|identi|insurance|ssn|national|number is|lease|vertrag|身份证|证件|护照)", re.I)
+#: What announces an identity number. Short ones, that other words contain, announce any number only as words
+#: of their own; like weak ones they else announce only numbers that begin with 6 or 9.
+ID_CUES = ("id_number", "social", "passport", "pasaporte", "reisepass", "ausweis", "kennung", "documento", "insurance", "身份证", "证件", "护照")
+SHORT_ID_CUES = ("id", "dni", "nie", "ssn", "identi", "national")
+WEAK_ID_CUES = ("number is", "lease", "vertrag")
 _ID = re.compile(
     r"(?<![\w.+-])(?:"
     r"(?P<nino>(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]|QQ) ?\d\d ?\d\d ?\d\d ?[A-D])(?!\w)"
@@ -138,6 +143,8 @@ class PiiFinder:
             anchors.setdefault(w, "after")
         for w in ZH_NAME_CUES:
             anchors[w] = "zh_cue"
+        for w in (*ID_CUES, *SHORT_ID_CUES, *WEAK_ID_CUES):
+            anchors.setdefault(w, "id_cue")
         self.automaton = ahocorasick.Automaton()
         for a, kind in anchors.items():
             self.automaton.add_word(a, (kind, len(a)))
@@ -165,12 +172,25 @@ class PiiFinder:
     # -- numbers
 
     @staticmethod
-    def _numbers(text: str) -> list[tuple[str, int, int]]:
+    def _id_cue(low: str, start: int, end: int) -> tuple[int, int, bool] | None:
+        """start, end and whether the cue announces any nine digits; None if it isn't one."""
+        cue, before, after = low[start:end], low[max(0, start - 1) : start], low[end : end + 1]
+        if cue == "id" and (before.isalnum() or before == "_" or after.isalnum() or after == "_") or cue == "nie" and (after.isalnum() or after == "_"):
+            return None
+        inside = before.isascii() and before.isalpha() or len(cue) < 4 and after.isascii() and after.isalpha()
+        return start, end, cue in ID_CUES or cue in SHORT_ID_CUES and not inside
+
+    @staticmethod
+    def _numbers(text: str, cues: list[tuple[int, int, bool]]) -> list[tuple[str, int, int]]:
+        """``cues``: those of identity numbers, in order of their ends; they hold for numbers within 40 characters."""
         out: list[tuple[str, int, int]] = []
+        ends = [c[1] for c in cues]
         for m in _ID.finditer(text):
             kind = m.lastgroup
-            if kind == "nine" and not (m.group()[0] in "69" and _ID_CUE.search(text, max(0, m.start() - 40), m.start())) and not re.match(r"(?:666|9\d\d)", m.group()):
-                continue
+            if kind == "nine" and not re.match(r"666|9", m.group()):
+                near = [c for c in cues[bisect_left(ends, m.start() - 40) : bisect_right(ends, m.start())] if c[0] >= m.start() - 40]
+                if not any(c[2] or m.group()[0] == "6" for c in near):
+                    continue
             out.append(("id_number", m.start(), m.end()))
         for m in _PHONE.finditer(text):
             digits = sum(c.isdigit() for c in m.group())
@@ -325,11 +345,15 @@ class PiiFinder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
         found: list[tuple[str, int, int]] = []
         names: list[tuple[str, int, int]] = []
+        cues: list[tuple[int, int, bool]] = []
         lenient = not plain.isascii()
         for last, (kind, n) in self.automaton.iter(low):
             start, end = last - n + 1, last + 1
             span = None
-            if kind == "email":
+            if kind == "id_cue":
+                if cue := self._id_cue(low, start, end):
+                    cues.append(cue)
+            elif kind == "email":
                 span = self._spelt(plain, low, start) if "dot" in low[start:end] else self._email(plain, start)
                 if span:
                     found.append(("email", *span))
@@ -379,7 +403,7 @@ class PiiFinder:
             if span and kind in ("street", "french", "box", "german", "spanish", "chinese"):
                 found.append(("address", *span))
         if _DIGITS.search(plain):
-            found += self._numbers(plain)
+            found += self._numbers(plain, cues)
         return _resolve(found, names)
 
     def redact(self, text: str | None) -> str | None:

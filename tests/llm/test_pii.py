@@ -66,3 +66,21 @@ def test_operators(rows):
     assert [tuple(r) for r in pii_items(df).collect()] == [("t", "1", "email", 2, 9)]
     assert sorted((r["source_id"] or "", r["text"]) for r in redacted(df).where("text IS NOT NULL").collect()) == [("", ""), ("1", "é [EMAIL]"), ("1", "é [EMAIL]")]
     assert pii_items(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("SSN 123456789", ["123456789"]),
+        ("my passport 512345678.", ["512345678"]),
+        ("Personalausweis: 212345678", ["212345678"]),
+        ("身份证 312345678", ["312345678"]),
+        ("my ID is 412345678", ["412345678"]),
+        ("666123456 and 912345678", ["666123456", "912345678"]),
+        ("the lease number is 612345678", ["612345678"]),
+        ("at midnight 123456789 rows, className 123456789, doc_id 123456789, said 123456789", []),
+        ("passport " + "x" * 40 + " 512345678", []),
+    ],
+)
+def test_nine_digits_behind_an_identity_cue(text, found):
+    assert [t for kind, t in items(text) if kind == "id_number"] == found
