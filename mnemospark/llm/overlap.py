@@ -2,9 +2,11 @@
 
 Each held-out split is cut into shards; a shard's records, as sequences of their distinct words in one canonical
 order (rare words first), become a compressed full-text index (suffix array, C table and rank over the
-Burrows-Wheeler transform). Training records stream through backward search; the matches of their rare words are
-merged into counts per record pair, a pair with too few is out for certain, and the others are counted exactly and
-come out with their maximal common spans. No pair above the threshold can be lost (see ``prefix_length``).
+Burrows-Wheeler transform). Each rare word of a training record takes one backward step from the full interval, a
+postings lookup; the matches are merged into counts per record pair, a pair with too few is out for certain, and the
+others are counted exactly. Searches of several words (``longest_matches``) don't take part, as a long run in common
+isn't needed to reach the threshold; spans are the runs of shared words of pairs already decided. No pair above the
+threshold can be lost (see ``prefix_length``).
 """
 
 from __future__ import annotations
