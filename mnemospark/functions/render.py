@@ -26,8 +26,7 @@ def memory_command(raw: Column | str) -> Column:
     """STRUCT<kind, argument> of a typed command: show, suggest, stats, search <words>, forget <label>, or usage."""
     flat = F.trim(F.regexp_replace(column(raw), r"\s+", " "))
     head = F.lower(F.split_part(flat, F.lit(" "), F.lit(1)))
-    rest = F.when(F.instr(flat, " ") > 0, F.substring_index(flat, " ", -1000)).otherwise("")
-    rest = F.regexp_replace(rest, r"^\S+\s*", "")
+    rest = F.regexp_replace(flat, r"^\S+\s*", "")
     kind = F.when(flat == "", "show").when(head.isin("suggest", "stats"), head).when(head.isin("search", "forget") & (rest != ""), head).otherwise("usage")
     return F.struct(kind.alias("kind"), F.when(kind.isin("search", "forget"), rest).alias("argument"))
 

@@ -152,7 +152,7 @@ def oracle_sql() -> dict[str, str]:
     ed = decay_sql("updated_at")
     held = f"SELECT *, {nd} AS c FROM {nodes_} WHERE status = 'active'"
     standing = "round(c * ln(1 + support.observations + support.reinforcements), 9)"
-    first = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k_ FROM memory_nodes WHERE op = 'put' AND version = 1) WHERE k_ = 1)"
+    first = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version, ord) AS k_ FROM memory_nodes WHERE op = 'put') WHERE k_ = 1)"
     label_terms = f"list_distinct({S.tokenize('label')})"
     return {
         "current_nodes": f"SELECT id, version, scope, node_type, label, status FROM {nodes_}",

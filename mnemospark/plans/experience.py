@@ -150,8 +150,9 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Document hits of each query kept once per scope and ranked again."""
     scope = table(spark, d, "documents").select("doc_id", "scope")
-    best = R.top(R.bm25(*asked_and_documents(spark, d)), ["query_id"], 50, "doc_id").join(scope, "doc_id")
-    return E.keep_first(best, ["query_id"], "scope").where("rk <= 10").select("query_id", "scope", "rk")
+    hits = R.bm25(*asked_and_documents(spark, d)).join(scope, "doc_id")
+    best = hits.groupBy("query_id", "scope").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("doc_id")).alias("d"))).alias("b"))
+    return R.ranked(best, ["query_id"], [F.col("b.s").desc(), F.col("b.d").desc()]).where("rk <= 10").select("query_id", "scope", "rk")
 
 
 def metric_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +295,13 @@ SELECT id, count(*) AS families, count(*) FILTER (ok) AS supporting, round(avg(w
         "conflict_pairs": f"WITH k AS MATERIALIZED (SELECT id, scope, lower(title) AS t, array_to_string(list_sort(list_distinct(coalesce(required_tools, []))), ',') AS tools, kind, coalesce(array_to_string(procedure_steps, chr(10)), '') AS p FROM {sk}) SELECT a.id AS id_a, b.id AS id_b, a.kind <> b.kind AS other_kind FROM k a JOIN k b ON a.scope = b.scope AND a.t = b.t AND a.tools = b.tools AND a.id < b.id WHERE a.kind <> b.kind OR a.p <> b.p",
         "source_manifest": f"WITH RECURSIVE {fam}, c AS (SELECT DISTINCT k.id, family FROM (SELECT id, unnest(episode_ids) AS ep FROM {sk}) k JOIN fam ON fam.id = k.ep), m AS (SELECT c.id, e.session_id, e.id AS ep, e.evidence FROM c JOIN fam USING (family) JOIN e ON e.id = fam.id), x AS (SELECT id, session_id, ep, unnest(CASE WHEN len(evidence) > 0 THEN evidence ELSE [NULL] END) AS v FROM m) SELECT id, session_id, count(DISTINCT ep) AS episodes, count(DISTINCT v) AS evidence FROM x GROUP BY ALL",
         "checkpoint_latest": f"WITH e AS MATERIALIZED (SELECT * FROM {ep}) SELECT session_id, id, completed_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS k FROM e WHERE session_id IS NOT NULL AND id NOT IN (SELECT derived_from FROM e WHERE derived_from IS NOT NULL)) WHERE k = 1",
-        "skill_search": f"WITH {docs}, sd AS MATERIALIZED (SELECT id AS doc_id, confidence, {S.tokenize(text)} AS terms FROM {sk} WHERE status = 'active'), {bm25_sql('asked', 'sd')}, p AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc), h AS (SELECT query_id, doc_id AS id, confidence / (60 + pos) AS score FROM p JOIN sd USING (doc_id)) SELECT query_id, id, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rk FROM h) WHERE rk <= 4",
+        "skill_search": f"""WITH RECURSIVE {docs}, sd AS MATERIALIZED (SELECT id AS doc_id, confidence, kind, array_to_string(list_sort(list_distinct(coalesce(required_tools, []))), ',') AS context, {S.tokenize(text)} AS terms FROM {sk} WHERE status = 'active'), {bm25_sql('asked', 'sd')},
+p AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc), h AS (SELECT query_id, doc_id AS id, confidence / (60 + pos) AS score, kind, context, list_distinct(terms) AS t FROM p JOIN sd USING (doc_id)),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rk FROM h),
+walk AS (SELECT query_id, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM c)
+  UNION ALL SELECT query_id, rk, CASE WHEN ok THEN list_append(kept, rk) ELSE kept END FROM (SELECT w.query_id, c.rk, kept, NOT EXISTS (SELECT 1 FROM c k WHERE k.query_id = w.query_id AND list_contains(w.kept, k.rk) AND k.kind IS NOT DISTINCT FROM c.kind AND k.context = c.context AND {S.jaccard('k.t', 'c.t')} >= 0.85) AS ok FROM walk w JOIN c ON c.query_id = w.query_id AND c.rk = w.rk + 1 WHERE len(kept) < 4)),
+fin AS (SELECT query_id, arg_max(kept, rk) AS kept FROM walk GROUP BY 1), pk AS (SELECT query_id, unnest(kept) AS at_, generate_subscripts(kept, 1) AS seat FROM fin)
+SELECT c.query_id, c.id, round(c.score, 6) AS score, pk.seat AS rk FROM pk JOIN c ON c.query_id = pk.query_id AND c.rk = pk.at_""",
         "skill_markdown": f"""SELECT id, '---' || chr(10) || 'name: experience-' || left(sha256(id), 32) || chr(10) || 'description: "' || regexp_replace(coalesce(description, ''), '(["\\\\])', '\\\\\\1', 'g') || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(description, '') || chr(10) || chr(10) || 'Status: ' || status || '; version: ' || version || '; kind: ' || kind || '.' || chr(10) || chr(10) || 'Scope: ' || scope || chr(10) || {section('Applicability', 'applicability')} || {section('Required tools', 'required_tools')} || {section('Procedure', 'procedure_steps')} || {section('Cautions', 'cautions')} || {section('Verification', 'verification')} || {section('Source episodes', 'episode_ids')} AS markdown FROM {sk}""",
         "step_sampling": f"SELECT id, len(steps) AS steps, array_to_string(CASE WHEN len(steps) <= 3 THEN range(0, len(steps)) ELSE [0, (len(steps) - 1) // 2, len(steps) - 1] END, ',') AS picks FROM {ep} WHERE steps IS NOT NULL",
         "overlapping_episodes": f"SELECT id, session_id, busy_until FROM (SELECT *, max(completed_at) OVER (PARTITION BY session_id ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {ep} WHERE session_id IS NOT NULL AND started_at IS NOT NULL) WHERE busy_until > started_at",
@@ -304,7 +311,7 @@ SELECT id, count(*) AS families, count(*) FILTER (ok) AS supporting, round(avg(w
         "retrieval_metrics": f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_cosine_similarity(q.v, v.v), 9) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, item, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rk FROM s WHERE s > 0) WHERE rk <= 10), g AS (SELECT q.vec_id AS query_id, x.vec_id AS item FROM v q JOIN v x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
 m AS (SELECT g.query_id, count(*) AS gold, coalesce(max(1.0 / rk), 0) AS rr, {cut} FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.item = g.item GROUP BY 1) SELECT query_id, gold, round(CAST(rr AS DOUBLE), 6) AS rr, {out} FROM m""",
-        "session_metrics": f"WITH {docs}, {bm25_sql('asked', 'docs')}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc), k AS (SELECT query_id, d.scope, min(rk) AS best FROM t JOIN documents d USING (doc_id) WHERE rk <= 50 GROUP BY ALL) SELECT query_id, scope, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rk FROM k) WHERE rk <= 10",
+        "session_metrics": f"WITH {docs}, {bm25_sql('asked', 'docs')}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc), k AS (SELECT query_id, d.scope, min(rk) AS best FROM t JOIN documents d USING (doc_id) GROUP BY ALL) SELECT query_id, scope, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rk FROM k) WHERE rk <= 10",
         "metric_summary": "SELECT grouping(rater) AS overall, rater, count(*) AS n, count(reading_level) AS completed, round(avg(reading_level), 6) AS mean, round(sum(coalesce(reading_level, 0)) / count(*), 6) AS mean_with_failures, CAST(quantile_disc(reading_level, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(reading_level, 0.95) AS DOUBLE) AS p95 FROM level_labels GROUP BY GROUPING SETS ((), (rater))",
         "pass_rate_groups": "WITH c AS (SELECT DISTINCT id, coalesce(source, '?') AS source, coalesce(case_group, '?') AS case_group, abstention FROM evaluation_cases) SELECT source, case_group, count(*) AS cases, count(*) FILTER (NOT abstention) AS answerable FROM c GROUP BY GROUPING SETS ((), (source), (case_group))",
         "round_robin_sample": f"SELECT id, source, seat FROM (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) AS seat FROM (SELECT id, coalesce(source, '?') AS source FROM {case})) ORDER BY seat, source LIMIT 40",

@@ -97,7 +97,7 @@ def ngram_procedures(spark: SparkSession, d: str) -> DataFrame:
 def cooccur_edges(spark: SparkSession, d: str) -> DataFrame:
     a = _event_actions(spark, d)
     known = M.affinities(a, ["scope"]).select("scope", "action")
-    e = M.sequence_edges(M.ngrams(a, ["scope"], longest=3), ["scope"], known)
+    e = M.sequence_edges(M.ngrams(a, ["scope"]), ["scope"], known)
     return e.select("from_label", "to_label", "relation", F.round("confidence", 6).alias("confidence"))
 
 
@@ -165,7 +165,7 @@ k AS (SELECT coalesce(f.scope, h.scope) AS scope, coalesce(f.label, h.label) AS
 SELECT named.id, named.scope, a.id AS from_id, b.id AS to_id FROM named JOIN k a ON a.scope = named.scope AND a.label = fl JOIN k b ON b.scope = named.scope AND b.label = tl""",
         "affinity_tally": f"SELECT scope, 'skill:' || name AS action, count(*) AS uses, count(DISTINCT session_id) AS sessions, {conf('count(*)')} AS confidence, arg_min(id, ord) AS first_id FROM (SELECT id, scope, ord, provenance.session_id AS session_id, coalesce(provenance.skill, trim(split_part(text, chr(10), 1), ' ')) AS name FROM {r} WHERE record_use = 'recallable' AND kind = 'skill-invocation') WHERE name <> '' GROUP BY scope, name",
         "ngram_procedures": f"{ngram}, ev AS (SELECT length, label, count(DISTINCT x) AS evidence FROM (SELECT length, label, unnest(ids) AS x FROM g) GROUP BY ALL) SELECT c.length, c.label, occurrences, evidence, {conf('occurrences')} AS confidence FROM c JOIN ev USING (length, label)",
-        "cooccur_edges": f"""{ngram}, p AS (SELECT label, {conf('occurrences')} AS confidence, string_split(label, ' > ') AS st FROM c WHERE length <= 3), k AS (SELECT action FROM a GROUP BY 1 HAVING count(*) > 1000),
+        "cooccur_edges": f"""{ngram}, p AS (SELECT label, {conf('occurrences')} AS confidence, string_split(label, ' > ') AS st FROM c), k AS (SELECT action FROM a GROUP BY 1 HAVING count(*) >= 3),
 s AS MATERIALIZED (SELECT label, confidence, unnest(st) AS step, generate_subscripts(st, 1) AS pos FROM p), h AS MATERIALIZED (SELECT * FROM s WHERE step IN (SELECT action FROM k))
 SELECT step AS from_label, label AS to_label, 'part-of' AS relation, max(confidence) AS confidence FROM h GROUP BY 1, 2 UNION ALL SELECT b.step, h.step, 'co-occurs', max(h.confidence) FROM h JOIN h b ON b.label = h.label AND b.pos + 1 = h.pos GROUP BY 1, 2""",
         "stated_claims": f"SELECT id, type, subject, sentence FROM ({S.claims(said, 'text', 'id')})",

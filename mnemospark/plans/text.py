@@ -192,8 +192,8 @@ def oracle_sql() -> dict[str, str]:
     multi = f"WITH {_DOCS}, {asked}, {bm25_sql('asked', 'docs')}, rk_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc)"
     records = S.first_arrivals("memory_records")
     cue = "\\d+[.)]|[-*•]"
-    ascii_only = "regexp_full_match(term, '[\\x{1}-\\x{7f}]+')"
-    fnv = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(term, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+    units = "flatten(list_transform(list_transform(string_split(term, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda p: CASE WHEN p < 65536 THEN [p] ELSE [((p - 65536) >> 10) + 55296, ((p - 65536) & 1023) + 56320] END))"
+    fnv = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {units}), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
     parts = "SELECT trim(regexp_replace(x, '^\\s*(?:" + cue + ")\\s*', '')) AS part, doc_id, no FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS x, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS no FROM documents) WHERE regexp_matches(x, '^\\s*(?:" + cue + ")\\s*')"
     digest = "coalesce(" + ", ".join(f"nullif(trim(json_extract_string(text, '$.{k}')), '')" for k in X.DIGEST_KEYS) + ")"
     value = "CASE WHEN split_part(scope, ':', 1) <> 'user' THEN substr(scope, instr(scope, ':') + 1) END"
@@ -207,9 +207,9 @@ def oracle_sql() -> dict[str, str]:
         "split_cue_parts": f"WITH p AS ({parts}), ok AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS part_no, count(*) OVER (PARTITION BY doc_id) AS n FROM p WHERE len({S.tokenize('part')}) >= 3) SELECT doc_id, part_no, part FROM ok WHERE n > 1",
         "corrections": f"SELECT DISTINCT id FROM memory_records WHERE {S.correction('text')}",
         "topic_terms": f"SELECT id, len(t) AS n_topics, array_to_string(list_sort(t), ' ') AS topics FROM (SELECT id, {S.topic(S.tokenize('text'))} AS t FROM {records} WHERE text IS NOT NULL)",
-        "fnv_hashes": f"WITH {_DOCS}, t AS (SELECT DISTINCT unnest(terms) AS term FROM docs) SELECT term, {fnv} AS hash FROM t WHERE {ascii_only}",
+        "fnv_hashes": f"WITH {_DOCS}, t AS (SELECT DISTINCT unnest(terms) AS term FROM docs) SELECT term, {fnv} AS hash FROM t",
         "hash_embedding": f"""WITH {_DOCS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM docs) GROUP BY ALL),
-h AS (SELECT doc_id, tf, {fnv} AS h FROM tf WHERE {ascii_only}), cells AS (SELECT doc_id, h % 512 AS bucket, sum(CASE WHEN (h >> 31) = 1 THEN -1.0 ELSE 1.0 END * (1 + ln(tf))) AS x FROM h GROUP BY ALL),
+h AS (SELECT doc_id, tf, {fnv} AS h FROM tf), cells AS (SELECT doc_id, h % 512 AS bucket, sum(CASE WHEN (h >> 31) = 1 THEN -1.0 ELSE 1.0 END * (1 + ln(tf))) AS x FROM h GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM cells GROUP BY 1) SELECT doc_id, bucket, round(x / norm, 6) AS value FROM cells JOIN n USING (doc_id) WHERE abs(x) > 1e-9""",
         "tool_digests": f"SELECT id, CASE WHEN length(l) > 12 THEN left(l, 12) || '…' ELSE l END AS digest FROM (SELECT DISTINCT id, split_part({digest}, chr(10), 1) AS l FROM history_messages WHERE text LIKE '{{%' AND json_valid(text)) WHERE l IS NOT NULL",
         "clipped_texts": f"SELECT id, left(text, 60) AS text, CASE WHEN length(text) > 60 THEN 'summary' ELSE 'verbatim' END AS fidelity, CASE WHEN length(f) > 40 THEN left(f, 37) || '...' ELSE f END AS title FROM (SELECT id, text, trim(regexp_replace(text, '{X.BLANK}+', ' ', 'g')) AS f FROM {records} WHERE text IS NOT NULL)",
@@ -220,15 +220,15 @@ n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM cells GROUP BY 1) SELECT doc_
         "bm25_by_scope": f"WITH r AS MATERIALIZED (SELECT scope, id AS doc_id, ord, terms FROM {records} WHERE terms IS NOT NULL), asked AS (SELECT scope, doc_id AS query_id, terms FROM r WHERE ord % 100 = 0), {bm25_sql('asked', 'r', 'scope')} SELECT scope, query_id, doc_id, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY scope, query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc) WHERE rk <= 5",
         "cosine_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 9) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(s, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rk FROM s WHERE s > 0) WHERE rk <= 10",
         "normalized_vectors": "SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, CAST(1 AS DOUBLE) AS unit, round(list_cosine_similarity(v, list_reverse(v)), 6) AS mirror FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-        "rrf_fusion": f"""{multi}, lex AS (SELECT query_id, doc_id, rk FROM rk_ WHERE rk <= 50),
+        "rrf_fusion": f"""{multi}, lex AS (SELECT query_id, doc_id, rk FROM rk_),
 rec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST, doc_id) AS rk FROM lex JOIN docs USING (doc_id)),
 f AS (SELECT query_id, doc_id, 1.0 / (60 + lex.rk) + 0.25 / (60 + rec.rk) AS score, lex.rk AS first_rk FROM lex JOIN rec USING (query_id, doc_id))
 SELECT query_id, doc_id, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_rk) AS rk FROM f) WHERE rk <= 10""",
         "interleave_parts": f"WITH {_DOCS}, {asked_parts}, {bm25_sql('asked', 'docs')}, l AS (SELECT query_id AS no, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS seat FROM sc), k AS (SELECT doc_id, min(seat * 10 + no) AS s FROM l WHERE seat <= 20 GROUP BY 1) SELECT doc_id, rk FROM (SELECT doc_id, row_number() OVER (ORDER BY s) AS rk FROM k) WHERE rk <= 20",
-        "diversify_topk": "WITH RECURSIVE " + multi.removeprefix("WITH ") + f""", c AS MATERIALIZED (SELECT query_id, doc_id, rk, list_distinct(docs.terms) AS t FROM rk_ JOIN docs USING (doc_id) WHERE rk <= 40),
+        "diversify_topk": "WITH RECURSIVE " + multi.removeprefix("WITH ") + f""", c AS MATERIALIZED (SELECT query_id, doc_id, rk, list_distinct(docs.terms) AS t FROM rk_ JOIN docs USING (doc_id)),
 walk AS (SELECT query_id, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept, CAST([] AS VARCHAR[][]) AS kept_terms FROM (SELECT DISTINCT query_id FROM c)
   UNION ALL SELECT query_id, rk, CASE WHEN ok THEN list_append(kept, doc_id) ELSE kept END, CASE WHEN ok THEN list_append(kept_terms, t) ELSE kept_terms END
-  FROM (SELECT w.query_id, c.rk, c.doc_id, c.t, kept, kept_terms, len(kept) < 8 AND len(list_filter(kept_terms, lambda k: {S.jaccard('k', 'c.t')} >= 0.3)) = 0 AS ok FROM walk w JOIN c ON c.query_id = w.query_id AND c.rk = w.rk + 1)),
+  FROM (SELECT w.query_id, c.rk, c.doc_id, c.t, kept, kept_terms, len(kept) < 8 AND len(list_filter(kept_terms, lambda k: {S.jaccard('k', 'c.t')} >= 0.3)) = 0 AS ok FROM walk w JOIN c ON c.query_id = w.query_id AND c.rk = w.rk + 1 WHERE len(kept) < 8)),
 last AS (SELECT query_id, arg_max(kept, rk) AS kept FROM walk GROUP BY 1), p AS (SELECT query_id, unnest(kept) AS doc_id, generate_subscripts(kept, 1) AS pick FROM last)
 SELECT p.query_id, p.doc_id, c.rk, p.pick FROM p JOIN c ON c.query_id = p.query_id AND c.doc_id = p.doc_id""",
     }

@@ -32,12 +32,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the reliable checkpoint folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a local temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset on a local master (tests, one
+    machine) a temporary one is made. A cluster without the setting is an error: its machines share no temporary folder.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemospark-checkpoint-"))
     return df.checkpoint(eager=True)
 
