@@ -1,12 +1,14 @@
 """Same or near-same records across splits.
 
-Each held-out split is cut into shards; a shard's records, as sequences of their distinct words in one canonical
-order (rare words first), become a compressed full-text index (suffix array, C table and rank over the
-Burrows-Wheeler transform). Each rare word of a training record takes one backward step from the full interval, a
-postings lookup; the matches are merged into counts per record pair, a pair with too few is out for certain, and the
-others are counted exactly. Searches of several words (``longest_matches``) don't take part, as a long run in common
-isn't needed to reach the threshold; spans are the runs of shared words of pairs already decided. No pair above the
-threshold can be lost (see ``prefix_length``).
+The held-out records are cut into shards; a shard's texts, in their own word order, become a compressed full-text index
+(suffix array, C table, wavelet matrix with sampled ranks over the Burrows-Wheeler transform). Training records are
+streamed through it: backward search starts at each of a record's rarest words (its anchors), the intervals say in
+which held-out records they occur, and a pair that shares too few anchors is out for certain. From the anchors of the
+others the search grows word by word to maximal matches, which are merged into spans and counts.
+
+The threshold is on word sets, so it can't be read off the spans: the same words in another order have only matches of
+one word. What makes the result exact is a bound on anchors (see ``prefix_length``): a pair above the threshold shares
+at least k of the anchors of either record. The pairs left are counted exactly.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.words import WordHashes, words_of
 from mnemospark.runtime import busy_partitions, checkpointed
 
-#: Words are ordered by how often their bucket occurs; so many buckets, whatever the vocabulary (0.5 MB).
-BUCKETS = 1 << 16
 #: Words of one shard's index and of one block of training records.
-SHARD_WORDS = 600_000
-#: Matches expanded at once.
-MATCHES = 2_000_000
+SHARD_WORDS = 2_000_000
+#: Record pairs counted at once, and matches expanded at once.
+CELLS = 4_000_000
+#: Anchors that a pair must share, where its records have as many words.
+ANCHORS = 3
 
 
 def needed(n: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -43,25 +46,10 @@ def prefix_length(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarr
     both prefixes.
     """
     o = needed(n, threshold)
-    k = np.minimum(2, np.maximum(o, 1))
+    k = np.minimum(ANCHORS, np.maximum(o, 1))
     return np.minimum(n, n - o + k), k
 
 
-class Canonical:
-    """The common order of words: rarer bucket first, then the hash."""
-
-    def __init__(self, bucket_counts: np.ndarray) -> None:
-        self.counts = bucket_counts
-
-    def concat(self, sets: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All words, each set's in canonical order, and the sets' lengths."""
-        sets = list(sets)
-        n = np.array([len(s) for s in sets], np.int64)
-        words = np.concatenate(sets).astype(np.int64) if n.sum() else np.array([], np.int64)
-        of = np.repeat(np.arange(len(sets)), n)
-        return words[np.lexsort((words, self.counts[words & (BUCKETS - 1)], of))], n
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of an integer text by prefix doubling."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
@@ -78,70 +66,99 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
+class WaveletMatrix:
+    """Ranks of any symbol in a sequence; a bit a level and position, and a count every 64 positions."""
+
+    def __init__(self, sequence: np.ndarray, symbols: int) -> None:
+        self.n, self.levels = len(sequence), max(1, int(symbols - 1).bit_length())
+        self.words, self.counts, self.zeros = [], [], []
+        left = sequence
+        for level in range(self.levels - 1, -1, -1):
+            bit = (left >> level) & 1
+            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+            padded[: self.n] = bit
+            words = np.packbits(padded, bitorder="little").view(np.uint64)
+            self.words.append(words)
+            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))[:-1].astype(np.int32))
+            self.zeros.append(int(self.n - bit.sum()))
+            left = np.concatenate((left[bit == 0], left[bit == 1]))
+        self.starts = self._walk(np.zeros(symbols, np.int64), np.arange(symbols))
+
+    def _walk(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        for i, level in enumerate(range(self.levels - 1, -1, -1)):
+            block = at >> 6
+            ones = self.counts[i][block] + np.bitwise_count(self.words[i][block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            at = np.where((symbol >> level) & 1, self.zeros[i] + ones, at - ones)
+        return at
+
+    def rank(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """How often symbol stands before position ``at``."""
+        return self._walk(at, symbol) - self.starts[symbol]
+
+
 class FullTextIndex:
-    """Compressed full-text index of records; a record is a sequence of words."""
+    """Compressed full-text index of records; a record is a sequence of words and belongs to a group (a dataset's number)."""
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> None:
-        self.words, self.lengths, self.keys = words, lengths, keys
+    def __init__(self, sequences: list[np.ndarray], groups: np.ndarray) -> None:
+        words = np.concatenate([*sequences, np.array([], np.int64)]).astype(np.int64)
+        self.lengths, self.groups = np.array([len(s) for s in sequences], np.int64), np.asarray(groups, np.int64)
         self.alphabet = np.unique(words)
-        starts = np.cumsum(lengths + 1) - (lengths + 1)
-        self.starts = starts
-        # text: symbols from len(records) on, every record closed by its own separator so that suffixes stay distinct
-        self.text = np.empty(int((lengths + 1).sum()), np.int64)
-        inside = np.ones(len(self.text), bool)
-        inside[starts + lengths] = False
-        self.text[inside] = np.searchsorted(self.alphabet, words) + len(lengths)
-        self.text[~inside] = np.arange(len(lengths))
+        # symbol 0 closes every record; words follow from 1 on
+        self.text = np.zeros(len(words) + len(self.lengths), np.int64)
+        self.text[self._inside()] = np.searchsorted(self.alphabet, words) + 1
         self.sa = suffix_array(self.text)
         self._derive()
 
+    def _inside(self) -> np.ndarray:
+        self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
+        inside = np.ones(int((self.lengths + 1).sum()), bool)
+        inside[self.starts + self.lengths] = False
+        return inside
+
     def _derive(self) -> None:
-        n, m = len(self.text), len(self.lengths)
-        bwt = self.text[self.sa - 1]
-        symbols = m + len(self.alphabet)
-        self.c = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=symbols))))
-        at = np.argsort(bwt, kind="stable")
-        self.occurrences = bwt[at] * n + at
-        self.record = np.repeat(np.arange(m), self.lengths + 1)[self.sa]
-        self.offset = self.sa - self.starts[self.record]
+        self.symbols = len(self.alphabet) + 1
+        counts = np.bincount(self.text, minlength=self.symbols)
+        self.c = np.concatenate(([0], np.cumsum(counts)))
+        self.bwt = self.text[self.sa - 1]
+        self.ranks = WaveletMatrix(self.bwt, self.symbols)
+        #: The common order of words: those not in the index first, then the rarer first.
+        self.place = np.empty(self.symbols, np.int64)
+        self.place[np.argsort(counts, kind="stable")] = np.arange(self.symbols)
+        # distinct words of each record, rarest first; the first place of each in the text
+        record = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        at = np.flatnonzero(self.text)
+        self.words, self.first, self.sizes = distinct(record, self.place[self.text[at]], at, len(self.lengths))
 
     def to_bytes(self) -> bytes:
-        """Words and keys as they are, the suffix array in 32 bits; the transform and its ranks are derived again."""
-        head = np.array([len(self.words), len(self.lengths), len(self.sa)], np.int64)
-        parts = (head, self.words, self.lengths.astype(np.int64), self.keys.astype(np.int64), self.sa.astype(np.int32))
+        """Alphabet, lengths, groups, text and suffix array; the transform and its ranks are derived again."""
+        head = np.array([len(self.alphabet), len(self.lengths), len(self.sa)], np.int64)
+        parts = (head, self.alphabet, self.lengths.astype(np.int32), self.groups.astype(np.int32), self.text.astype(np.int32), self.sa.astype(np.int32))
         return zlib.compress(b"".join(p.tobytes() for p in parts), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> FullTextIndex:
         self, raw = cls.__new__(cls), zlib.decompress(data)
-        w, m, s = np.frombuffer(raw, np.int64, 3)
-        self.words = np.frombuffer(raw, np.int64, w, 24)
-        self.lengths = np.frombuffer(raw, np.int64, m, 24 + 8 * w)
-        self.keys = np.frombuffer(raw, np.int64, m, 24 + 8 * (w + m))
-        self.sa = np.frombuffer(raw, np.int32, s, 24 + 8 * (w + 2 * m)).astype(np.int64)
-        self.alphabet = np.unique(self.words)
-        self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
-        self.text = np.empty(s, np.int64)
-        inside = np.ones(s, bool)
-        inside[self.starts + self.lengths] = False
-        self.text[inside] = np.searchsorted(self.alphabet, self.words) + m
-        self.text[~inside] = np.arange(m)
+        a, m, n = np.frombuffer(raw, np.int64, 3)
+        self.alphabet = np.frombuffer(raw, np.int64, a, 24)
+        rest = np.frombuffer(raw, np.int32, 2 * m + 2 * n, 24 + 8 * a).astype(np.int64)
+        self.lengths, self.groups, self.text, self.sa = rest[:m], rest[m : 2 * m], rest[2 * m : 2 * m + n], rest[2 * m + n :]
+        self._inside()
         self._derive()
         return self
 
-    def symbols(self, words: np.ndarray) -> np.ndarray:
+    def symbols_of(self, words: np.ndarray) -> np.ndarray:
         """Symbols of words, -1 for those not in the index."""
         if not len(self.alphabet):
             return np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == words, at + len(self.lengths), -1)
+        return np.where(self.alphabet[at] == words, at + 1, -1)
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the suffixes that start with symbol and go on as those in [low, high)."""
-        known = symbol >= 0
-        s, n = np.where(known, symbol, 0), len(self.text)
-        rank = lambda i: np.searchsorted(self.occurrences, s * n + i)  # noqa: E731  C[s] + occ(s, i): the ranks lie symbol by symbol
-        return np.where(known, rank(low), 0), np.where(known, rank(high), 0)
+        known = symbol > 0
+        s = np.where(known, symbol, 0)
+        low, high = np.split(self.ranks.rank(np.concatenate((low, high)), np.concatenate((s, s))) + np.tile(self.c[s], 2), 2)
+        return np.where(known, low, 0), np.where(known, high, 0)
 
     def longest_matches(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each position of the concatenated sequences: the longest match in the index that ends there."""
@@ -158,139 +175,213 @@ class FullTextIndex:
             alive = alive[at[alive] >= first[alive]]
         return length
 
+    def grown(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of the maximal matches of a sequence with single rows: backward search from one row of an anchor's
+        interval, growing to the left while the row's suffix goes on as the sequence does; to the right by the text.
+
+        at: the anchors' positions in ``symbols``; first, last: the bounds of their sequences; row: suffix array rows.
+        """
+        begin, end, held = at.copy(), at + 1, self.sa[row]
+        alive, r = np.flatnonzero(begin > first), row.copy()
+        while len(alive):
+            s = symbols[begin[alive] - 1]
+            alive = alive[(self.bwt[r[alive]] == s) & (s > 0)]
+            s = symbols[begin[alive] - 1]
+            r[alive] = self.c[s] + self.ranks.rank(r[alive], s)
+            begin[alive] -= 1
+            alive = alive[begin[alive] > first[alive]]
+        alive = np.flatnonzero(end < last)
+        while len(alive):
+            there = self.text[np.minimum(held[alive] + end[alive] - at[alive], len(self.text) - 1)]
+            alive = alive[(symbols[end[alive]] == there) & (there > 0)]
+            end[alive] += 1
+            alive = alive[end[alive] < last[alive]]
+        return begin, end
+
+
+def distinct(record: np.ndarray, place: np.ndarray, at: np.ndarray, records: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of each record's distinct words in ascending order, ``at`` of their first appearances, words a record)."""
+    top = int(place.max(initial=0)) + 1
+    code, index = np.unique(record * top + place, return_index=True)
+    return code % top, at[index], np.bincount(code // top, minlength=records)
+
 
-def spans_of(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(number, longest) of the maximal runs of words that two canonical sequences share in a row."""
-    in_a, in_b = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-    if not len(in_a):
-        return 0, 0
-    cut = np.flatnonzero((np.diff(in_a) != 1) | (np.diff(in_b) != 1))
-    edges = np.concatenate(([-1], cut, [len(in_a) - 1]))
-    return len(edges) - 1, int(np.diff(edges).max())
+def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[int, int]:
+    """(number, longest) of the spans that matches of one pair merge into."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] >= end[:-1])))
+    last = np.append(new[1:], len(begin)) - 1
+    return len(new), int((end[last] - begin[new]).max())
 
 
-def matched_pairs(index: FullTextIndex, words: np.ndarray, lengths: np.ndarray, threshold: float) -> Iterable[tuple[int, int, int]]:
-    """(training position, index position, shared words) of all pairs whose word sets overlap by the threshold or more."""
+def matched_pairs(index: FullTextIndex, sequences: list[np.ndarray], groups: np.ndarray, allowed: np.ndarray, threshold: float) -> Iterable[tuple[int, int, int, int, int, bool]]:
+    """(training position, index position, shared words, spans, longest span, equal) of all pairs whose word sets overlap by
+    the threshold or more.
+
+    groups: the sequences' groups; allowed: boolean matrix, group of a sequence x group of an indexed record.
+    """
     m = len(index.lengths)
-    prefix_b, k_b = prefix_length(index.lengths, threshold)
-    # occurrences inside the prefixes of the indexed records, still in suffix order
-    kept = index.offset < prefix_b[index.record]
-    upto = np.concatenate(([0], np.cumsum(kept)))
-    record = index.record[kept]
-    symbols = index.symbols(words)
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    raw = np.concatenate([*sequences, np.array([], np.int64)]).astype(np.int64)
+    text = index.symbols_of(raw)
     starts = np.cumsum(lengths) - lengths
-    prefix_a, k_a = prefix_length(lengths, threshold)
-    offset = np.arange(len(words)) - np.repeat(starts, lengths)
-    query = np.flatnonzero((offset < np.repeat(prefix_a, lengths)) & (symbols >= 0))
-    low, high = index.extend(np.zeros(len(query), np.int64), np.full(len(query), len(index.text), np.int64), symbols[query])
+    # places: words that aren't in the index come first, each with a place of its own
+    place = np.where(text > 0, index.place[np.maximum(text, 0)], 0)
+    unknown = np.flatnonzero(text < 0)
+    fresh, back = np.unique(raw[unknown], return_inverse=True)
+    place = place + len(fresh)
+    place[unknown] = back
+    words, at, sizes = distinct(np.repeat(np.arange(len(lengths)), lengths), place, np.arange(len(raw)), len(lengths))
+    offset = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins = np.cumsum(sizes) - sizes
+    # anchors of the indexed records, in suffix order
+    prefix_b, k_b = prefix_length(index.sizes, threshold)
+    begins_b = np.cumsum(index.sizes) - index.sizes
+    anchor = np.zeros(len(index.text), bool)
+    anchor[index.first[np.arange(len(index.words)) - np.repeat(begins_b, index.sizes) < np.repeat(prefix_b, index.sizes)]] = True
+    rows = np.flatnonzero(anchor[index.sa])
+    upto = np.searchsorted(rows, np.arange(len(index.text) + 1))
+    record = (np.searchsorted(index.starts, index.sa[rows], side="right") - 1).astype(np.int64)
+    # one step of backward search from every anchor of the training records
+    prefix_a, k_a = prefix_length(sizes, threshold)
+    query = np.flatnonzero((offset < np.repeat(prefix_a, sizes)) & (words >= len(fresh)))
+    of = np.repeat(np.arange(len(lengths)), sizes)[query]
+    low, high = index.extend(np.zeros(len(query), np.int64), np.full(len(query), len(index.text), np.int64), text[at[query]])
     low, high = upto[low], upto[high]
-    of = np.repeat(np.arange(len(lengths)), lengths)[query]
-    indexed = index.text  # symbols of an indexed record: a slice
-    flags = np.zeros(m + len(index.alphabet), bool)
-    done = 0
-    total = np.concatenate(([0], np.cumsum(high - low)))
-    while done < len(query):
-        # whole training records at a time, about MATCHES matches
-        end = max(int(np.searchsorted(total, total[done] + MATCHES, side="right")) - 1, done + 1)
-        end = int(np.searchsorted(of, of[end - 1], side="right")) if end < len(query) else len(query)
-        lo, n = low[done:end], (high - low)[done:end]
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        a, b = np.repeat(of[done:end], n), record[at]
-        near = (index.lengths[b] >= needed(lengths[a], threshold)) & (lengths[a] >= needed(index.lengths[b], threshold))
-        code, count = np.unique(a[near] * m + b[near], return_counts=True)
-        a, b = code // m, code % m
-        enough = count >= np.minimum(k_a[a], k_b[b])
-        a, b = a[enough], b[enough]
+    hits = high - low
+    total = np.concatenate(([0], np.cumsum(hits)))
+    query_from = np.searchsorted(of, np.arange(len(lengths) + 1))
+    flags = np.zeros(len(fresh) + index.symbols, bool)
+    done, step = 0, max(1, CELLS // max(m, 1))
+    while done < len(lengths):
+        # whole training records at a time: about CELLS pairs, about CELLS matches
+        end = min(len(lengths), done + step, max(done + 1, int(np.searchsorted(total[query_from], total[query_from[done]] + CELLS, side="right")) - 1))
+        q0, q1 = query_from[done], query_from[end]
+        n = hits[q0:q1]
+        pick = np.repeat(low[q0:q1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        count = np.bincount(np.repeat((of[q0:q1] - done) * m, n) + record[pick], minlength=(end - done) * m)
+        cell = np.flatnonzero(count)
+        a, b = cell // m + done, cell % m
+        near = count[cell] >= np.minimum(k_a[a], k_b[b])
+        a, b = a[near], b[near]
+        near = allowed[groups[a], index.groups[b]] & (index.sizes[b] >= needed(sizes[a], threshold)) & (sizes[a] >= needed(index.sizes[b], threshold))
+        a, b = a[near], b[near]
         edges = np.flatnonzero(np.diff(a, prepend=-1, append=-1)) if len(a) else np.array([], np.int64)
         for x, y in zip(edges[:-1], edges[1:]):
             i, others = int(a[x]), b[x:y]
-            own = symbols[starts[i] : starts[i] + lengths[i]]
-            own = own[own >= 0]
+            own = words[begins[i] : begins[i] + sizes[i]]
             flags[own] = True
-            size = index.lengths[others]
+            size = index.sizes[others]
             begin = np.cumsum(size) - size
-            tokens = np.repeat(index.starts[others] - begin, size) + np.arange(int(size.sum()))
-            shared = np.add.reduceat(flags[indexed[tokens]].astype(np.int64), begin)
+            tokens = np.repeat(begins_b[others] - begin, size) + np.arange(int(size.sum()))
+            shared = np.add.reduceat(flags[len(fresh) + index.words[tokens]].astype(np.int64), begin)
             flags[own] = False
-            good = shared >= threshold * (lengths[i] + size - shared) - 1e-9
-            for j, s in zip(others[good], shared[good]):
-                yield i, int(j), int(s)
+            good = shared >= threshold * (sizes[i] + size - shared) - 1e-9
+            if not good.any():
+                continue
+            others, shared = others[good], shared[good]
+            # the good pairs' anchors grow to maximal matches
+            mine = np.arange(query_from[i], query_from[i + 1])
+            n_ = hits[mine]
+            found = np.repeat(low[mine] - (np.cumsum(n_) - n_), n_) + np.arange(int(n_.sum()))
+            kept = np.isin(record[found], others)
+            position, found = np.repeat(at[query[mine]], n_)[kept], found[kept]
+            lo, hi = np.full(len(found), starts[i]), np.full(len(found), starts[i] + lengths[i])
+            begin_, end_ = index.grown(text, lo, hi, position, rows[found])
+            for j, s in zip(others, shared):
+                its = record[found] == j
+                spans, longest = _merged(begin_[its], end_[its])
+                yield i, int(j), int(s), spans, longest, bool(s == sizes[i] == index.sizes[j])
         done = end
 
 
-def overlapping_sets(records: DataFrame, pairs: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Pairs of distinct word sets, one of a training and one of a held-out dataset, that overlap by the threshold or more.
+def overlapping_texts(texts: DataFrame, pairs: list[tuple[str, str]], threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Pairs of distinct texts, one of a training and one of a held-out dataset, whose word sets overlap by the threshold or
+    more.
 
-    records: dataset, set_key BIGINT, words ARRAY<BIGINT>, one row per dataset and distinct set; pairs: training, held_out.
-    Result: training, held_out, set_a (training's), set_b, shared, spans, longest.
-    """
-    spark = records.sparkSession
-    records = records.where("dataset IS NOT NULL AND size(words) > 0").select("dataset", "set_key", "words")
-    counted = records.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for bucket, n in counted.collect():  # at most BUCKETS rows
-        counts[bucket] = n
-    shared_counts = spark.sparkContext.broadcast(counts)
-
-    pairs = pairs.select("training", "held_out").where("training IS NOT NULL AND held_out IS NOT NULL").distinct()
-    parts = records.groupBy("dataset").agg(F.ceil(F.sum(F.size("words")) / F.lit(shard_words)).cast("int").alias("parts"))
+    texts: dataset, key_a, key_b (128 bits that stand for the text), text, one row per dataset and distinct text; pairs:
+    (training, held out), one per bank. Result: training, held_out, a_a, a_b, b_a, b_b (the keys of the training and of the
+    held-out text), shared, spans, longest, exact.
 
-    def parted(side: str, name: str) -> DataFrame:
-        part = F.pmod(F.xxhash64("set_key", F.lit(name)), F.col("parts")).cast("int").alias(name)
-        chosen = pairs.select(F.col(side).alias("dataset")).distinct()
-        return records.join(chosen, "dataset", "left_semi").join(parts, "dataset").select("dataset", part, "set_key", "words")
+    Shards and blocks are cut by the hash of the text over all datasets, so a dataset of any size is spread. A training
+    text is sent to every shard, a shard to every block: work grows with held-out shards x training texts.
+    """
+    spark = texts.sparkSession
+    names = sorted({x for p in pairs for x in p})
+    number = {x: i for i, x in enumerate(names)}
+    allowed = np.zeros((len(names), len(names)), bool)
+    for training, held_out in pairs:
+        allowed[number[training], number[held_out]] = True
+    jobs = busy_partitions(spark)
+    size = F.sum(F.length("text") / 5)
+    held_chars, train_chars = (texts.where(F.col("dataset").isin(sorted({p[i] for p in pairs}))).agg(size).first()[0] or 0 for i in (1, 0))
+    # shards and blocks of bounded size, and enough of them together to keep the cores busy
+    shards = max(math.ceil(held_chars / shard_words), min(round(jobs**0.5), math.ceil(held_chars / 50_000)), 1)
+    blocks = max(math.ceil(train_chars / shard_words), min(math.ceil(jobs / shards), math.ceil(train_chars / 50_000)), 1)
+
+    def side(i: int, parts: int, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("key_a", F.lit(name)), F.lit(parts)).cast("int").alias(name)
+        return texts.where(F.col("dataset").isin(sorted({p[i] for p in pairs}))).select("dataset", "key_a", "key_b", "text", part)
+
+    def read(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        hashes = WordHashes()
+        return [hashes.sequence(words_of(t)) for t in frame["text"]], frame["dataset"].map(number).to_numpy(np.int64)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        words, lengths = Canonical(shared_counts.value).concat(frame["words"])
-        index = FullTextIndex(words, lengths, frame["set_key"].to_numpy())
-        return pd.DataFrame({"held_out": [frame["dataset"].iloc[0]], "shard": [frame["shard"].iloc[0]], "index": [index.to_bytes()]})
-
-    indexes = checkpointed(parted("held_out", "shard").groupBy("dataset", "shard").applyInPandas(build, "held_out string, shard int, index binary"))
-    blocks = parts.select(F.col("dataset").alias("training"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
-    jobs = pairs.join(indexes.select("held_out", "shard"), "held_out")
-    key = ["training", "held_out", "shard", "block"]
-    streamed = parted("training", "block").withColumnRenamed("dataset", "training").join(jobs, "training")
-    # indexes are far larger than the planner thinks: they must not be broadcast
-    # cogroup matches keys by place; other names keep the two sides' columns apart
-    shipped = pairs.join(indexes.hint("merge"), "held_out").join(blocks.hint("merge"), "training").select(*[F.col(c).alias(f"of_{c}") for c in key], "index")
+        keys = frame[["key_a", "key_b"]].to_numpy(np.int64)
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "index": [FullTextIndex(*read(frame)).to_bytes()], "keys": [zlib.compress(keys.tobytes(), 1)]})
+
+    # indexes are far larger than the planner thinks: they must not be broadcast, and the cogroup doesn't
+    indexes = checkpointed(side(1, shards, "shard").repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, index binary, keys binary"))
+    spread = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)]))
+    streamed = side(0, blocks, "block").withColumn("shard", spread(shards)) if shards > 1 else side(0, blocks, "block").withColumn("shard", F.lit(0))
+    shipped = indexes.withColumn("block", spread(blocks)).select(F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), "index", "keys")
+    columns = ["training", "held_out", "a_a", "a_b", "b_a", "b_b", "shared", "spans", "longest", "exact"]
 
     def search(block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(block) and len(shard):
             index = FullTextIndex.from_bytes(shard["index"].iloc[0])
-            words, lengths = Canonical(shared_counts.value).concat(block["words"])
-            starts = np.cumsum(lengths) - lengths
-            keys = block["set_key"].to_numpy()
-            begin = np.cumsum(index.lengths) - index.lengths
-            for i, j, s in matched_pairs(index, words, lengths, threshold):
-                spans = spans_of(words[starts[i] : starts[i] + lengths[i]], index.words[begin[j] : begin[j] + index.lengths[j]])
-                out.append((shard["of_training"].iloc[0], shard["of_held_out"].iloc[0], keys[i], index.keys[j], s, *spans))
-        return pd.DataFrame(out, columns=["training", "held_out", "set_a", "set_b", "shared", "spans", "longest"])
-
-    schema = "training string, held_out string, set_a bigint, set_b bigint, shared int, spans int, longest int"
-    # a job computes long on few bytes: as many partitions as jobs, up to three a core, keep the cores busy
-    n = min(busy_partitions(spark), max(1, jobs.join(blocks, "training").count()) * 2)
-    left, right = streamed.repartition(n, *key), shipped.repartition(n, *[f"of_{c}" for c in key])
-    return left.groupBy(*key).cogroup(right.groupBy(*[f"of_{c}" for c in key])).applyInPandas(search, schema)
+            theirs = np.frombuffer(zlib.decompress(shard["keys"].iloc[0]), np.int64).reshape(-1, 2)
+            sequences, groups = read(block)
+            mine = block[["key_a", "key_b"]].to_numpy(np.int64)
+            for i, j, *found in matched_pairs(index, sequences, groups, allowed, threshold):
+                out.append((names[groups[i]], names[index.groups[j]], *mine[i], *theirs[j], *found))
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "training string, held_out string, a_a bigint, a_b bigint, b_a bigint, b_b bigint, shared int, spans int, longest int, exact boolean"
+    # a job computes long on few bytes: a partition each, up to three a core
+    n = min(jobs, shards * blocks)
+    left, right = streamed.repartition(n, "shard", "block"), shipped.repartition(n, "of_shard", "of_block")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("of_shard", "of_block")).applyInPandas(search, schema)
 
 
 def cross_split_overlaps(records: DataFrame, pairs: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """All overlaps between the records of paired datasets.
 
-    records: id STRING, dataset STRING, words ARRAY<BIGINT> (sorted distinct hashes, see ``words.word_set``), one row per
-    id; pairs: training, held_out (repeated rows and rows with a null do nothing). Other columns are ignored.
-    Result: training, held_out, training_id, held_out_id, shared, spans, longest, exact BOOLEAN (equal word sets).
+    records: id STRING, dataset STRING, text STRING (repeated rows count once); pairs: training, held_out, one row per
+    bank (repeated rows and rows with a null do nothing; the list of pairs is read by the driver). Other columns are ignored.
+    Result: training, held_out, training_id, held_out_id, shared (words), spans, longest (of maximal matches grown from the
+    shared anchors, merged, in words), exact BOOLEAN (equal word sets).
 
-    A record without words overlaps with nothing; one without dataset belongs to no split. A record never comes out
-    against itself. Equal word sets are compared once, however many records hold them, and expanded at the end.
+    A record without words, of null or blank text, overlaps with nothing; one without dataset belongs to no split. A record
+    never comes out against itself. Equal texts are compared once, however many records hold them, and expanded at the end.
     """
-    members = checkpointed(records.select("id", "dataset", "words").where("dataset IS NOT NULL AND size(words) > 0").withColumn("set_key", F.xxhash64("words")))
-    sets = members.groupBy("dataset", "set_key").agg(F.any_value("words").alias("words"))
-    found = overlapping_sets(sets, pairs, threshold, shard_words)
-    a = members.select(F.col("dataset").alias("training"), F.col("set_key").alias("set_a"), F.col("id").alias("training_id"))
-    b = members.select(F.col("dataset").alias("held_out"), F.col("set_key").alias("set_b"), F.col("id").alias("held_out_id"))
-    exact = (F.col("set_a") == F.col("set_b")).alias("exact")
-    return found.join(a, ["training", "set_a"]).join(b, ["held_out", "set_b"]).where("training_id <> held_out_id").select("training", "held_out", "training_id", "held_out_id", "shared", "spans", "longest", exact)
+    spark = records.sparkSession
+    linked = [(r[0], r[1]) for r in pairs.select("training", "held_out").where("training IS NOT NULL AND held_out IS NOT NULL").distinct().collect()]
+    if not linked:
+        return spark.createDataFrame([], "training string, held_out string, training_id string, held_out_id string, shared int, spans int, longest int, exact boolean")
+    used = records.select("id", "dataset", "text").where(F.col("dataset").isin(sorted({x for p in linked for x in p})) & F.col("text").rlike(r"[\p{L}\p{N}_]|[^\x00-\x7f]"))
+    keyed = used.select("id", "dataset", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b"), "text")
+    # texts are grouped once for both sides; the members carry keys alone
+    texts = checkpointed(keyed.groupBy("dataset", "key_a", "key_b").agg(F.any_value("text").alias("text")))
+    found = overlapping_texts(texts, linked, threshold, shard_words)
+    members = keyed.select("id", "dataset", "key_a", "key_b").distinct()
+    a = members.select(F.col("dataset").alias("training"), F.col("key_a").alias("a_a"), F.col("key_b").alias("a_b"), F.col("id").alias("training_id"))
+    b = members.select(F.col("dataset").alias("held_out"), F.col("key_a").alias("b_a"), F.col("key_b").alias("b_b"), F.col("id").alias("held_out_id"))
+    expanded = found.join(a, ["training", "a_a", "a_b"]).join(b, ["held_out", "b_a", "b_b"]).where("training_id <> held_out_id")
+    return expanded.select("training", "held_out", "training_id", "held_out_id", "shared", "spans", "longest", "exact")
 
 
 def overlap_report(overlaps: DataFrame, sources: DataFrame) -> DataFrame:

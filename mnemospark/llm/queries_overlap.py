@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.overlap import cross_split_overlaps, overlap_report
-from mnemospark.llm.words import word_set, words_sql
+from mnemospark.llm.words import words_sql
 from mnemospark.runtime import checkpointed, table
 
 
@@ -15,17 +15,11 @@ def _banks(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("training_dataset_fingerprint").alias("training"), F.col("held_out_dataset_fingerprint").alias("held_out"))
 
 
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    """One row per case; resent rows are dropped, and so are cases of datasets in no bank."""
-    cases = table(spark, d, "evaluation_cases").select("id", F.col("dataset_fingerprint").alias("dataset"), "question", "reference", "source")
-    banks = _banks(spark, d).where("held_out IS NOT NULL AND training IS NOT NULL")
-    used = banks.select(F.explode(F.array("training", "held_out")).alias("dataset")).distinct()
-    text = F.concat_ws(" ", "question", "reference")
-    return cases.join(used, "dataset", "left_semi").dropDuplicates(["id"]).select("id", "dataset", "source", text.alias("text"))
-
-
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return cross_split_overlaps(_cases(spark, d).select("id", "dataset", word_set("text").alias("words")), _banks(spark, d), 0.7)
+    """Resent rows of a case are equal, so they fall together with its text."""
+    cases = table(spark, d, "evaluation_cases")
+    records = cases.select("id", F.col("dataset_fingerprint").alias("dataset"), F.concat_ws(" ", "question", "reference").alias("text"))
+    return cross_split_overlaps(records, _banks(spark, d), 0.7)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap_report(checkpointed(_overlaps(spark, d)), _cases(spark, d).select("id", "source"))
+    return overlap_report(checkpointed(_overlaps(spark, d)), table(spark, d, "evaluation_cases").select("id", "source").dropDuplicates(["id"]))
 
 
 def queries() -> dict:

@@ -43,17 +43,21 @@ class WordHashes:
         self.known: dict[str, int] = {}
         self.most = most
 
-    def __call__(self, words: Iterable[str]) -> np.ndarray:
-        """Sorted distinct hashes."""
+    def sequence(self, words: Iterable[str]) -> np.ndarray:
+        """One hash a word, in the order given."""
         known, out = self.known, []
-        for w in set(words):
+        for w in words:
             h = known.get(w)
             if h is None:
                 if len(known) >= self.most:
                     known.clear()
                 h = known[w] = xxhash.xxh64_intdigest(w.encode()) - (1 << 63)
             out.append(h)
-        return np.sort(np.array(out, np.int64))
+        return np.array(out, np.int64)
+
+    def __call__(self, words: Iterable[str]) -> np.ndarray:
+        """Sorted distinct hashes."""
+        return np.sort(self.sequence(set(words)))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType(), False))
