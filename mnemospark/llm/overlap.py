@@ -146,6 +146,14 @@ class FullTextIndex:
         self._derive()
         return self
 
+    def anchors(self, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix array rows, records) of the first places of each record's rarest ``prefix`` words, in suffix order."""
+        begins = np.cumsum(self.sizes) - self.sizes
+        anchor = np.zeros(len(self.text), bool)
+        anchor[self.first[np.arange(len(self.words)) - np.repeat(begins, self.sizes) < np.repeat(prefix, self.sizes)]] = True
+        rows = np.flatnonzero(anchor[self.sa])
+        return rows, np.searchsorted(self.starts, self.sa[rows], side="right") - 1
+
     def symbols_of(self, words: np.ndarray) -> np.ndarray:
         """Symbols of words, -1 for those not in the index."""
         if not len(self.alphabet):
@@ -206,22 +214,36 @@ def distinct(record: np.ndarray, place: np.ndarray, at: np.ndarray, records: int
     return code % top, at[index], np.bincount(code // top, minlength=records)
 
 
-def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[int, int]:
-    """(number, longest) of the spans that matches of one pair merge into."""
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate(([True], begin[1:] >= end[:-1])))
+def merged(pair: np.ndarray, begin: np.ndarray, end: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, longest) of the spans that the matches of each pair merge into."""
+    room = int(end.max(initial=0)) + 1
+    order = np.lexsort((begin, pair))
+    pair = pair[order]
+    begin, end = pair * room + begin[order], np.maximum.accumulate(pair * room + end[order])
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(begin)), bool), begin[1:] >= end[:-1])))
     last = np.append(new[1:], len(begin)) - 1
-    return len(new), int((end[last] - begin[new]).max())
+    longest = np.zeros(pairs, np.int64)
+    np.maximum.at(longest, pair[new], end[last] - begin[new])
+    return np.bincount(pair[new], minlength=pairs), longest
 
 
-def matched_pairs(index: FullTextIndex, sequences: list[np.ndarray], groups: np.ndarray, allowed: np.ndarray, threshold: float) -> Iterable[tuple[int, int, int, int, int, bool]]:
+def matched_pairs(index: FullTextIndex, sequences: list[np.ndarray], groups: np.ndarray, allowed: np.ndarray, threshold: float) -> Iterable[tuple[np.ndarray, ...]]:
     """(training position, index position, shared words, spans, longest span, equal) of all pairs whose word sets overlap by
-    the threshold or more.
+    the threshold or more, as arrays.
 
     groups: the sequences' groups; allowed: boolean matrix, group of a sequence x group of an indexed record.
     """
-    m = len(index.lengths)
+    groups = np.asarray(groups)
+    for g in np.unique(groups):
+        mine = np.flatnonzero(groups == g)
+        theirs = np.flatnonzero(allowed[g, index.groups])
+        if len(theirs):
+            for i, j, *found in _matched(index, [sequences[k] for k in mine], theirs, threshold):
+                yield mine[i], theirs[j], *found
+
+
+def _matched(index: FullTextIndex, sequences: list[np.ndarray], theirs: np.ndarray, threshold: float) -> Iterable[tuple[np.ndarray, ...]]:
+    """``matched_pairs`` of sequences of one group with the indexed records ``theirs``; positions are those in both lists."""
     lengths = np.array([len(s) for s in sequences], np.int64)
     raw = np.concatenate([*sequences, np.array([], np.int64)]).astype(np.int64)
     text = index.symbols_of(raw)
@@ -233,16 +255,18 @@ def matched_pairs(index: FullTextIndex, sequences: list[np.ndarray], groups: np.
     place = place + len(fresh)
     place[unknown] = back
     words, at, sizes = distinct(np.repeat(np.arange(len(lengths)), lengths), place, np.arange(len(raw)), len(lengths))
-    offset = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     begins = np.cumsum(sizes) - sizes
+    offset = np.arange(len(words)) - np.repeat(begins, sizes)
     # anchors of the indexed records, in suffix order
+    m, sizes_b = len(theirs), index.sizes[theirs]
     prefix_b, k_b = prefix_length(index.sizes, threshold)
-    begins_b = np.cumsum(index.sizes) - index.sizes
-    anchor = np.zeros(len(index.text), bool)
-    anchor[index.first[np.arange(len(index.words)) - np.repeat(begins_b, index.sizes) < np.repeat(prefix_b, index.sizes)]] = True
-    rows = np.flatnonzero(anchor[index.sa])
+    k_b, begins_b = k_b[theirs], (np.cumsum(index.sizes) - index.sizes)[theirs]
+    column = np.full(len(index.lengths), -1, np.int64)
+    column[theirs] = np.arange(m)
+    rows, record = index.anchors(prefix_b)
+    record = column[record]
+    rows, record = rows[record >= 0], record[record >= 0]
     upto = np.searchsorted(rows, np.arange(len(index.text) + 1))
-    record = (np.searchsorted(index.starts, index.sa[rows], side="right") - 1).astype(np.int64)
     # one step of backward search from every anchor of the training records
     prefix_a, k_a = prefix_length(sizes, threshold)
     query = np.flatnonzero((offset < np.repeat(prefix_a, sizes)) & (words >= len(fresh)))
@@ -253,47 +277,47 @@ def matched_pairs(index: FullTextIndex, sequences: list[np.ndarray], groups: np.
     total = np.concatenate(([0], np.cumsum(hits)))
     query_from = np.searchsorted(of, np.arange(len(lengths) + 1))
     flags = np.zeros(len(fresh) + index.symbols, bool)
-    done, step = 0, max(1, CELLS // max(m, 1))
+    done, step, least = 0, max(1, CELLS // max(m, 1)), int(max(1, min(k_a.min(initial=ANCHORS), k_b.min(initial=ANCHORS))))
+    held: list[tuple[np.ndarray, ...]] = []
     while done < len(lengths):
         # whole training records at a time: about CELLS pairs, about CELLS matches
         end = min(len(lengths), done + step, max(done + 1, int(np.searchsorted(total[query_from], total[query_from[done]] + CELLS, side="right")) - 1))
         q0, q1 = query_from[done], query_from[end]
         n = hits[q0:q1]
         pick = np.repeat(low[q0:q1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        count = np.bincount(np.repeat((of[q0:q1] - done) * m, n) + record[pick], minlength=(end - done) * m)
-        cell = np.flatnonzero(count)
+        cells = np.repeat((of[q0:q1] - done) * m, n) + record[pick]
+        count = np.bincount(cells, minlength=(end - done) * m)
+        cell = np.flatnonzero(count >= least)
         a, b = cell // m + done, cell % m
-        near = count[cell] >= np.minimum(k_a[a], k_b[b])
-        a, b = a[near], b[near]
-        near = allowed[groups[a], index.groups[b]] & (index.sizes[b] >= needed(sizes[a], threshold)) & (sizes[a] >= needed(index.sizes[b], threshold))
-        a, b = a[near], b[near]
+        near = (count[cell] >= np.minimum(k_a[a], k_b[b])) & (sizes_b[b] >= needed(sizes[a], threshold)) & (sizes[a] >= needed(sizes_b[b], threshold))
+        a, b, cell = a[near], b[near], cell[near]
+        shared = np.zeros(len(a), np.int64)
         edges = np.flatnonzero(np.diff(a, prepend=-1, append=-1)) if len(a) else np.array([], np.int64)
         for x, y in zip(edges[:-1], edges[1:]):
-            i, others = int(a[x]), b[x:y]
-            own = words[begins[i] : begins[i] + sizes[i]]
+            own = words[begins[a[x]] : begins[a[x]] + sizes[a[x]]]
             flags[own] = True
-            size = index.sizes[others]
+            size = sizes_b[b[x:y]]
             begin = np.cumsum(size) - size
-            tokens = np.repeat(begins_b[others] - begin, size) + np.arange(int(size.sum()))
-            shared = np.add.reduceat(flags[len(fresh) + index.words[tokens]].astype(np.int64), begin)
+            tokens = np.repeat(begins_b[b[x:y]] - begin, size) + np.arange(int(size.sum()))
+            shared[x:y] = np.add.reduceat(flags[len(fresh) + index.words[tokens]], begin, dtype=np.int64)
             flags[own] = False
-            good = shared >= threshold * (sizes[i] + size - shared) - 1e-9
-            if not good.any():
-                continue
-            others, shared = others[good], shared[good]
-            # the good pairs' anchors grow to maximal matches
-            mine = np.arange(query_from[i], query_from[i + 1])
-            n_ = hits[mine]
-            found = np.repeat(low[mine] - (np.cumsum(n_) - n_), n_) + np.arange(int(n_.sum()))
-            kept = np.isin(record[found], others)
-            position, found = np.repeat(at[query[mine]], n_)[kept], found[kept]
-            lo, hi = np.full(len(found), starts[i]), np.full(len(found), starts[i] + lengths[i])
-            begin_, end_ = index.grown(text, lo, hi, position, rows[found])
-            for j, s in zip(others, shared):
-                its = record[found] == j
-                spans, longest = _merged(begin_[its], end_[its])
-                yield i, int(j), int(s), spans, longest, bool(s == sizes[i] == index.sizes[j])
+        good = shared >= threshold * (sizes[a] + sizes_b[b] - shared) - 1e-9
+        a, b, cell, shared = a[good], b[good], cell[good], shared[good]
+        if len(a):
+            wanted = np.zeros(len(count), bool)
+            wanted[cell] = True
+            kept = wanted[cells]
+            held.append((a, b, shared, np.repeat(at[query[q0:q1]], n)[kept], rows[pick[kept]], np.searchsorted(cell, cells[kept])))
         done = end
+        if held and (done == len(lengths) or sum(len(h[3]) for h in held) >= CELLS):
+            # the anchors of the pairs left grow to maximal matches
+            first = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+            a, b, shared, position, row = (np.concatenate([h[c] for h in held]) for c in range(5))
+            pair = np.concatenate([h[5] + f for h, f in zip(held, first)])
+            owner = a[pair]
+            spans, longest = merged(pair, *index.grown(text, starts[owner], starts[owner] + lengths[owner], position, row), len(a))
+            yield a, b, shared, spans, longest, (shared == sizes[a]) & (shared == sizes_b[b])
+            held = []
 
 
 def overlapping_texts(texts: DataFrame, pairs: list[tuple[str, str]], threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -310,6 +334,7 @@ def overlapping_texts(texts: DataFrame, pairs: list[tuple[str, str]], threshold:
     spark = texts.sparkSession
     names = sorted({x for p in pairs for x in p})
     number = {x: i for i, x in enumerate(names)}
+    named = np.array(names, object)
     allowed = np.zeros((len(names), len(names)), bool)
     for training, held_out in pairs:
         allowed[number[training], number[held_out]] = True
@@ -346,9 +371,9 @@ def overlapping_texts(texts: DataFrame, pairs: list[tuple[str, str]], threshold:
             theirs = np.frombuffer(zlib.decompress(shard["keys"].iloc[0]), np.int64).reshape(-1, 2)
             sequences, groups = read(block)
             mine = block[["key_a", "key_b"]].to_numpy(np.int64)
-            for i, j, *found in matched_pairs(index, sequences, groups, allowed, threshold):
-                out.append((names[groups[i]], names[index.groups[j]], *mine[i], *theirs[j], *found))
-        return pd.DataFrame(out, columns=columns)
+            for i, j, shared, spans, longest, exact in matched_pairs(index, sequences, groups, allowed, threshold):
+                out.append((named[groups[i]], named[index.groups[j]], mine[i, 0], mine[i, 1], theirs[j, 0], theirs[j, 1], shared, spans, longest, exact))
+        return pd.DataFrame({c: pd.Series(np.concatenate([o[k] for o in out]) if out else [], dtype=object if k < 2 else None) for k, c in enumerate(columns)})
 
     schema = "training string, held_out string, a_a bigint, a_b bigint, b_a bigint, b_b bigint, shared int, spans int, longest int, exact boolean"
     # a job computes long on few bytes: a partition each, up to three a core

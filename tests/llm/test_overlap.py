@@ -10,6 +10,10 @@ RECORD = "id string, dataset string, text string, key_a string, shared int"
 PAIR = "training string, held_out string, shared int"
 
 
+def pairs_of(*args):
+    return [tuple(x.item() for x in row) for found in matched_pairs(*args) for row in zip(*found)]
+
+
 def test_words():
     assert words_of("Ｆｏｏ_1, bar-BAZ!\u200b é") == ["foo_1", "bar", "baz", "é"]
     assert words_of(None) == words_of(" \n") == []
@@ -41,9 +45,9 @@ def test_index_round_trip_and_longest_matches():
 def test_matches_grow_to_spans():
     index = FullTextIndex([np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])], np.array([0]))
     other = np.array([1, 2, 3, 4, 99, 6, 7, 8, 9, 10])
-    (_, _, shared, spans, longest, equal), = matched_pairs(index, [other], np.array([0]), np.array([[True]]), 0.7)
+    (_, _, shared, spans, longest, equal), = pairs_of(index, [other], np.array([0]), np.array([[True]]), 0.7)
     assert (shared, longest, equal) == (9, 5, False) and spans in (1, 2)
-    turned = list(matched_pairs(index, [np.arange(10, 0, -1)], np.array([0]), np.array([[True]]), 0.7))
+    turned = list(pairs_of(index, [np.arange(10, 0, -1)], np.array([0]), np.array([[True]]), 0.7))
     assert [(t[2], t[4], t[5]) for t in turned] == [(10, 1, True)]
 
 
@@ -59,7 +63,7 @@ def test_no_pair_is_lost(threshold):
     groups = rng.integers(0, 2, len(texts))
     allowed = np.array([[True, False], [True, True]])
     index = FullTextIndex(texts, groups)
-    got = {(i, j, s) for i, j, s, *_ in matched_pairs(index, texts, groups, allowed, threshold)}
+    got = {(i, j, s) for i, j, s, *_ in pairs_of(index, texts, groups, allowed, threshold)}
     sets = [set(t.tolist()) for t in texts]
     want = {(i, j, len(a & b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and allowed[groups[i], groups[j]] and len(a & b) >= threshold * len(a | b)}
     assert got == want
