@@ -341,8 +341,8 @@ def overlapping_texts(texts: DataFrame, pairs: list[tuple[str, str]], threshold:
     jobs = busy_partitions(spark)
     size = F.sum(F.length("text") / 5)
     held_chars, train_chars = (texts.where(F.col("dataset").isin(sorted({p[i] for p in pairs}))).agg(size).first()[0] or 0 for i in (1, 0))
-    # shards and blocks of bounded size, and enough of them together to keep the cores busy
-    shards = max(math.ceil(held_chars / shard_words), min(round(jobs**0.5), math.ceil(held_chars / 50_000)), 1)
+    # shards and blocks of bounded size; few shards, as each reads the training texts again, and blocks to keep the cores busy
+    shards = max(math.ceil(held_chars / shard_words), min(round(jobs**0.5), math.ceil(held_chars / 400_000)), 1)
     blocks = max(math.ceil(train_chars / shard_words), min(math.ceil(jobs / shards), math.ceil(train_chars / 50_000)), 1)
 
     def side(i: int, parts: int, name: str) -> DataFrame:
