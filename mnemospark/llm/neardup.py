@@ -132,7 +132,7 @@ def bands_for(threshold: float, rows: int, miss: float = 1e-4) -> int:
 
 
 def band_keys(sets: DataFrame, rows: int, bands: int, seed: int = 1) -> DataFrame:
-    """set_key, words -> set_key, n (words), sketch_a, sketch_b (128 one-bit coordinates), keys ARRAY<BIGINT> (one per band)."""
+    """set_no, words -> set_no, n (words), sketch_a, sketch_b (128 one-bit coordinates), keys ARRAY<BIGINT> (one per band)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         dart, sketcher = DartMinHash(rows * bands, seed), np.uint64(0xFF51AFD7ED558CCD)
@@ -147,9 +147,9 @@ def band_keys(sets: DataFrame, rows: int, bands: int, seed: int = 1) -> DataFram
                 keys = keys ^ _mix(np.arange(bands, dtype=np.uint64))
                 bits = (_mix(sig[:, :128] * sketcher) >> np.uint64(63)).astype(np.uint8)
             packed = np.packbits(np.pad(bits, ((0, 0), (0, 128 - bits.shape[1]))), axis=1).view(np.int64)
-            yield pd.DataFrame({"set_key": frame["set_key"], "n": lengths.astype(np.int32), "sketch_a": packed[:, 0], "sketch_b": packed[:, 1], "keys": list(keys.view(np.int64))})
+            yield pd.DataFrame({"set_no": frame["set_no"], "n": lengths.astype(np.int32), "sketch_a": packed[:, 0], "sketch_b": packed[:, 1], "keys": list(keys.view(np.int64))})
 
-    return sets.select("set_key", "words").mapInPandas(run, "set_key bigint, n int, sketch_a bigint, sketch_b bigint, keys array<bigint>")
+    return sets.select("set_no", "words").mapInPandas(run, "set_no bigint, n int, sketch_a bigint, sketch_b bigint, keys array<bigint>")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -162,25 +162,28 @@ def sketch_limit(threshold: float, bits: int, deviations: float = 5.5) -> int:
     return min(bits, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
 
 
-def similar_sets(sets: DataFrame, threshold: float, rows: int = 8, miss: float = 1e-4) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, rows: int = 6, miss: float = 1e-4) -> DataFrame:
     """Pairs of distinct word sets whose overlap is at least ``threshold``: set_a < set_b, shared INT, overlap DOUBLE.
 
-    sets: set_key BIGINT, words ARRAY<BIGINT> sorted; one row per distinct set. Candidates agree in a whole band and in
-    enough of 128 sketch bits; each is then counted exactly. A pair just at the threshold is lost with a chance of
-    ``miss`` (bands) plus 2e-8 (sketch), a likelier pair with less. Buckets that many alike sets share are split by AQE's
-    skew join: both sides are plain equi-join inputs, nothing is grouped in one task.
+    sets: set_no BIGINT, words ARRAY<BIGINT> sorted; one row per distinct set. Candidates agree in a whole band; those
+    whose sizes or 128 sketch bits are too far apart are dropped, the others counted exactly. A pair just at the threshold
+    is lost with a chance of ``miss`` (bands) plus 2e-8 (sketch), a likelier pair with less.
+
+    What is shuffled a band is its key and the set's number alone; the two sides of the self-join read the same exchange.
+    Buckets that many alike sets share are split by AQE's skew join: nothing is grouped in one task.
     """
     bands = bands_for(threshold, rows, miss)
     keyed = checkpointed(band_keys(sets, rows, bands))
-    lengths_fit = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    banded = keyed.select("set_key", "n", "sketch_a", "sketch_b", F.explode("keys").alias("key"))
-    limit = sketch_limit(threshold, min(128, rows * bands))
-    close = _distance(F.col("a.sketch_a"), F.col("b.sketch_a")) + _distance(F.col("a.sketch_b"), F.col("b.sketch_b")) <= limit
+    banded = keyed.select("set_no", F.explode("keys").alias("key"))
     # lists of words and bands are longer than the planner thinks: it must not broadcast what carries them
-    joined = banded.alias("a").hint("merge").join(banded.alias("b").hint("merge"), F.col("a.key") == F.col("b.key"))
-    pairs = joined.where((F.col("a.set_key") < F.col("b.set_key")) & lengths_fit & close).select(F.col("a.set_key").alias("set_a"), F.col("b.set_key").alias("set_b")).distinct()
-    side = lambda x: sets.select(F.col("set_key").alias(f"set_{x}"), F.col("words").alias(f"words_{x}")).hint("merge")
-    both = pairs.join(side("a"), "set_a").join(side("b"), "set_b")
+    joined = banded.alias("a").hint("merge").join(banded.alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).where("a.set_no < b.set_no")
+    pairs = joined.select(F.col("a.set_no").alias("set_a"), F.col("b.set_no").alias("set_b")).distinct()
+    facts = lambda x: keyed.select(F.col("set_no").alias(f"set_{x}"), F.struct("n", "sketch_a", "sketch_b").alias(x))
+    near = pairs.join(facts("a"), "set_a").join(facts("b"), "set_b")
+    lengths_fit = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
+    close = _distance(F.col("a.sketch_a"), F.col("b.sketch_a")) + _distance(F.col("a.sketch_b"), F.col("b.sketch_b")) <= sketch_limit(threshold, min(128, rows * bands))
+    side = lambda x: sets.select(F.col("set_no").alias(f"set_{x}"), F.col("words").alias(f"words_{x}")).hint("merge")
+    both = near.where(lengths_fit & close).select("set_a", "set_b").join(side("a"), "set_a").join(side("b"), "set_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     overlap = F.col("shared") / (F.size("words_a") + F.size("words_b") - F.col("shared"))
     return both.withColumn("shared", shared).withColumn("overlap", overlap).where(F.col("overlap") >= threshold).select("set_a", "set_b", "shared", "overlap")
@@ -212,37 +215,42 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def near_duplicates(records: DataFrame, threshold: float, rows: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of records: id STRING, words ARRAY<BIGINT> (``words.word_set``), one row per id.
+def near_duplicates(records: DataFrame, threshold: float, rows: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of records: id STRING, words ARRAY<BIGINT> (``words.word_set``).
 
-    members: id, set_key — records with equal word sets are one class; links: pairs of classes with their overlap.
-    A record without words has no class. Extra columns are ignored; ties need no order, repeated ids stay repeated.
+    members: id, set_no — records with equal word sets are one class (told by 128 bits of hash); links: pairs of classes
+    with their overlap. A record without words has no class. Extra columns are ignored; ties need no order; a repeated row
+    counts once, an id with two texts is a member of two classes.
     """
-    members = checkpointed(records.select("id", "words").where("size(words) > 0").withColumn("set_key", F.xxhash64("words")))
-    spread = members.repartition(busy_partitions(members.sparkSession), "set_key")
-    sets = checkpointed(spread.groupBy("set_key").agg(F.any_value("words").alias("words")))
-    return members.select("id", "set_key"), similar_sets(sets, threshold, rows)
+    keyed = checkpointed(records.select("id", "words").where("size(words) > 0").withColumns({"key_a": F.xxhash64("words"), "key_b": F.xxhash64(F.lit(1), "words")}))
+    distinct = keyed.groupBy("key_a", "key_b").agg(F.any_value("words").alias("words"))
+    # signatures compute long on few bytes: AQE must not coalesce their input
+    sets = checkpointed(distinct.repartition(busy_partitions(keyed.sparkSession), "key_a").withColumn("set_no", F.monotonically_increasing_id()))
+    members = keyed.select("id", "key_a", "key_b").join(sets.select("key_a", "key_b", "set_no"), ["key_a", "key_b"]).select("id", "set_no").distinct()
+    return members, similar_sets(sets.select("set_no", "words"), threshold, rows)
 
 
-def near_duplicate_pairs(records: DataFrame, threshold: float, rows: int = 8) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, threshold: float, rows: int = 6) -> DataFrame:
     """All pairs id_a < id_b of records whose word sets overlap by ``threshold`` or more, equal sets included."""
     members, links = near_duplicates(records, threshold, rows)
-    a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("set_key").alias(f"set_{x}")) for x in "ab")
-    apart = links.join(a, "set_a").join(b, "set_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("set_no").alias(f"set_{x}")) for x in "ab")
+    apart = links.join(a, "set_a").join(b, "set_b").where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     same = a.join(b, F.col("set_a") == F.col("set_b")).where("id_a < id_b").select("id_a", "id_b")
     return apart.unionByName(same)
 
 
-def near_duplicate_groups(records: DataFrame, threshold: float, rows: int = 8) -> DataFrame:
-    """One row per record: id, set_key (class of equal word sets), group_key (component of linked classes), copies (records
-    of the class), links (classes linked to its class). Records without words have null keys, one copy and no link.
+def near_duplicate_groups(records: DataFrame, threshold: float, rows: int = 6) -> DataFrame:
+    """One row per record: id, class_id (least id of the records with its word set), group_id (least id of the linked
+    classes' records), copies (records of the class), links (classes linked to its class). Records without words have null
+    class and group, one copy and no link.
     """
     members, links = near_duplicates(records, threshold, rows)
-    links = checkpointed(links)
-    degree = links.select(F.explode(F.array("set_a", "set_b")).alias("set_key")).groupBy("set_key").agg(F.count(F.lit(1)).alias("links"))
-    classes = members.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies")).join(degree, "set_key", "left").join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left")
-    classes = classes.select("set_key", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("component", "set_key").alias("group_key"))
-    known = members.join(classes, "set_key")
-    empty = records.where("words IS NULL OR size(words) = 0")
-    none = F.lit(None).cast("bigint")
-    return known.select("id", "set_key", "group_key", "copies", "links").unionByName(empty.select("id", none.alias("set_key"), none.alias("group_key"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("links")))
+    members, links = checkpointed(members), checkpointed(links)
+    degree = links.select(F.explode(F.array("set_a", "set_b")).alias("set_no")).groupBy("set_no").agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("set_no").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("class_id")).join(degree, "set_no", "left").join(components(links).withColumnRenamed("node", "set_no"), "set_no", "left")
+    classes = checkpointed(classes.select("set_no", "class_id", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("component", "set_no").alias("component")))
+    named = classes.join(classes.groupBy("component").agg(F.min("class_id").alias("group_id")), "component")
+    known = members.join(named, "set_no").select("id", "class_id", "group_id", "copies", "links")
+    none = F.lit(None).cast("string")
+    empty = records.where("words IS NULL OR size(words) = 0").select("id").distinct()
+    return known.unionByName(empty.select("id", none.alias("class_id"), none.alias("group_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("links")))

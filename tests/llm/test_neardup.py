@@ -61,10 +61,10 @@ def test_edges(spark, rows):
     long = list(range(1, 30_001))
     df = rows("id string, words array<bigint>, set_key string, links int", ("a", [1, 2, 3, 4], "x", 1), ("b", [1, 2, 3, 4], "x", 1), ("c", [1, 2, 3, 4, 5], "x", 1), ("d", [], "x", 1), ("e", None, "x", 1), ("f", long, "x", 1), ("g", long[100:], "x", 1))
     got = {r["id"]: r for r in near_duplicate_groups(df, 0.75).collect()}
-    assert got["a"]["set_key"] == got["b"]["set_key"] != got["c"]["set_key"]
-    assert got["a"]["group_key"] == got["c"]["group_key"] != got["f"]["group_key"] == got["g"]["group_key"]
+    assert (got["a"]["class_id"], got["b"]["class_id"], got["c"]["class_id"]) == ("a", "a", "c")
+    assert (got["a"]["group_id"], got["c"]["group_id"], got["f"]["group_id"], got["g"]["group_id"]) == ("a", "a", "f", "f")
     assert (got["a"]["copies"], got["a"]["links"], got["c"]["links"]) == (2, 1, 1)
-    assert got["d"]["set_key"] is None and got["e"]["group_key"] is None and got["d"]["links"] == 0
+    assert got["d"]["class_id"] is None and got["e"]["group_id"] is None and got["d"]["links"] == 0
     assert near_duplicate_pairs(df.limit(0), 0.75).count() == 0
     assert near_duplicate_groups(df.limit(0), 0.75).count() == 0
 
