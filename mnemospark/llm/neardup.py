@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.runtime import busy_partitions, checkpointed
+from mnemospark.runtime import checkpointed
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,10 +222,10 @@ def near_duplicates(records: DataFrame, threshold: float, rows: int = 6) -> tupl
     with their overlap. A record without words has no class. Extra columns are ignored; ties need no order; a repeated row
     counts once, an id with two texts is a member of two classes.
     """
-    keyed = checkpointed(records.select("id", "words").where("size(words) > 0").withColumns({"key_a": F.xxhash64("words"), "key_b": F.xxhash64(F.lit(1), "words")}))
+    # filtered after the checkpoint: a filter pushed below it would compute the words twice
+    keyed = checkpointed(records.select("id", "words").withColumns({"key_a": F.xxhash64("words"), "key_b": F.xxhash64(F.lit(1), "words")})).where("size(words) > 0")
     distinct = keyed.groupBy("key_a", "key_b").agg(F.any_value("words").alias("words"))
-    # signatures compute long on few bytes: AQE must not coalesce their input
-    sets = checkpointed(distinct.repartition(busy_partitions(keyed.sparkSession), "key_a").withColumn("set_no", F.monotonically_increasing_id()))
+    sets = checkpointed(distinct.withColumn("set_no", F.monotonically_increasing_id()))
     members = keyed.select("id", "key_a", "key_b").join(sets.select("key_a", "key_b", "set_no"), ["key_a", "key_b"]).select("id", "set_no").distinct()
     return members, similar_sets(sets.select("set_no", "words"), threshold, rows)
 
