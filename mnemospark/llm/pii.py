@@ -41,18 +41,32 @@ TITLES = "mr mrs ms miss dr prof sir herr frau don doña señor señora sr sra s
 #: Words before and after a person in the sentences of the domain; a name is expected between them.
 NAME_BEFORE = ("ask", "i met", "the review from", "thanks,", "was it", "signed,", "owner:", '"assignee":"', '"assignee": "', "frag bitte", "gruß,", "pregunta a", "un saludo,", "assigned to", "regards,", "contact:", "dear")
 NAME_AFTER = re.compile(r"\s*(?:will join|who broke|is still open|kommt auch|viene también|about the|at the fair|danach|por el|['’]s\b)", re.I)
+#: What a person comes after or before in plain prose. A pair of capitalised words there is a name, and so is a
+#: single one after a greeting's comma.
+PERSON_BEFORE = ("forward this to", "forwarded to", "ask", "asked", "tell", "told", "call", "contact", "email", "met", "meet", "meeting with", "spoke to", "spoke with", "speak to", "talk to", "talked to", "reach out to", "my name is", "his name is", "her name is", "named", "signed by", "written by", "dear", "hello", "hi", "thank you", "regards,", "sincerely,", "cheers,", "thanks,")
+PERSON_AFTER = ("called", "said", "says", "asked", "wrote", "replied", "told", "emailed", "phoned", "mentioned", "confirmed", "lives", "works")
+GREETINGS = ("thanks,", "regards,", "sincerely,", "cheers,", "dear", "hello", "hi")
 #: Words that end in a comma before a name without being a surname.
 NO_SURNAME = set("thanks regards signed gruß saludo hi hello dear hallo hola sincerely cheers gracias danke".split())
 #: Chinese surnames, the two-character ones first, and the cues around a Chinese name.
 ZH_SURNAMES = "欧阳 司徒 闻人 公冶 尉迟 端木 东方 濮阳 诸葛 上官 司马 夏侯 皇甫 慕容 令狐 宇文 长孙 轩辕".split()
 ZH_SURNAME_CHARS = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯翟蔺"
-ZH_NAME_CUES = ("让", "请问", "联系人：", "联系人:", "找", "问一下", "转告", "收件人：", "我是", "叫")
+ZH_NAME_CUES = ("让", "请问", "联系人：", "联系人:", "找", "问一下", "转告", "收件人：", "我是", "叫", "请联系", "名叫", "他叫", "她叫", "我叫", "姓名：", "姓名:", "认识")
+#: Cues that only a person's name follows; a name behind them may end at any mark or at the text's end.
+ZH_SURE_CUES = ("请联系", "名叫", "他叫", "她叫", "我叫", "姓名：", "姓名:")
+#: Common words that begin like a surname.
+ZH_COMMON = set("方式 方法 方面 方案 时间 时候 成功 成本 高级 安全 安排 平台 常用 金额 程序 计划 项目 路径 任务 任何 于是 和平 单位 管理 马上 黄金 江湖 强制 邮件 安装 时区 明天 卡片 白天 房间 石头 胡同 万一 贾 包括 水平 云端 许可 常见 金融 游客 应用 施工 严格 童年".split())
 ZH_NAME_AFTER = ("来核对", "在吗", "确认", "负责", "处理", "帮忙", "来", "先生", "女士")
 #: Street words at the end of an English street's name.
 STREET_WORDS = "street st avenue ave road rd court ct lane ln drive dr close boulevard blvd terrace crescent square sq highway hwy way".split()
 DASHES = str.maketrans({0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2212: "-", 0x00A0: " ", 0x2007: " ", 0x202F: " ", 0x3000: " ", 0x2019: "'"} | {0xFF01 + i: 0x21 + i for i in range(94)})
 
 _NAME_WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ](?:['’][A-Z])?[^\W\d_]+(?:['’-][A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
+_PAIR = re.compile(rf"({_CAPITAL}) (?:[A-Z]\. ?){{0,2}}({_CAPITAL})(?![\w@/]|-\w|\.\w)")
+_PAIR_END = re.compile(rf"(?:^|(?<=[.!?\n] )|(?<=[a-z,;:] ))({_CAPITAL}) (?:[A-Z]\. ?){{0,2}}({_CAPITAL})$")
+_CAPITALISED = re.compile(_CAPITAL)
+_SINGLE = re.compile(rf"({_CAPITAL})(?=[!,.]?(?:\s|$))")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+'~-]*[A-Za-z0-9_+-])?$")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z]{2,}(?![A-Za-z0-9-])", re.I)
 _AT = re.compile(r" ?(?:@|%40|[(\[]at[)\]]) ?| at ", re.I)
@@ -60,6 +74,8 @@ _AT = re.compile(r" ?(?:@|%40|[(\[]at[)\]]) ?| at ", re.I)
 #: What announces an identity number. Short ones, that other words contain, announce any number only as words
 #: of their own; like weak ones they else announce only numbers that begin with 6 or 9.
 ID_CUES = ("id_number", "social", "passport", "pasaporte", "reisepass", "ausweis", "kennung", "documento", "insurance", "身份证", "证件", "护照")
+#: Cues right before which a number of any of the usual shapes is an identity number.
+NUMBER_CUES = ("passport", "pasaporte", "reisepass", "ausweis", "护照", "steuer-id", "tax id", "licence number", "license number", "account number", "kontonummer", "national id")
 SHORT_ID_CUES = ("id", "dni", "nie", "ssn", "identi", "national")
 WEAK_ID_CUES = ("number is", "lease", "vertrag")
 _ID = re.compile(
@@ -70,7 +86,10 @@ _ID = re.compile(
     r"|(?P<dni>\d{8}-?[A-HJ-NP-TV-Z])(?![\w-])"
     r"|(?P<nie>[XYZ]-?\d{7}-?[A-Z])(?![\w-])"
     r"|(?P<card>[A-Z]\d[A-Z]\d{7})(?![\w-])"
-    r"|(?P<nine>\d{9})(?![\w-]))",
+    r"|(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])"
+    r"|(?P<bank>[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\w-])"
+    r"|(?P<nine>\d{9})(?![\w-])"
+    r"|(?P<cued>(?=[A-Z0-9]*\d)[A-Z0-9]{8,12}|\d{2,4}(?: \d{3,4}){2,3})(?![\w-]|[.,]\d))",
     re.A,
 )
 _PHONE = re.compile(
@@ -80,6 +99,7 @@ _PHONE = re.compile(
     r"|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}"
     r"|\d{3}([ .-]?)\d{3}\1\d{4}"
+    r"|1[3-9]\d{9}"
     r"|0\d{2,4}[ /-]\d{5,8}(?:[ -]\d{2,4})?"
     r"|0\d{2,4}[ /]\d{3,5}[ ]\d{3,6}"
     r"|0\d(?:[ .-]\d\d){4})(?![\w-]|\.\d)",
@@ -105,11 +125,25 @@ _DE_STREET = re.compile(
     re.I,
 )
 _ES_STREET = re.compile(r"(?<![\w])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Ronda|Travesía) ?(?:(?:de la|de los|de las|del|de) )?[^\W\d_][^\W\d_'-]*(?: " + _CAP + r")*,? \d{1,4}[a-z]?(?![\w])(?:, \d{1,2}[ºª°o]? ?[A-Z]\b)?(?:, (?:\d{5} )?" + _TOWN + r")?", re.I)
+_IT_STREET = re.compile(r"(?<![\w])(?:Via|Viale|Piazza|Corso|Vicolo|Largo) (?:[a-z]{2,5} )?" + _CAP + r"(?: " + _CAP + r")*,? \d{1,4}[a-z]?, \d{5} " + _CAP)
 _ZH_STREET = re.compile(r"(?:路|街|大道|巷|胡同)\d{1,5}(?:号(?:\d+(?:栋|幢|座|单元|楼)\d*(?:室|号)?)?|弄\d+号(?:\d+室)?)")
 _ZH_ROAD = re.compile(r"(?:[一-鿿]{2,4}(?:省|自治区))?(?:[一-鿿]{2,4}市)?(?:[一-鿿]{1,4}[区县])?[一-鿿]{2}$")
 _ZH_LEAD = re.compile(r"^(?:.*(?:寄到|搬到|地址|住在|送到|位于|在|到|了|是|的|给|往))")
 
 
+def valid_card(number: str) -> bool:
+    """Whether the digits pass Luhn's check."""
+    digits = [int(c) for c in number if c.isdigit()]
+    doubled = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+    return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+
+
+def valid_iban(number: str) -> bool:
+    """Whether the letters and digits leave 1 of 97."""
+    plain = number.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 class PiiFinder:
     """Finds items in a text; made once per Python worker."""
 
@@ -129,6 +163,8 @@ class PiiFinder:
             anchors[w] = "german"
         for w in ("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "ronda "):
             anchors[w] = "spanish"
+        for w in ("via ", "viale ", "piazza ", "corso ", "vicolo ", "largo "):
+            anchors[w] = "italian"
         for w in DIGIT_WORDS:
             anchors[f"{w} "] = anchors[f"{w}-"] = "digit"
         for w in ("路", "街", "大道", "巷", "胡同"):
@@ -141,6 +177,11 @@ class PiiFinder:
             anchors.setdefault(w, "before")
         for w in ("will join", "who broke", "kommt auch", "viene también"):
             anchors.setdefault(w, "after")
+        for w in PERSON_BEFORE:
+            if anchors.setdefault(w + " ", "person_before") != "person_before":
+                raise ValueError(w)
+        for w in PERSON_AFTER:
+            anchors.setdefault(" " + w, "person_after")
         for w in ZH_NAME_CUES:
             anchors[w] = "zh_cue"
         for w in (*ID_CUES, *SHORT_ID_CUES, *WEAK_ID_CUES):
@@ -181,20 +222,28 @@ class PiiFinder:
         return start, end, cue in ID_CUES or cue in SHORT_ID_CUES and not inside
 
     @staticmethod
-    def _numbers(text: str, cues: list[tuple[int, int, bool]]) -> list[tuple[str, int, int]]:
-        """``cues``: those of identity numbers, in order of their ends; they hold for numbers within 40 characters."""
+    def _numbers(text: str, low: str, cues: list[tuple[int, int, bool]]) -> list[tuple[str, int, int]]:
+        """``cues``: those of identity numbers, in order of their ends; they hold for numbers within 40 characters. Numbers
+        with check digits (cards, IBAN) must be valid; those of the other shapes are known by their shape or cue.
+        """
         out: list[tuple[str, int, int]] = []
         ends = [c[1] for c in cues]
         for m in _ID.finditer(text):
-            kind = m.lastgroup
-            if kind == "nine" and not re.match(r"666|9", m.group()):
+            kind, number = m.lastgroup, m.group()
+            if kind == "nine" and not re.match(r"666|9", number):
                 near = [c for c in cues[bisect_left(ends, m.start() - 40) : bisect_right(ends, m.start())] if c[0] >= m.start() - 40]
-                if not any(c[2] or m.group()[0] == "6" for c in near):
+                if not any(c[2] or number[0] == "6" for c in near):
                     continue
+            if kind == "iban" and not valid_iban(number) or kind == "bank" and not valid_card(number):
+                continue
+            if kind == "cued" and not re.search(r"(?:" + "|".join(NUMBER_CUES) + r")(?: (?:number|no\.?|nr\.?))?(?: is| ist| es)?[ :：#=]*$", low[max(0, m.start() - 40) : m.start()]):
+                continue
             out.append(("id_number", m.start(), m.end()))
+        starts = [x[1] for x in out]
         for m in _PHONE.finditer(text):
             digits = sum(c.isdigit() for c in m.group())
-            if not 8 <= digits <= 15 or any(s < m.end() and m.start() < e for _, s, e in out):
+            before = bisect_left(starts, m.end()) - 1  # the last identity number that begins before the end
+            if not 8 <= digits <= 15 or before >= 0 and out[before][2] > m.start():
                 continue
             out.append(("phone", m.start(), m.end()))
         return out
@@ -279,7 +328,7 @@ class PiiFinder:
             return None
         case = self._case(word.group())
         stop = self._surname(text, initials.end(), case)
-        if self._is_given(word.group()) or word.group().lower() in self.ambiguous:
+        if self._is_given(word.group()) or word.group().lower() in self.ambiguous or case == "title" and text[stop : stop + 1] == " " and _CAPITALISED.match(text, stop + 1) and not self._plain_word(_CAPITALISED.match(text, stop + 1).group()):
             more = self._surname(text, stop + 1, case) if text[stop : stop + 1] == " " else stop
             stop = max(stop, more) if text[stop + 1 : more] not in SENTENCE_STARTS else stop
         return (at, stop) if stop > at else None
@@ -293,15 +342,45 @@ class PiiFinder:
         stop = stop if stop > m.end() else self._surname(text, m.end(), "upper")
         return (at, stop) if stop > m.end() else None
 
+    def _plain_word(self, w: str) -> bool:
+        """Whether a capitalised word can't be a part of a name for its own sake."""
+        return w in SENTENCE_STARTS or w.lower() in LOWER_STOP or w.lower() in TITLES or w.isupper() or len(w) < 3 or w.lower() in NOT_PERSONS
+
+    def _after_cue(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """Two capitalised words (initials between them allowed) after the cue text[start:end]; one after a greeting."""
+        if start and (low[start - 1].isalnum() or low[start - 1] in "-_'@/"):
+            return None
+        m = _PAIR.match(text, end)
+        if m and not self._plain_word(m.group(1)) and not self._plain_word(m.group(2)):
+            return m.start(), m.end()
+        m = _SINGLE.match(text, end)
+        if m and low[start:end].rstrip() in GREETINGS and not self._plain_word(m.group(1)):
+            return m.start(1), m.end(1)
+        return None
+
+    def _before_cue(self, text: str, low: str, start: int, end: int) -> tuple[int, int] | None:
+        """Two capitalised words before the cue text[start:end], at a sentence's start or after a small word."""
+        if low[end : end + 1].isalnum():
+            return None
+        m = _PAIR_END.search(text, max(0, start - 60), start)
+        if m and not re.search(r"\b(?:the|an?|this|that|our|your|their|my) $", low[max(0, m.start() - 6) : m.start()]) and not self._plain_word(m.group(1)) and not self._plain_word(m.group(2)):
+            return m.start(1), m.end(2)
+        return None
+
     def _zh_name(self, text: str, at: int) -> tuple[int, int] | None:
         two = text[at : at + 2] in ZH_SURNAMES
         if not two and text[at : at + 1] not in ZH_SURNAME_CHARS:
             return None
         tail = at + (2 if two else 1)
-        for n in (2, 1) if not two or True else (2,):
+        sure = text[max(0, at - 3) : at].endswith(ZH_SURE_CUES)
+        for n in (2, 1):
             end = tail + n
             given = text[tail:end]
-            if len(given) == n and all("一" <= c <= "鿿" for c in given) and (text.startswith(ZH_NAME_AFTER, end) or n == 2 and (two or text[at - 1 : at] in "：:")):
+            if len(given) < n or not all("一" <= c <= "鿿" for c in given):
+                continue
+            if text.startswith(ZH_NAME_AFTER, end) or n == 2 and (two or text[at - 1 : at] in "：:"):
+                return at, end
+            if sure and not "一" <= text[end : end + 1] <= "鿿" and text[at : at + 2] not in ZH_COMMON:
                 return at, end
         return None
 
@@ -346,7 +425,7 @@ class PiiFinder:
         found: list[tuple[str, int, int]] = []
         names: list[tuple[str, int, int]] = []
         cues: list[tuple[int, int, bool]] = []
-        lenient = not plain.isascii()
+        lenient, spelt = not plain.isascii(), 0
         for last, (kind, n) in self.automaton.iter(low):
             start, end = last - n + 1, last + 1
             span = None
@@ -366,6 +445,14 @@ class PiiFinder:
                     span = self._title(plain, low, start, end)
                 if span:
                     names.append(("name", *span))
+            elif kind == "person_before":
+                if span := self._after_cue(plain, low, start, end):
+                    names.append(("name", *span))
+                span = None
+            elif kind == "person_after":
+                if span := self._before_cue(plain, low, start, end):
+                    names.append(("name", *span))
+                span = None
             elif kind == "before":
                 at = end
                 while at < len(plain) and plain[at] == " ":
@@ -390,9 +477,12 @@ class PiiFinder:
                 span = self._last(_DE_STREET, plain, start, 40)
             elif kind == "spanish":
                 span = self._last(_ES_STREET, plain, start, 4)
+            elif kind == "italian":
+                span = self._last(_IT_STREET, plain, start, 1)
             elif kind == "digit":
-                if (m := _SPELT.match(plain, start)) and not any(s <= start < e for _, s, e in found):
+                if start >= spelt and (m := _SPELT.match(plain, start)):
                     found.append(("phone", m.start(), m.end()))
+                    spelt = m.end()
             elif kind == "chinese" and lenient:
                 span = self._zh_address(plain, start)
             elif kind == "zh_cue":
@@ -400,10 +490,10 @@ class PiiFinder:
                 if span:
                     names.append(("name", *span))
                 span = None
-            if span and kind in ("street", "french", "box", "german", "spanish", "chinese"):
+            if span and kind in ("street", "french", "box", "german", "spanish", "italian", "chinese"):
                 found.append(("address", *span))
         if _DIGITS.search(plain):
-            found += self._numbers(plain, cues)
+            found += self._numbers(plain, low, cues)
         return _resolve(found, names)
 
     def redact(self, text: str | None) -> str | None:
@@ -421,6 +511,8 @@ class PiiFinder:
 SENTENCE_STARTS = set(
     "The I No My Ticket Will On Mark Hunter Use Can Please Actually Where Could What Summary Ran Commit You All Done There That Remind Noted Keep In It We This When If Ask Was Thanks Call Send Text Fax SMS Both Reply Pick Ship Das Der Die Ich Bitte Was Warum Kannst Erledigt Nein Vermerkt El La No Qué Guarda Puedes Ejecuté Quedan Listo Prefiero Anotado Meine Mi Kopie Gruß Frag Ruf Escribe Llama Pregunta Dirección Anschrift Lieferung Envíalo Ahora Un Tel Mr Mrs Ms Dr Prof Frau Herr Don Sra Recover Avoid And But Or".split()
 )
+#: Words that stand capitalised beside cues without naming a person.
+NOT_PERSONS = set("all team everyone everybody folks again support customer service sales help desk office bank street road north south east west new san los las saint google amazon microsoft apple github slack jira monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december english german spanish french chinese world here back when later".split())
 #: Lower-case words that go on with the sentence after a lower-case given name.
 LOWER_STOP = set("about is at will who and or the a an to kommt viene danach por broke may can has was said wants in on for with from".split())
 _ORDER = {"email": 0, "address": 1, "id_number": 2, "phone": 3, "name": 4}
@@ -430,11 +522,15 @@ def _resolve(found: list[tuple[str, int, int]], names: list[tuple[str, int, int]
     """Items without overlaps: e-mail addresses first, then addresses, numbers and names; of one type the longest."""
     if not found and not names:
         return []
+    starts: list[int] = []
     kept: list[tuple[str, int, int]] = []
     for item in sorted({*found, *names}, key=lambda x: (_ORDER[x[0]], x[1] - x[2], x[1])):
-        if all(item[2] <= s or e <= item[1] for _, s, e in kept):
-            kept.append(item)
-    return sorted(kept, key=lambda x: x[1])
+        # the kept items don't overlap, so only the neighbours of the place can be in the way
+        at = bisect_left(starts, item[1])
+        if (at == 0 or kept[at - 1][2] <= item[1]) and (at == len(kept) or item[2] <= kept[at][1]):
+            starts.insert(at, item[1])
+            kept.insert(at, item)
+    return kept
 
 
 def pii_items(texts: DataFrame, given_names: list[str] | None = None) -> DataFrame:

@@ -84,3 +84,41 @@ def test_operators(rows):
 )
 def test_nine_digits_behind_an_identity_cue(text, found):
     assert [t for kind, t in items(text) if kind == "id_number"] == found
+
+
+#: Names that share nothing with the finder's lists.
+HELD_OUT = "Brandon Whitlock;Ngozi Adeyemi;Siobhan O'Leary;Tadeusz Kowalczyk;Moira Pemberton;Anneliese Vogt-Harms;Bao Tran;Chukwudi Okafor;Delphine Marchetti;Gwendolyn Ashcroft".split(";")
+
+
+@pytest.mark.parametrize("name", HELD_OUT)
+def test_names_of_no_list(name):
+    first, last = name.split(" ")
+    assert not {first.lower(), last.lower()} & {*FINDER.given, *FINDER.ambiguous}
+    for text in ("{} called at noon.", "please forward this to {}", "My name is {}.", "I talked to {} yesterday", "Well, {} said no", "Dear {}, welcome"):
+        assert items(text.format(name)) == [("name", name)], text
+    assert items(f"Dr. {name}") == [("name", name)]
+    if len(first) > 3:
+        assert items(f"Thanks, {first}!") == [("name", first)]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("请联系李娜", [("name", "李娜")]),
+        ("他叫王小明，电话13912345678", [("name", "王小明"), ("phone", "13912345678")]),
+        ("请联系方式，", []),
+        ("Visa 4111 1111 1111 1111, not 4111 1111 1111 1112", [("id_number", "4111 1111 1111 1111")]),
+        ("IBAN is DE89 3704 0044 0532 0130 00, not DE88370400440532013000", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("Steuer-ID 12 345 678 901", [("id_number", "12 345 678 901")]),
+        ("Passport C01X00T47, commit C01X00T48", [("id_number", "C01X00T47")]),
+        ("Via Roma 12, 00184 Roma", [("address", "Via Roma 12, 00184 Roma")]),
+        ("Ask Customer Support about it. Hello World! The Build Failed said nothing", []),
+    ],
+)
+def test_numbers_names_and_places_beyond_the_tables(text, found):
+    assert items(text) == found
+
+
+def test_many_items_in_a_text():
+    text = "; ".join(f"user{i}@example.com" for i in range(50_000))
+    assert len(items(text)) == 50_000
