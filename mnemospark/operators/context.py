@@ -93,5 +93,5 @@ def greedy_budget(items: DataFrame, by: list[str], room: int) -> DataFrame:
 
     rows = items.select(*by, F.col("rk").cast("int").alias("rk"), F.col("length").cast("bigint").alias("length"))
     start = F.struct(F.lit(room).cast("bigint").alias("left"), F.array().cast("array<int>").alias("kept")).cast(kind)
-    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "length"), start, step, F.col("state.left") > 0)
+    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "length"), start, step, F.col("state.left") >= 0, F.col("length") <= F.col("state.left"))
     return walked.select(*by, F.explode("state.kept").alias("rk"))

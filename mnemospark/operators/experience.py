@@ -106,16 +106,17 @@ def skill_search(queries: DataFrame, skills: DataFrame, limit: int) -> DataFrame
     docs = skills.select(F.col("id").alias("doc_id"), "confidence", "kind", context_key(F.col("required_tools")).alias("context"), tokenize(search_text()).alias("terms"))
     hits = R.ranked(R.bm25(queries, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "pos")
     scored = hits.join(docs.drop("terms"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "kind", "context", (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
-    walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")]).join(docs.select(F.col("doc_id").alias("id"), "terms"), "id")
+    walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")])
+    texts = docs.select(F.col("doc_id").alias("id"), "terms")
 
     def step(kept: Column, x: Column) -> Column:
         close = F.exists(kept, lambda y: y["kind"].eqNullSafe(x["kind"]) & (y["context"] == x["context"]) & (similarity(y["terms"], x["terms"]) >= POLICY["duplicate_similarity"]))
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kinds = dict(walked.dtypes)
+    kinds = dict(walked.dtypes) | {"terms": "array<string>"}
     fields = ["rk", "id", "score", "kind", "context", "terms"]
     start = F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in fields)}>>")
-    kept = folded_in_blocks(walked.select("query_id", *fields), ["query_id"], "rk", F.struct(*fields), start, step, F.size("state") < limit)
+    kept = folded_in_blocks(walked.select("query_id", *fields[:-1]), ["query_id"], "rk", F.struct(*fields), start, step, F.size("state") < limit, attach=lambda part: part.join(texts, "id"))
     return kept.select("query_id", F.posexplode("state").alias("at", "x")).select("query_id", "x.id", "x.score", (F.col("at") + 1).alias("rk"))
 
 

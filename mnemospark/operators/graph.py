@@ -22,17 +22,21 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> Da
     return edges.join(side("src"), "src").join(side("dst"), "dst")
 
 
-def spread_activation(seeds: DataFrame, edges: DataFrame, by: list[str], hops: int = POLICY["activation_hops"], falloff: float = POLICY["activation_falloff"]) -> DataFrame:
+def spread_activation(seeds: DataFrame, edges: DataFrame, by: list[str], hops: int = POLICY["activation_hops"], falloff: float = POLICY["activation_falloff"], reach: DataFrame | None = None) -> DataFrame:
     """by, node, activation: seeds (by, node, weight) spread over undirected edges (src, dst, confidence).
 
     Each hop passes weight * falloff * confidence on, from the last hop's contributions only; totals accumulate. A
     self-loop passes twice, as it lies in both directions. A hub's edges are aggregated per target on the map side.
+    reach: by, part; an edge of a ``part`` then passes on only for requests that reach it.
     """
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("target"), "confidence").unionAll(edges.select("dst", "src", "confidence"))
+    more = [] if reach is None else ["part"]
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("target"), "confidence", *more).unionAll(edges.select("dst", "src", "confidence", *more))
     total = seeds.groupBy(*by, "node").agg(F.sum("weight").alias("weight"))
     frontier, parts = total, [total]
     for _ in range(hops):
-        passed = frontier.join(both, "node").select(*by, F.col("target").alias("node"), (F.col("weight") * falloff * F.col("confidence")).alias("weight"))
+        met = frontier.join(both, "node")
+        met = met if reach is None else met.join(reach, [*by, "part"], "left_semi")
+        passed = met.select(*by, F.col("target").alias("node"), (F.col("weight") * falloff * F.col("confidence")).alias("weight"))
         frontier = passed.where("weight > 0").groupBy(*by, "node").agg(F.sum("weight").alias("weight"))
         parts.append(frontier)
     out = parts[0]

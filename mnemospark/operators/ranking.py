@@ -4,33 +4,125 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemospark.functions.numeric import POLICY, cosine
 from mnemospark.functions.text import similarity
 from mnemospark.operators.views import folded_in_blocks
 
 
-def bm25(queries: DataFrame, documents: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """query_id, doc_id, score of all matching documents.
+#: Documents of a share, requests of a block, and pairs of both scored at once.
+SHARE, BLOCK, CELLS = 4096, 512, 4_000_000
+
+
+def bm25(queries: DataFrame, documents: DataFrame, partition: list[str] | None = None, best: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of all matching documents; with ``best`` only those that can be among a query's best so many
+    (by score to 9 decimals, then doc_id).
 
     queries: query_id, terms ARRAY<STRING> (repeats add again); documents: doc_id, terms. With ``partition`` (columns of
     both sides) statistics and matches stay within equal values. Statistics cover all documents given — filter before,
-    not after. The join is an inverted-index lookup: query terms against (term, doc) counts pre-aggregated on the map
-    side. Null or empty term lists match nothing but empty ones count as documents.
+    not after. Null or empty term lists match nothing but empty ones count as documents. A query_id or doc_id must not
+    repeat within the partition's values.
     """
     by = partition or []
+    part = F.to_json(F.struct(*by)) if by else F.lit("")
+    docs = documents.select(*by, "doc_id", "terms").withColumn("__part", part)
+    asked = queries.select(*by, "query_id", "terms").withColumn("__part", part)
+    kept = asked.groupBy("__part").agg(*[F.first(c).alias(c) for c in by]) if by else None
+    scored = bm25_reach(asked.select("query_id", "terms"), asked.select("query_id", "__part"), docs.drop(*by), best) if not by else _by_part(asked, docs, by, best)
+    return scored.join(kept, "__part").drop("__part") if kept is not None else scored
+
+
+def _by_part(asked: DataFrame, docs: DataFrame, by: list[str], best: int | None) -> DataFrame:
+    """``bm25_reach`` where the same query_id may ask in several parts: each is a request of its own."""
+    own = asked.withColumn("__own", F.struct("__part", "query_id"))
+    found = bm25_reach(own.select(F.col("__own").alias("query_id"), "terms"), own.select(F.col("__own").alias("query_id"), "__part"), docs.drop(*by), best)
+    return found.select("query_id.__part", F.col("query_id.query_id").alias("query_id"), "doc_id", "score")
+
+
+def bm25_reach(queries: DataFrame, reach: DataFrame, documents: DataFrame, best: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of requests that each ask the union of several parts of the documents.
+
+    queries: query_id, terms; reach: query_id, __part; documents: __part, doc_id, terms. Counts of documents, their lengths
+    and the documents of a term are sums over a request's parts, so no part is copied for the requests that ask it.
+
+    Requests are packed into blocks and documents into shares by hash; a block meets a share as two inverted lists in one
+    vectorised pass, so a frequent term is no hot key and no row per request, term and document is ever shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     k1, b = POLICY["bm25_k1"], POLICY["bm25_b"]
-    sized = documents.select(*by, "doc_id", "terms", F.size("terms").alias("dl"))
-    whole = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(*by, "query_id", F.explode("terms").alias("term")).groupBy(*by, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    # only terms that some query asks for go on
-    postings = sized.select(*by, "doc_id", "dl", F.explode("terms").alias("term")).join(asked.select(*by, "term").distinct(), [*by, "term"], "left_semi").groupBy(*by, "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    joined = asked.join(postings, [*by, "term"]).join(df, [*by, "term"])
-    joined = joined.join(whole, by) if by else joined.join(F.broadcast(whole))  # one row
+    reach = reach.select("query_id", "__part").distinct()
+    entries = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    whole = documents.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("dl"), F.count("terms").alias("sized"))
+    union = reach.join(whole, "__part").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("sized")).alias("avgdl"))
+    df = documents.select("__part", F.explode(F.array_distinct("terms")).alias("term")).groupBy("__part", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = entries.join(reach, "query_id").join(df, ["__part", "term"]).groupBy("query_id", "term").agg(F.sum("df").alias("df"))
+    weighed = entries.join(df, ["query_id", "term"]).join(union, "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("qf") * idf * weight).alias("score")).where("score > 0")
+    packed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qf") * idf).alias("w")))).alias("e"), F.first("avgdl").alias("avgdl"))
+    packed = packed.select("query_id", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"), "avgdl").join(reach, "query_id")
+    # shares and blocks of each part, by its documents and requests
+    cuts = lambda rows, size, name: rows.groupBy("__part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = cuts(documents, SHARE, "shares").join(cuts(reach, BLOCK, "blocks"), "__part")
+    pick = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = packed.join(sizes, "__part").withColumn("block", pick("query_id", "blocks")).withColumn("share", every("shares")).select("__part", "share", "block", "query_id", "terms", "weights", "avgdl")
+    left = documents.join(sizes, "__part").withColumn("share", pick("doc_id", "shares")).withColumn("block", every("blocks")).select("__part", "share", "block", "doc_id", "terms")
+
+    q_kind, d_kind = (x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (documents, "doc_id")))
+    # fields of struct ids may be null in the result's schema
+    q_type, d_type = (to_arrow_type(T.DataType.fromDDL(k)) for k in (q_kind, d_kind))
+
+    def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        q_ids, d_ids = asked["query_id"].combine_chunks().cast(q_type), docs["doc_id"].combine_chunks().cast(d_type)
+        flat = lambda t, c: pc.list_flatten(t[c].combine_chunks())
+        count = lambda t: pc.fill_null(pc.list_value_length(t["terms"].combine_chunks()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = flat(asked, "terms").dictionary_encode() if len(asked) else None
+        qs, ds, ss = [], [], []
+        if len(docs) and known is not None and len(known):
+            q_n, d_n = count(asked), count(docs)
+            term = known.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(term, kind="stable")
+            owner = np.repeat(np.arange(len(q_n)), q_n)[order]
+            weight = flat(asked, "weights").to_numpy(zero_copy_only=False)[order]
+            v = len(known.dictionary)
+            begin = np.searchsorted(term[order], np.arange(v + 1))
+            avgdl = asked["avgdl"].to_numpy()
+            at = pc.fill_null(pc.index_in(flat(docs, "terms"), value_set=known.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(d_n)), d_n)
+            code, tf = np.unique((of * v + at)[at >= 0], return_counts=True)
+            doc, t = code // v, code % v
+            n = begin[t + 1] - begin[t]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            edge = np.searchsorted(doc, np.arange(len(d_n) + 1))
+            lo, step = 0, max(1, CELLS // len(q_n))
+            while lo < len(d_n):
+                hi = min(len(d_n), lo + step, max(lo + 1, int(np.searchsorted(upto[edge], upto[edge[lo]] + CELLS, side="right")) - 1))
+                p, m = slice(edge[lo], edge[hi]), n[edge[lo] : edge[hi]]
+                e = np.repeat(begin[t[p]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                d, f, q = np.repeat(doc[p], m), np.repeat(tf[p], m), owner[e]
+                x = weight[e] * f * (k1 + 1) / (f + k1 * (1 - b + b * d_n[d] / avgdl[q]))
+                total = np.bincount((d - lo) * len(q_n) + q, weights=x, minlength=(hi - lo) * len(q_n))
+                cell = np.flatnonzero(total > 0)
+                qs.append(cell % len(q_n)), ds.append(cell // len(q_n) + lo), ss.append(total[cell])
+                lo = hi
+        q, d, s = (np.concatenate(x) if x else np.array([], np.int64) for x in (qs, ds, ss))
+        if best is not None and len(q):
+            place = np.empty(len(d_ids), np.int64)
+            place[pc.sort_indices(d_ids).to_numpy()] = np.arange(len(d_ids))
+            order = np.lexsort((place[d], -np.round(s, 9), q))
+            q, d, s = q[order], d[order], s[order]
+            first = np.searchsorted(q, q)
+            few = np.arange(len(q)) - first < best
+            q, d, s = q[few], d[few], s[few]
+        return pa.table({"query_id": q_ids.take(pa.array(q)), "doc_id": d_ids.take(pa.array(d)), "score": pa.array(s, pa.float64())})
+
+    keys = ["__part", "share", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {q_kind}, doc_id {d_kind}, score double")
 
 
 def ranked(scored: DataFrame, by: list[str], order: list[Column], name: str = "rk") -> DataFrame:
@@ -98,20 +190,21 @@ def interleave(lists: DataFrame, by: list[str], item: str) -> DataFrame:
     return ranked(first, by, [F.col("seat")]).drop("seat")
 
 
-def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POLICY["diversity_threshold"]) -> DataFrame:
+def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POLICY["diversity_threshold"], terms: DataFrame | None = None) -> DataFrame:
     """Greedy diverse top-k: walks each group's cues by ``rk`` and skips one whose terms overlap a kept one's by the threshold.
 
-    cues: by, id, rk (1, 2, ...), terms. Result: by, id, rk (old), pick (new rank). A threshold of 1 or more is plain
+    cues: by, id, rk, terms; or terms: id, terms, read only for the cues a round looks at. Result: by, id, rk (old), pick (new rank). A threshold of 1 or more is plain
     top-k. The walk is exact and goes block by block, so a request with any number of cues never fills a task.
     """
     if threshold >= 1:
         return ranked(cues.where(F.col("rk") <= limit), by, [F.col("rk")], "pick").select(*by, "id", "rk", "pick")
     kind = f"array<struct<rk:int,id:{dict(cues.dtypes)['id']},terms:array<string>>>"
+    attach = None if terms is None else lambda part: part.join(terms.select("id", "terms"), "id")
 
     def step(kept: Column, x: Column) -> Column:
         close = F.exists(kept, lambda y: similarity(y["terms"], x["terms"]) >= threshold)
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), "terms")
-    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "id", "terms"), F.array().cast(kind), step, F.size("state") < limit)
+    rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), *(["terms"] if terms is None else []))
+    walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "id", "terms"), F.array().cast(kind), step, F.size("state") < limit, attach=attach)
     return walked.select(*by, F.posexplode("state").alias("pos", "x")).select(*by, "x.id", "x.rk", (F.col("pos") + 1).alias("pick"))

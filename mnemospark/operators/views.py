@@ -24,23 +24,30 @@ def current_versions(df: DataFrame) -> DataFrame:
     return latest(df, ["id"], [F.col("version").desc(), F.col("ord")]).where("op = 'put'")
 
 
-def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, start: Column, step, open_: Column, block: int = 512) -> DataFrame:
-    """by, state: an order-dependent fold over each group's rows by rank, a block of ranks at a time.
+def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, start: Column, step, open_: Column, fits: Column | None = None, attach=None, most: int = 1024) -> DataFrame:
+    """by, state: an order-dependent fold over each group's rows by rank, some ranks at a time.
 
-    A group's rows are never gathered as a whole: each round folds at most ``block`` of them into the state, and goes on
-    only with groups for which ``open_`` (on ``state``) still holds and rows are left. rank starts at 1 and has no gaps.
+    A group's rows are never gathered as a whole: each round folds the next 64, 256, at last ``most`` of them into the state,
+    and goes on only with groups for which ``open_`` (on ``state``) still holds. ``fits`` (on a row's columns and ``state``)
+    drops rows that can't change the state any more, so a round ends a group or takes something. ``attach`` adds columns that
+    ``item`` needs to a round's rows alone. ranks are distinct within a group.
     """
     rows = checkpointed(rows)
-    state, low = None, 0
+    state, size = None, 64
     while True:
-        part = rows.where((F.col(rank) > low) & (F.col(rank) <= low + block))
-        lists = part.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+        left = rows
+        if state is not None:
+            left = rows.join(state.where(open_), by).where(F.col(rank) > F.col("__last"))
+            left = (left if fits is None else left.where(fits)).select(*rows.columns)
+        # the limit by rank is applied before the shuffle
+        part = left.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("__nth") <= size)
+        part = part if attach is None else attach(part)
+        lists = checkpointed(part.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__items"), F.max(rank).alias("__last")))
         if state is None:
-            folded = lists.select(*by, F.aggregate("__items", start, step).alias("state"))
+            folded = lists.select(*by, F.aggregate("__items", start, step).alias("state"), "__last")
+        elif lists.isEmpty():
+            return state.drop("__last")
         else:
-            met = state.where(open_).join(lists.hint("merge"), by).select(*by, F.aggregate("__items", F.col("state"), step).alias("state"))
-            folded = met.unionByName(state.join(met.select(*by), by, "left_anti"))
-        state = checkpointed(folded)
-        low += block
-        if rows.where(F.col(rank) > low).join(state.where(open_), by, "left_semi").isEmpty():
-            return state
+            met = state.drop("__last").join(lists.hint("merge"), by).select(*by, F.aggregate("__items", F.col("state"), step).alias("state"), "__last")
+            folded = met.unionByName(state.join(lists.select(*by), by, "left_anti"))
+        state, size = checkpointed(folded), min(most, size * 4)

@@ -102,12 +102,12 @@ def source_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.range(1).select(F.lit(1).alias("query_id"), X.tokenize(F.lit(CUE)).alias("terms"))
-    best = R.top(R.bm25(asked, checkpointed(_docs(spark, d))), ["query_id"], 10, "doc_id")
+    best = R.top(R.bm25(asked, checkpointed(_docs(spark, d)), best=10), ["query_id"], 10, "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"), "rk", F.round(1 / (60 + F.col("rk")), 9).alias("rank_score"))
 
 
 def bm25_multiquery(spark: SparkSession, d: str) -> DataFrame:
-    best = R.top(R.bm25(*asked_and_documents(spark, d)), ["query_id"], 10, "doc_id")
+    best = R.top(R.bm25(*asked_and_documents(spark, d), best=10), ["query_id"], 10, "doc_id")
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rk")
 
 
@@ -115,7 +115,7 @@ def bm25_by_scope(spark: SparkSession, d: str) -> DataFrame:
     """Statistics within each scope: every hundredth record asks the records of its scope."""
     r = first_arrivals(table(spark, d, "memory_records")).where("terms IS NOT NULL").select("scope", "id", "ord", "terms")
     asked = r.where("ord % 100 = 0").select("scope", F.col("id").alias("query_id"), "terms")
-    best = R.top(R.bm25(asked, r.withColumnRenamed("id", "doc_id"), ["scope"]), ["scope", "query_id"], 5, "doc_id")
+    best = R.top(R.bm25(asked, r.withColumnRenamed("id", "doc_id"), ["scope"], 5), ["scope", "query_id"], 5, "doc_id")
     return best.select("scope", "query_id", "doc_id", F.round("score", 6).alias("score"), "rk")
 
 
@@ -155,7 +155,7 @@ def interleave_parts(spark: SparkSession, d: str) -> DataFrame:
     """A multi-part cue: the whole cue's list and each part's are merged seat by seat, best 20."""
     parts = spark.range(1).select(F.posexplode(F.concat(F.array(F.lit(_PARTS)), X.split_cue(F.lit(_PARTS)))).alias("list_no", "part"))
     asked = parts.select(F.col("list_no").alias("query_id"), X.tokenize("part").alias("terms"))
-    lists = R.top(R.bm25(asked, checkpointed(_docs(spark, d))), ["query_id"], 20, "doc_id").select(F.lit(1).alias("cue"), F.col("query_id").alias("list_no"), "doc_id", "rk")
+    lists = R.top(R.bm25(asked, checkpointed(_docs(spark, d)), best=20), ["query_id"], 20, "doc_id").select(F.lit(1).alias("cue"), F.col("query_id").alias("list_no"), "doc_id", "rk")
     return R.interleave(lists, ["cue"], "doc_id").where("rk <= 20").select("doc_id", "rk")
 
 
@@ -163,8 +163,7 @@ def diversify_topk(spark: SparkSession, d: str) -> DataFrame:
     """All matches of each query by rank, of which the first 8 that don't restate one another are kept."""
     asked, docs = asked_and_documents(spark, d)
     matches = R.ranked(R.bm25(asked, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")]).select("query_id", "doc_id", "rk")
-    cues = matches.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "rk", "terms")
-    return R.diversify(cues, ["query_id"], 8, 0.3).select("query_id", F.col("id").alias("doc_id"), "rk", "pick")
+    return R.diversify(matches.withColumnRenamed("doc_id", "id"), ["query_id"], 8, 0.3, docs.withColumnRenamed("doc_id", "id")).select("query_id", F.col("id").alias("doc_id"), "rk", "pick")
 
 
 def queries() -> dict:
