@@ -53,9 +53,9 @@ def tokenize(text: Column | str) -> Column:
     return F.concat(F.transform(words, stem), cjk_bigrams(text))
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """Jaccard similarity of two term arrays as sets; 0 where either is empty."""
-    a, b = F.array_distinct(left), F.array_distinct(right)
+def similarity(left: Column, right: Column, distinct: bool = False) -> Column:
+    """Jaccard similarity of two term arrays as sets; 0 where either is empty. distinct: neither repeats a term."""
+    a, b = (left, right) if distinct else (F.array_distinct(left), F.array_distinct(right))
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 

@@ -107,10 +107,10 @@ def skill_search(queries: DataFrame, skills: DataFrame, limit: int) -> DataFrame
     hits = R.ranked(R.bm25(queries, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "pos")
     scored = hits.join(docs.drop("terms"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "kind", "context", (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
     walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")])
-    texts = docs.select(F.col("doc_id").alias("id"), "terms")
+    texts = docs.select(F.col("doc_id").alias("id"), F.array_distinct("terms").alias("terms"))
 
     def step(kept: Column, x: Column) -> Column:
-        close = F.exists(kept, lambda y: y["kind"].eqNullSafe(x["kind"]) & (y["context"] == x["context"]) & (similarity(y["terms"], x["terms"]) >= POLICY["duplicate_similarity"]))
+        close = F.exists(kept, lambda y: y["kind"].eqNullSafe(x["kind"]) & (y["context"] == x["context"]) & (similarity(y["terms"], x["terms"], True) >= POLICY["duplicate_similarity"]))
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
     kinds = dict(walked.dtypes) | {"terms": "array<string>"}

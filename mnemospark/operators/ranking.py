@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mnemospark.functions.numeric import POLICY, cosine
 from mnemospark.functions.text import similarity
 from mnemospark.operators.views import folded_in_blocks
+from mnemospark.runtime import busy_partitions
 
 
 #: Documents of a share, requests of a block, and pairs of both scored at once.
@@ -25,26 +26,22 @@ def bm25(queries: DataFrame, documents: DataFrame, partition: list[str] | None =
     not after. Null or empty term lists match nothing but empty ones count as documents. A query_id or doc_id must not
     repeat within the partition's values.
     """
-    by = partition or []
-    part = F.to_json(F.struct(*by)) if by else F.lit("")
-    docs = documents.select(*by, "doc_id", "terms").withColumn("__part", part)
-    asked = queries.select(*by, "query_id", "terms").withColumn("__part", part)
-    kept = asked.groupBy("__part").agg(*[F.first(c).alias(c) for c in by]) if by else None
-    scored = bm25_reach(asked.select("query_id", "terms"), asked.select("query_id", "__part"), docs.drop(*by), best) if not by else _by_part(asked, docs, by, best)
-    return scored.join(kept, "__part").drop("__part") if kept is not None else scored
-
-
-def _by_part(asked: DataFrame, docs: DataFrame, by: list[str], best: int | None) -> DataFrame:
-    """``bm25_reach`` where the same query_id may ask in several parts: each is a request of its own."""
-    own = asked.withColumn("__own", F.struct("__part", "query_id"))
-    found = bm25_reach(own.select(F.col("__own").alias("query_id"), "terms"), own.select(F.col("__own").alias("query_id"), "__part"), docs.drop(*by), best)
-    return found.select("query_id.__part", F.col("query_id.query_id").alias("query_id"), "doc_id", "score")
-
-
-def bm25_reach(queries: DataFrame, reach: DataFrame, documents: DataFrame, best: int | None = None) -> DataFrame:
+    if not partition:
+        return bm25_reach(queries, None, documents, best)
+    part = F.to_json(F.struct(*partition))
+    docs = documents.select(part.alias("__part"), "doc_id", "terms")
+    # the same query_id may ask in several parts: each is a request of its own
+    own = queries.select(*partition, F.struct(part.alias("__part"), "query_id").alias("query_id"), "terms")
+    found = bm25_reach(own, own.select("query_id", "query_id.__part"), docs, best)
+    named = queries.select(*partition, part.alias("__part")).distinct()
+    return found.select("query_id.__part", "query_id.query_id", "doc_id", "score").join(named, "__part").drop("__part")
+
+
+def bm25_reach(queries: DataFrame, reach: DataFrame | None, documents: DataFrame, best: int | None = None) -> DataFrame:
     """query_id, doc_id, score of requests that each ask the union of several parts of the documents.
 
-    queries: query_id, terms; reach: query_id, __part; documents: __part, doc_id, terms. Counts of documents, their lengths
+    queries: query_id, terms; reach: query_id, __part; documents: __part, doc_id, terms. Without ``reach`` all requests ask all
+    documents. Counts of documents, their lengths
     and the documents of a term are sums over a request's parts, so no part is copied for the requests that ask it.
 
     Requests are packed into blocks and documents into shares by hash; a block meets a share as two inverted lists in one
@@ -55,23 +52,35 @@ def bm25_reach(queries: DataFrame, reach: DataFrame, documents: DataFrame, best:
     import pyarrow.compute as pc
 
     k1, b = POLICY["bm25_k1"], POLICY["bm25_b"]
-    reach = reach.select("query_id", "__part").distinct()
     entries = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    whole = documents.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("dl"), F.count("terms").alias("sized"))
-    union = reach.join(whole, "__part").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("sized")).alias("avgdl"))
-    df = documents.select("__part", F.explode(F.array_distinct("terms")).alias("term")).groupBy("__part", "term").agg(F.count(F.lit(1)).alias("df"))
-    df = entries.join(reach, "query_id").join(df, ["__part", "term"]).groupBy("query_id", "term").agg(F.sum("df").alias("df"))
-    weighed = entries.join(df, ["query_id", "term"]).join(union, "query_id")
+    counts = (F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("dl"), F.count("terms").alias("sized"))
+    pick = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    shares, blocks = F.ceil(F.col("n") / SHARE).cast("int").alias("shares"), lambda c: F.ceil(c / BLOCK).cast("int").alias("blocks")
+    if reach is None:
+        # one part: its statistics are one row, its cuts are numbers
+        n, dl, sized = documents.agg(*counts).first()
+        union = {"n": F.lit(n), "avgdl": F.lit((dl or 0) / max(sized, 1))}
+        df = documents.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weighed = entries.join(df, "term").withColumns(union)
+        sizes = {"__part": F.lit(""), "shares": F.lit(max(-(-n // SHARE), min(busy_partitions(documents.sparkSession), -(-n // 256)), 1)), "blocks": F.lit(max(-(-queries.count() // BLOCK), 1))}
+        sized_by = lambda rows: rows.withColumns(sizes)
+    else:
+        reach = reach.select("query_id", "__part").distinct()
+        asking = reach.groupBy("__part").agg(F.count(F.lit(1)).alias("m"))
+        parts = documents.groupBy("__part").agg(*counts).join(asking, "__part").select("__part", "n", "dl", "sized", shares, blocks(F.col("m")))
+        union = reach.join(parts, "__part").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("sized")).alias("avgdl"))
+        df = documents.select("__part", F.explode(F.array_distinct("terms")).alias("term")).groupBy("__part", "term").agg(F.count(F.lit(1)).alias("df"))
+        df = entries.join(reach, "query_id").join(df, ["__part", "term"]).groupBy("query_id", "term", "qf").agg(F.sum("df").alias("df"))
+        weighed = df.join(union, "query_id")
+        sized_by = lambda rows: rows.join(parts.select("__part", "shares", "blocks"), "__part")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     packed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qf") * idf).alias("w")))).alias("e"), F.first("avgdl").alias("avgdl"))
-    packed = packed.select("query_id", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"), "avgdl").join(reach, "query_id")
+    packed = packed.select("query_id", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"), "avgdl")
+    packed = packed if reach is None else packed.join(reach, "query_id")
     # shares and blocks of each part, by its documents and requests
-    cuts = lambda rows, size, name: rows.groupBy("__part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    sizes = cuts(documents, SHARE, "shares").join(cuts(reach, BLOCK, "blocks"), "__part")
-    pick = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = packed.join(sizes, "__part").withColumn("block", pick("query_id", "blocks")).withColumn("share", every("shares")).select("__part", "share", "block", "query_id", "terms", "weights", "avgdl")
-    left = documents.join(sizes, "__part").withColumn("share", pick("doc_id", "shares")).withColumn("block", every("blocks")).select("__part", "share", "block", "doc_id", "terms")
+    right = sized_by(packed).withColumn("block", pick("query_id", F.col("blocks"))).withColumn("share", every(F.col("shares"))).select("__part", "share", "block", "query_id", "terms", "weights", "avgdl")
+    left = sized_by(documents).withColumn("share", pick("doc_id", F.col("shares"))).withColumn("block", every(F.col("blocks"))).select("__part", "share", "block", "doc_id", "terms")
 
     q_kind, d_kind = (x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (documents, "doc_id")))
     # fields of struct ids may be null in the result's schema
@@ -148,7 +157,7 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
     spark = vectors.sparkSession
     packed = queries.select("query_id", "v").withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(queries.count() // 512))))
     blocks = packed.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("v").alias("vs"))
-    shares = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // 65_536))  # a share fits a task
     spread = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).alias("share"))
     copies = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
 
@@ -199,12 +208,13 @@ def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POL
     if threshold >= 1:
         return ranked(cues.where(F.col("rk") <= limit), by, [F.col("rk")], "pick").select(*by, "id", "rk", "pick")
     kind = f"array<struct<rk:int,id:{dict(cues.dtypes)['id']},terms:array<string>>>"
-    attach = None if terms is None else lambda part: part.join(terms.select("id", "terms"), "id")
+    own = F.array_distinct("terms").alias("terms")
+    attach = None if terms is None else lambda part: part.join(terms.select("id", own), "id")
 
     def step(kept: Column, x: Column) -> Column:
-        close = F.exists(kept, lambda y: similarity(y["terms"], x["terms"]) >= threshold)
+        close = F.exists(kept, lambda y: similarity(y["terms"], x["terms"], True) >= threshold)
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), *(["terms"] if terms is None else []))
+    rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), *([own] if terms is None else []))
     walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "id", "terms"), F.array().cast(kind), step, F.size("state") < limit, attach=attach)
     return walked.select(*by, F.posexplode("state").alias("pos", "x")).select(*by, "x.id", "x.rk", (F.col("pos") + 1).alias("pick"))

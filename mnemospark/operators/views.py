@@ -39,6 +39,8 @@ def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, st
         if state is not None:
             left = rows.join(state.where(open_), by).where(F.col(rank) > F.col("__last"))
             left = (left if fits is None else left.where(fits)).select(*rows.columns)
+            if size == most:  # later rounds read what is left of the groups still open, not all rows
+                rows = left = checkpointed(left)
         # the limit by rank is applied before the shuffle
         part = left.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("__nth") <= size)
         part = part if attach is None else attach(part)
