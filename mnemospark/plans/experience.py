@@ -36,6 +36,34 @@ def recall_diverse(spark: SparkSession, d: str) -> DataFrame:
     return c.select("query_id", "kind", "id", F.round("score", 6).alias("score"), "rk", "pick", "truncated")
 
 
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests, each asking its own scope and the user's together."""
+    return _requests(spark, d).select("query_id", F.array("scope", F.lit("user")).alias("scopes"), "text")
+
+
+def recall_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics, ranks and edges over the union of a request's scopes."""
+    c = Q.recalled_cues(_chained(spark, d), records(spark, d), nodes(spark, d), _edges(spark, d), NOW)
+    return c.select("query_id", "kind", "id", F.round("score", 6).alias("score"), "rk")
+
+
+#: Options of ``recall_filtered``.
+_ONLY = {"node_types": ["preference", "project", "routine"], "kinds": ["user-message", "note"], "fidelity": "summary", "least": 0.2}
+
+
+def recall_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Some node types and record kinds, a fidelity floor, a least confidence, evidence included, beliefs boosted by support."""
+    c = Q.recalled_cues(_chained(spark, d), records(spark, d), nodes(spark, d), _edges(spark, d), NOW, include_evidence=True, support_weight=0.15, **_ONLY)
+    return c.select("query_id", "kind", "id", F.round("score", 6).alias("score"), "rk")
+
+
+def recall_signals(spark: SparkSession, d: str) -> DataFrame:
+    """What each cue's score is made of."""
+    c = Q.recalled_cues(_chained(spark, d), records(spark, d), nodes(spark, d), _edges(spark, d), NOW)
+    s = c.select("query_id", "kind", "id", F.explode("signals").alias("s"))
+    return s.select("query_id", "kind", "id", F.col("s.kind").alias("signal"), F.col("s.rank").alias("rank"), F.round("s.value", 6).alias("value"))
+
+
 def episodes(spark: SparkSession, d: str) -> DataFrame:
     return current_versions(table(spark, d, "experience_episodes"))
 
@@ -218,12 +246,21 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [recall_cues, recall_diverse, episode_steps, quote_checks, latest_per_family, environment_match, required_tools, skill_support, conflict_pairs, source_manifest, checkpoint_latest, skill_search, skill_markdown, step_sampling, overlapping_episodes, case_fingerprints, shared_sessions, banks_as_of, retrieval_metrics, session_metrics, metric_summary, pass_rate_groups, round_robin_sample, budget_prefix, budget_greedy, recency_baseline, turn_capture, every_fifth_turn, gap_sessions]
+    fs = [recall_cues, recall_diverse, recall_scopes, recall_filtered, recall_signals, episode_steps, quote_checks, latest_per_family, environment_match, required_tools, skill_support, conflict_pairs, source_manifest, checkpoint_latest, skill_search, skill_markdown, step_sampling, overlapping_episodes, case_fingerprints, shared_sessions, banks_as_of, retrieval_metrics, session_metrics, metric_summary, pass_rate_groups, round_robin_sample, budget_prefix, budget_greedy, recency_baseline, turn_capture, every_fifth_turn, gap_sessions]
     return {f.__name__: f for f in fs}
 
 
-def _recall_sql() -> str:
-    """CTEs that end in cues(query_id, kind, id, score, rk, terms)."""
+def _recall_sql(more: str = "", only: dict | None = None, boost: str = "1") -> str:
+    """CTEs that end in cues(query_id, kind, id, score, rk, terms). more: a scope that each request asks beside its own; the
+    rows of a request's scopes are then copied under its chain's name.
+    """
+    only = only or {}
+    inside = lambda c, k: f"AND {c} IN ({', '.join(repr(x) for x in only[k])})" if k in only else ""
+    least = f"AND c >= {only['least']}" if only else ""
+    sound = "AND fidelity IN ('verbatim', 'summary')" if only else ""
+    hidden = "" if only else "WHERE record_use IS DISTINCT FROM 'evidence'"
+    chains = f"ch AS MATERIALIZED (SELECT DISTINCT r.scope || '+' AS chain, m.scope AS member FROM rec r, (SELECT DISTINCT scope FROM rec UNION SELECT '{more}') m WHERE ord % 100 = 0 AND text IS NOT NULL AND (m.scope = r.scope OR m.scope = '{more}'))" if more else "ch AS MATERIALIZED (SELECT DISTINCT scope AS chain, scope AS member FROM rec WHERE ord % 100 = 0 AND text IS NOT NULL)"
+    asker = "scope || '+'" if more else "scope"
     n, r = S.current("memory_nodes"), S.first_arrivals("memory_records")
     e = f"(SELECT * REPLACE ({S.key('src')} AS src, {S.key('dst')} AS dst) FROM {S.first_arrivals('memory_edges')})"
     concat = "concat_ws(' ', label, summary)"
@@ -236,20 +273,20 @@ def _recall_sql() -> str:
         return f"{inner}, {name}_rk AS (SELECT scope, query_id, doc_id AS id, row_number() OVER (PARTITION BY scope, query_id ORDER BY round(score, 9) DESC, ord) AS rk FROM {name}_sc JOIN {docs} USING (scope, doc_id))"
 
     recency = f"0.5 + 0.5 * CASE WHEN {NOW} <= created_at THEN 1 ELSE pow(2.0, -({NOW} - created_at) / 5184000000.0) END"
-    return f"""WITH RECURSIVE rec AS MATERIALIZED (SELECT * FROM {r}), asked AS MATERIALIZED (SELECT scope, id AS query_id, {S.tokenize('text')} AS terms FROM rec WHERE ord % 100 = 0 AND text IS NOT NULL),
-nd AS MATERIALIZED (SELECT scope, id AS doc_id, ord, {decay_sql('support.last_seen_at')} AS c, evidence, {S.tokenize(concat)} AS terms FROM {n} WHERE status = 'active'),
-ed AS MATERIALIZED (SELECT e.scope, e.id AS doc_id, e.ord, src, dst, {decay_sql('e.updated_at', 'e.confidence').replace('half_life_ms', 'e.half_life_ms')} AS c, {S.tokenize('claim')} AS terms FROM {e} e JOIN nd a ON a.doc_id = e.src AND a.scope = e.scope JOIN nd b ON b.doc_id = e.dst AND b.scope = e.scope WHERE e.status = 'active'),
-rc AS MATERIALIZED (SELECT scope, id AS doc_id, ord, record_use, created_at, terms FROM rec WHERE status = 'active' AND terms IS NOT NULL),
+    return f"""WITH RECURSIVE rec AS MATERIALIZED (SELECT * FROM {r}), {chains}, asked AS MATERIALIZED (SELECT {asker} AS scope, id AS query_id, {S.tokenize('text')} AS terms FROM rec WHERE ord % 100 = 0 AND text IS NOT NULL),
+nd AS MATERIALIZED (SELECT * FROM (SELECT chain AS scope, id AS doc_id, ord, {decay_sql('support.last_seen_at')} AS c, {boost} AS boost, evidence, {S.tokenize(concat)} AS terms FROM {n} n_ JOIN ch ON member = n_.scope WHERE status = 'active' {inside('node_type', 'node_types')}) WHERE true {least}),
+ed AS MATERIALIZED (SELECT * FROM (SELECT chain AS scope, e.id AS doc_id, e.ord, src, dst, {decay_sql('e.updated_at', 'e.confidence').replace('half_life_ms', 'e.half_life_ms')} AS c, {S.tokenize('claim')} AS terms FROM {e} e JOIN ch ON member = e.scope JOIN nd a ON a.doc_id = e.src AND a.scope = chain JOIN nd b ON b.doc_id = e.dst AND b.scope = chain WHERE e.status = 'active') WHERE true {least}),
+rc AS MATERIALIZED (SELECT chain AS scope, id AS doc_id, ord, record_use, created_at, terms FROM rec JOIN ch ON member = rec.scope WHERE status = 'active' AND terms IS NOT NULL {inside('kind', 'kinds')} {sound}),
 {ranked('n', 'nd')}, {ranked('e', 'ed')}, {ranked('r', 'rc')}, fused AS MATERIALIZED (SELECT scope, query_id, id, rk, 1.0 / (60 + rk) AS score FROM r_rk),
 seeds AS (SELECT scope, query_id, id AS node, 1.0 / (60 + rk) AS w FROM n_rk UNION ALL SELECT DISTINCT x.scope, f.query_id, x.doc_id, 0.45 / 61 FROM (SELECT scope, doc_id, unnest(evidence) AS cited FROM nd) x JOIN fused f ON f.scope = x.scope AND f.id = x.cited AND f.rk <= 10),
-h0 AS MATERIALIZED (SELECT scope, query_id, node, sum(w) AS w FROM seeds GROUP BY ALL), b AS MATERIALIZED (SELECT src AS node, dst AS target, c FROM ed UNION ALL SELECT dst, src, c FROM ed),
-h1 AS MATERIALIZED (SELECT h0.scope, query_id, target AS node, sum(w * 0.45 * c) AS w FROM h0 JOIN b USING (node) GROUP BY ALL), h2 AS (SELECT h1.scope, query_id, target AS node, sum(w * 0.45 * c) AS w FROM h1 JOIN b USING (node) GROUP BY ALL),
+h0 AS MATERIALIZED (SELECT scope, query_id, node, sum(w) AS w FROM seeds GROUP BY ALL), b AS MATERIALIZED (SELECT scope, src AS node, dst AS target, c FROM ed UNION ALL SELECT scope, dst, src, c FROM ed),
+h1 AS MATERIALIZED (SELECT h0.scope, query_id, target AS node, sum(w * 0.45 * c) AS w FROM h0 JOIN b USING (scope, node) GROUP BY ALL), h2 AS (SELECT h1.scope, query_id, target AS node, sum(w * 0.45 * c) AS w FROM h1 JOIN b USING (scope, node) GROUP BY ALL),
 act AS MATERIALIZED (SELECT scope, query_id, node, sum(w) AS a FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
-ncue AS (SELECT act.scope, act.query_id, 'node' AS kind, node AS id, (coalesce(1.0 / (60 + rk), 0) + a) * (0.5 + 0.5 * c) AS score, 0 AS part, nd.ord AS inn, terms FROM act JOIN nd ON nd.doc_id = node AND nd.scope = act.scope LEFT JOIN n_rk ON n_rk.scope = act.scope AND n_rk.query_id = act.query_id AND n_rk.id = node),
+ncue AS (SELECT act.scope, act.query_id, 'node' AS kind, node AS id, (coalesce(1.0 / (60 + rk), 0) + a) * (0.5 + 0.5 * c) * boost AS score, 0 AS part, nd.ord AS inn, terms FROM act JOIN nd ON nd.doc_id = node AND nd.scope = act.scope LEFT JOIN n_rk ON n_rk.scope = act.scope AND n_rk.query_id = act.query_id AND n_rk.id = node),
 around AS (SELECT x.scope, act.query_id, x.doc_id AS id, sum(a) AS a FROM (SELECT scope, doc_id, unnest([src, dst]) AS node FROM ed) x JOIN act ON act.scope = x.scope AND act.node = x.node GROUP BY ALL),
 ekeys AS (SELECT scope, query_id, id FROM around UNION SELECT scope, query_id, id FROM e_rk),
 ecue AS (SELECT k.scope, k.query_id, 'edge' AS kind, k.id, (coalesce(1.0 / (60 + rk), 0) + coalesce(a, 0) * 0.45) * (0.5 + 0.5 * c) AS score, 1 AS part, ed.ord AS inn, terms FROM ekeys k JOIN ed ON ed.doc_id = k.id AND ed.scope = k.scope LEFT JOIN around ON around.scope = k.scope AND around.query_id = k.query_id AND around.id = k.id LEFT JOIN e_rk ON e_rk.scope = k.scope AND e_rk.query_id = k.query_id AND e_rk.id = k.id),
-rcue AS (SELECT f.scope, f.query_id, 'record' AS kind, f.id, score * ({recency}) AS score, 2 AS part, rk AS inn, terms FROM fused f JOIN rc ON rc.doc_id = f.id AND rc.scope = f.scope WHERE record_use IS DISTINCT FROM 'evidence'),
+rcue AS (SELECT f.scope, f.query_id, 'record' AS kind, f.id, score * ({recency}) AS score, 2 AS part, rk AS inn, terms FROM fused f JOIN rc ON rc.doc_id = f.id AND rc.scope = f.scope {hidden}),
 cues AS MATERIALIZED (SELECT query_id, kind, id, score, terms, row_number() OVER (PARTITION BY scope, query_id ORDER BY round(score, 9) DESC, part, inn) AS rk FROM (SELECT * FROM ncue UNION ALL SELECT * FROM ecue UNION ALL SELECT * FROM rcue))"""
 
 
@@ -283,6 +320,14 @@ UNION ALL SELECT w.scope, x.rk, CASE WHEN len <= room THEN room - len ELSE room
     return {
         "recall_cues": f"{_recall_sql()} SELECT query_id, kind, id, round(score, 6) AS score, rk FROM cues",
         "recall_diverse": f"{_recall_sql()}, {walk} SELECT c.query_id, kind, id, round(score, 6) AS score, c.rk, p.pick, n > len(kept) AS truncated FROM (SELECT query_id, kept, n, unnest(kept) AS rk, generate_subscripts(kept, 1) AS pick FROM fin) p JOIN cues c ON c.query_id = p.query_id AND c.rk = p.rk",
+        "recall_scopes": f"{_recall_sql('user')} SELECT query_id, kind, id, round(score, 6) AS score, rk FROM cues",
+        "recall_filtered": f"{_recall_sql('user', _ONLY, '1 + 0.15 * ln(1 + support.observations + support.reinforcements)')} SELECT query_id, kind, id, round(score, 6) AS score, rk FROM cues",
+        "recall_signals": f"""{_recall_sql('user')}, sg AS (SELECT act.query_id, 'node' AS kind, node AS id, 'lexical' AS signal, rk AS rank, score AS value FROM act JOIN nd ON nd.scope = act.scope AND nd.doc_id = node JOIN n_rk ON n_rk.scope = act.scope AND n_rk.query_id = act.query_id AND n_rk.id = node JOIN n_sc ON n_sc.scope = act.scope AND n_sc.query_id = act.query_id AND n_sc.doc_id = node
+UNION ALL SELECT act.query_id, 'node', node, 'graph', NULL, a FROM act JOIN nd ON nd.scope = act.scope AND nd.doc_id = node WHERE a > 0 UNION ALL SELECT act.query_id, 'node', node, 'confidence', NULL, c FROM act JOIN nd ON nd.scope = act.scope AND nd.doc_id = node
+UNION ALL SELECT e_rk.query_id, 'edge', e_rk.id, 'lexical', rk, score FROM e_rk JOIN e_sc ON e_sc.scope = e_rk.scope AND e_sc.query_id = e_rk.query_id AND e_sc.doc_id = e_rk.id UNION ALL SELECT query_id, 'edge', id, 'graph', NULL, a FROM around WHERE a > 0 UNION ALL SELECT query_id, 'edge', k.id, 'confidence', NULL, c FROM ekeys k JOIN ed ON ed.scope = k.scope AND ed.doc_id = k.id
+UNION ALL SELECT f.query_id, 'record', f.id, 'lexical', f.rk, r_sc.score FROM fused f JOIN r_sc ON r_sc.scope = f.scope AND r_sc.query_id = f.query_id AND r_sc.doc_id = f.id JOIN rc ON rc.scope = f.scope AND rc.doc_id = f.id WHERE record_use IS DISTINCT FROM 'evidence'
+UNION ALL SELECT f.query_id, 'record', f.id, 'recency', NULL, CASE WHEN {NOW} <= created_at THEN 1 ELSE pow(2.0, -({NOW} - created_at) / 5184000000.0) END FROM fused f JOIN rc ON rc.scope = f.scope AND rc.doc_id = f.id WHERE record_use IS DISTINCT FROM 'evidence')
+SELECT query_id, kind, id, signal, rank, round(value, 6) AS value FROM sg""",
         "episode_steps": f"SELECT tool, role, execution, count(*) AS steps, count(*) FILTER (complete) AS complete, count(DISTINCT id) AS episodes FROM {step} GROUP BY ALL",
         "quote_checks": f"""WITH q AS (SELECT id, any_value({S.key('episode_id')}) AS episode_id, any_value({S.key('event_id')}) AS event_id, any_value(quote) AS quote FROM evidence_quotes GROUP BY id), s AS (SELECT id AS episode_id, lower(trim(event_id)) AS event_id, any_value(observation) AS o FROM {step} WHERE event_id IS NOT NULL GROUP BY ALL)
 SELECT q.id, q.episode_id, q.event_id, CASE WHEN o IS NULL THEN NULL WHEN instr(o, quote) > 0 THEN 'exact' WHEN instr(regexp_replace(o, '\\s+', '', 'g'), regexp_replace(quote, '\\s+', '', 'g')) > 0 THEN 'white_space' ELSE 'absent' END AS match, CASE WHEN instr(o, quote) > 0 THEN instr(o, quote) END AS start FROM q LEFT JOIN s ON q.episode_id = s.episode_id AND q.event_id = s.event_id""",
