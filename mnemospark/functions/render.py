@@ -43,7 +43,7 @@ def call_role(tool: Column | str, command: Column | str) -> Column:
 
     Quoted text doesn't count as a command; output redirected to a file is a change; printing a claim isn't a check.
     """
-    t, c = column(tool), F.coalesce(column(command), F.lit(""))
+    t, c = F.coalesce(column(tool), F.lit("")), F.coalesce(column(command), F.lit(""))
     bare = F.lower(F.regexp_replace(F.regexp_replace(c, r"\"[^\"]*\"|'[^']*'", " "), r"(?m)#.*$", " "))
     start = r"(?:^|[;&|\n])\s*"
     changing = bare.rlike(start + r"(?:sudo\s+)?(?:" + "|".join(CHANGING) + r")\b") | bare.rlike(r"(?:^|\s)\d*>>?\s") | bare.rlike(r"\bgit\s+(?:apply|reset|checkout|commit)\b|\b(?:npm|pnpm)\s+install\b")

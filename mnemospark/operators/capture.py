@@ -47,7 +47,20 @@ def gap_sessions(events: DataFrame, by: str, at: str, gap_seconds: int) -> DataF
 
 
 def every_nth(turn_rows: DataFrame, n: int) -> DataFrame:
-    """Turns at which an every-n-turns job of their session fires: the n-th, 2n-th, ... closed one."""
-    order = Window.partitionBy("session_id").orderBy("turn")
-    counted = turn_rows.where("closed").withColumn("nth", F.row_number().over(order))
+    """Turns at which an every-n-turns job of their session fires: the n-th, 2n-th, ... closed one. Counted by thousands of
+    turns, so that a session of any length is spread over tasks.
+    """
+    closed = turn_rows.where("closed").withColumns({"__one": F.lit(1), "__bucket": F.floor(F.col("turn") / 1000)})
+    counted = running_count(closed, ["session_id"], "__bucket", ["turn"], "__one", "nth").drop("__one", "__bucket")
     return counted.where(F.col("nth") % n == 0)
+
+
+def running_max(rows: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the greatest value of the rows before each row in order within ``by``, null for the first; ``bucket``
+    must ascend with the order. Maxima run inside a bucket and, separately, over the buckets.
+    """
+    tops = rows.groupBy(*by, bucket).agg(F.max(value).alias("__top"))
+    before = F.max("__top").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.max(value).over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    both = rows.withColumn("__own", inner).join(tops.select(*by, bucket, before.alias("__before")), [*by, bucket])
+    return both.withColumn(name, F.greatest("__own", "__before")).drop("__own", "__before")

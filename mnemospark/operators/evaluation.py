@@ -17,6 +17,10 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, cutoffs: tuple[int, ..
     g = gold.select("query_id", "item").distinct()
     hits = ranked.join(g, ["query_id", "item"], "left_semi").groupBy("query_id", "item").agg(F.min("rk").alias("rk"))
     sizes = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"))
+    return _metrics(sizes, hits, cutoffs)
+
+
+def _metrics(sizes: DataFrame, hits: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
     found = sizes.join(hits, "query_id", "left")
     gain = 1 / F.log2(F.col("rk") + 1)
     aggs: list[Column] = [F.coalesce(F.max(1 / F.col("rk")), F.lit(0.0)).alias("rr")]
@@ -30,6 +34,27 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, cutoffs: tuple[int, ..
     return m.select(*out)
 
 
+def labelled_metrics(ranked: DataFrame, labels: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """``retrieval_metrics`` where an item is gold if it has the query's label: gold is counted per label and only returned
+    items are looked at, so queries and their gold are never paired.
+
+    ranked: query_id, item, rk; labels: item, label; a query is an item itself and no gold of its own.
+    """
+    asked = labels.select(F.col("item").alias("query_id"), F.col("label").alias("wanted"))
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("gold")).where("gold > 0")
+    queries = ranked.select("query_id").distinct().join(asked, "query_id")
+    hits = ranked.join(asked, "query_id").join(labels, "item").where("label = wanted AND item <> query_id").select("query_id", "item", "rk")
+    return _metrics(queries.join(sizes.withColumnRenamed("label", "wanted"), "wanted").select("query_id", "gold"), hits, cutoffs)
+
+
+def metric_averages(metrics: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: queries, mrr, unattributed (share of queries without any gold returned), and the means of recall, hit and nDCG
+    at each cutoff.
+    """
+    means = [F.avg(f"{m}_{k}").alias(f"{m}_{k}") for k in cutoffs for m in ("recall", "hit", "ndcg")]
+    return metrics.agg(F.count(F.lit(1)).alias("queries"), F.avg("rr").alias("mrr"), F.avg((F.col("rr") == 0).cast("double")).alias("unattributed"), *means)
+
+
 def keep_first(ranked: DataFrame, by: list[str], group: str) -> DataFrame:
     """The best item of each group, ranked again: session-level results from item-level ones."""
     best = ranked.groupBy(*by, group).agg(F.min("rk").alias("best"))
@@ -99,8 +124,9 @@ def random_floor(queries: DataFrame, items: DataFrame, limit: int, slots: int =
     width = min(slots, max(1, -(-slots * (limit * 8 + 64) // n)))
     cell = max(1, width)
     cells = -(-slots // cell)
-    placed = items.select("item", F.pmod(F.xxhash64("item"), F.lit(slots)).alias("slot")).withColumn("cell", F.floor(F.col("slot") / cell))
-    begin = F.pmod(F.xxhash64(F.lit(11), "query_id"), F.lit(slots))
+    digest = lambda salt, c: F.conv(F.left(F.md5(F.concat(F.lit(salt), F.col(c).cast("string"))), F.lit(8)), 16, 10).cast("bigint")
+    placed = items.select("item", F.pmod(digest("item", "item"), F.lit(slots)).alias("slot")).withColumn("cell", F.floor(F.col("slot") / cell))
+    begin = F.pmod(digest("query", "query_id"), F.lit(slots))
     runs = queries.select("query_id", begin.alias("begin"))
     spans = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(min(1, cells - 1))))).withColumn("cell", F.pmod(F.floor(F.col("begin") / cell) + F.col("k"), F.lit(cells)))
     met = placed.join(spans, "cell").withColumn("far", F.pmod(F.col("slot") - F.col("begin"), F.lit(slots)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.numeric import POLICY
 from mnemospark.functions.text import similarity, tokenize
 from mnemospark.operators import ranking as R
+from mnemospark.operators.capture import running_max
 from mnemospark.operators.graph import chain_roots
 from mnemospark.operators.views import folded_in_blocks, latest
 
@@ -150,8 +151,18 @@ def skill_markdown(skills: DataFrame) -> DataFrame:
     return skills.select("id", F.concat(head, state, *parts).alias("markdown"))
 
 
-def overlapping(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Rows that begin before an earlier one of their group has ended: a running maximum of ends, no pairs."""
-    order = Window.partitionBy(*by).orderBy(start, "id")
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("busy_until", before).where(F.col("busy_until") > F.col(start))
+def overlapping(rows: DataFrame, by: list[str], start: str, end: str, bucket_ms: int = 86_400_000) -> DataFrame:
+    """Rows that begin before an earlier one of their group has ended: a running maximum of ends by day, no pairs."""
+    daily = rows.withColumn("__day", F.floor(F.col(start) / bucket_ms))
+    return running_max(daily, by, "__day", [start, "id"], end, "busy_until").drop("__day").where(F.col("busy_until") > F.col(start))
+
+
+def revisions(versions: DataFrame, watched: list[str]) -> DataFrame:
+    """id, version, previous (version), changed ARRAY<STRING> (watched columns that differ from the previous version's) of all
+    versions of every id; of resent rows of a version the first by stored_at. The first version has no previous one.
+    """
+    one = latest(versions, ["id", "version"], [F.col("stored_at")]).select("id", "version", F.struct(*watched).alias("now"))
+    order = Window.partitionBy("id").orderBy("version")
+    lined = one.withColumns({"before": F.lag("now").over(order), "previous": F.lag("version").over(order)})
+    changed = F.filter(F.array(*[F.when(F.col("previous").isNotNull() & ~F.col(f"now.{c}").eqNullSafe(F.col(f"before.{c}")), F.lit(c)) for c in watched]), lambda c: c.isNotNull())
+    return lined.select("id", "version", "previous", changed.alias("changed"))

@@ -139,8 +139,19 @@ def step_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlapping_episodes(spark: SparkSession, d: str) -> DataFrame:
-    e = episodes(spark, d).where("session_id IS NOT NULL AND started_at IS NOT NULL")
-    return X.overlapping(e, ["session_id"], "started_at", "completed_at").select("id", "session_id", "busy_until")
+    """Episodes that begin less than three days after an earlier one of their scope has ended."""
+    e = episodes(spark, d).where("scope IS NOT NULL AND started_at IS NOT NULL").withColumn("completed_at", F.col("completed_at") + 3 * 86_400_000)
+    return X.overlapping(e, ["scope"], "started_at", "completed_at").select("id", "scope", "busy_until")
+
+
+#: What ``node_revisions`` watches.
+WATCHED = ("status", "label", "summary", "confidence", "evidence")
+
+
+def node_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of each node and what it changed."""
+    r = X.revisions(table(spark, d, "memory_nodes").where("op = 'put'"), list(WATCHED))
+    return r.select("id", "version", "previous", F.array_join("changed", ",").alias("changed"))
 
 
 def case_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -165,16 +176,25 @@ def banks_as_of(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("cutoff", "node_type").agg(F.count(F.lit(1)).alias("nodes")).select(F.unix_millis("cutoff").alias("cutoff_ms"), "node_type", "nodes")
 
 
-def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vectors of the query set against the vectors of the same label."""
+def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v", "label")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v")
     ranked = R.cosine_neighbours(asked, v, 10).select("query_id", F.col("vec_id").alias("item"), "rk")
-    gold = asked.select("query_id", "label").join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("item <> query_id").select("query_id", "item")
-    m = E.retrieval_metrics(ranked, gold)
+    return E.labelled_metrics(ranked, v.select(F.col("vec_id").alias("item"), "label"))
+
+
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors of the query set against the vectors of the same label."""
+    m = _retrieved(spark, d)
     return m.select("query_id", "gold", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
 
 
+def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """R@k, hit@k, nDCG@k, MRR and the unattributed share, averaged over the query set."""
+    m = E.metric_averages(_retrieved(spark, d))
+    return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Document hits of each query kept once per scope and ranked again."""
     scope = table(spark, d, "documents").select("doc_id", "scope")
@@ -246,7 +266,7 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [recall_cues, recall_diverse, recall_scopes, recall_filtered, recall_signals, episode_steps, quote_checks, latest_per_family, environment_match, required_tools, skill_support, conflict_pairs, source_manifest, checkpoint_latest, skill_search, skill_markdown, step_sampling, overlapping_episodes, case_fingerprints, shared_sessions, banks_as_of, retrieval_metrics, session_metrics, metric_summary, pass_rate_groups, round_robin_sample, budget_prefix, budget_greedy, recency_baseline, turn_capture, every_fifth_turn, gap_sessions]
+    fs = [recall_cues, recall_diverse, recall_scopes, recall_filtered, recall_signals, episode_steps, quote_checks, latest_per_family, environment_match, required_tools, skill_support, conflict_pairs, source_manifest, checkpoint_latest, skill_search, skill_markdown, step_sampling, overlapping_episodes, node_revisions, case_fingerprints, shared_sessions, banks_as_of, retrieval_metrics, retrieval_summary, session_metrics, metric_summary, pass_rate_groups, round_robin_sample, budget_prefix, budget_greedy, recency_baseline, turn_capture, every_fifth_turn, gap_sessions]
     return {f.__name__: f for f in fs}
 
 
@@ -317,6 +337,9 @@ t AS MATERIALIZED (SELECT s AS session_id, turn, min(at_) AS opened_at, count(*)
 fin AS (SELECT query_id, arg_max(kept, rk) AS kept, max(rk) AS n FROM walk GROUP BY 1)"""
     greedy = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM {lines}), w AS (SELECT scope, CAST(0 AS BIGINT) AS rk, CAST(150 AS BIGINT) AS room, false AS took FROM (SELECT DISTINCT scope FROM x)
 UNION ALL SELECT w.scope, x.rk, CASE WHEN len <= room THEN room - len ELSE room END, len <= room FROM w JOIN x ON x.scope = w.scope AND x.rk = w.rk + 1) SELECT scope, rk FROM w WHERE took"""
+    metrics = f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_cosine_similarity(q.v, v.v), 9) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, item, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rk FROM s WHERE s > 0) WHERE rk <= 10), g AS (SELECT q.vec_id AS query_id, x.vec_id AS item FROM v q JOIN v x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
+m AS (SELECT g.query_id, count(*) AS gold, coalesce(max(1.0 / rk), 0) AS rr, {cut} FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.item = g.item GROUP BY 1) SELECT query_id, gold, round(CAST(rr AS DOUBLE), 6) AS rr, {out} FROM m"""
     return {
         "recall_cues": f"{_recall_sql()} SELECT query_id, kind, id, round(score, 6) AS score, rk FROM cues",
         "recall_diverse": f"{_recall_sql()}, {walk} SELECT c.query_id, kind, id, round(score, 6) AS score, c.rk, p.pick, n > len(kept) AS truncated FROM (SELECT query_id, kept, n, unnest(kept) AS rk, generate_subscripts(kept, 1) AS pick FROM fin) p JOIN cues c ON c.query_id = p.query_id AND c.rk = p.rk",
@@ -349,13 +372,17 @@ fin AS (SELECT query_id, arg_max(kept, rk) AS kept FROM walk GROUP BY 1), pk AS
 SELECT c.query_id, c.id, round(c.score, 6) AS score, pk.seat AS rk FROM pk JOIN c ON c.query_id = pk.query_id AND c.rk = pk.at_""",
         "skill_markdown": f"""SELECT id, '---' || chr(10) || 'name: experience-' || left(sha256(id), 32) || chr(10) || 'description: "' || regexp_replace(coalesce(description, ''), '(["\\\\])', '\\\\\\1', 'g') || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(description, '') || chr(10) || chr(10) || 'Status: ' || status || '; version: ' || version || '; kind: ' || kind || '.' || chr(10) || chr(10) || 'Scope: ' || scope || chr(10) || {section('Applicability', 'applicability')} || {section('Required tools', 'required_tools')} || {section('Procedure', 'procedure_steps')} || {section('Cautions', 'cautions')} || {section('Verification', 'verification')} || {section('Source episodes', 'episode_ids')} AS markdown FROM {sk}""",
         "step_sampling": f"SELECT id, len(steps) AS steps, array_to_string(CASE WHEN len(steps) <= 3 THEN range(0, len(steps)) ELSE [0, (len(steps) - 1) // 2, len(steps) - 1] END, ',') AS picks FROM {ep} WHERE steps IS NOT NULL",
-        "overlapping_episodes": f"SELECT id, session_id, busy_until FROM (SELECT *, max(completed_at) OVER (PARTITION BY session_id ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {ep} WHERE session_id IS NOT NULL AND started_at IS NOT NULL) WHERE busy_until > started_at",
+        "overlapping_episodes": f"SELECT id, scope, busy_until FROM (SELECT *, max(completed_at + 259200000) OVER (PARTITION BY scope ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {ep} WHERE scope IS NOT NULL AND started_at IS NOT NULL) WHERE busy_until > started_at",
+        "node_revisions": "WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, version ORDER BY stored_at) AS k FROM memory_nodes WHERE op = 'put') WHERE k = 1), l AS (SELECT id, version, lag(version) OVER w AS previous, "
+        + ", ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w AS d_{c}" for c in WATCHED)
+        + " FROM o WINDOW w AS (PARTITION BY id ORDER BY version)) SELECT id, version, previous, CASE WHEN previous IS NULL THEN '' ELSE concat_ws(',', "
+        + ", ".join(f"CASE WHEN d_{c} THEN '{c}' END" for c in WATCHED)
+        + ") END AS changed FROM l",
         "case_fingerprints": f"SELECT sha256(concat_ws('|', coalesce(source, '~'), coalesce(question, '~'), coalesce(reference, '~'), array_to_string(list_sort(evidence_session_ids), ','))) AS fingerprint, count(*) AS cases, min(id) AS first_id FROM {case} GROUP BY 1",
         "shared_sessions": f"WITH s AS MATERIALIZED (SELECT DISTINCT dataset_fingerprint AS name, unnest(evidence_session_ids) AS member FROM {case}), b AS (SELECT DISTINCT training_dataset_fingerprint AS training, held_out_dataset_fingerprint AS held_out FROM experience_banks WHERE held_out_dataset_fingerprint IS NOT NULL) SELECT training, held_out, count(*) AS shared FROM b JOIN s x ON x.name = training JOIN s y ON y.name = held_out AND y.member = x.member WHERE x.member IS NOT NULL GROUP BY 1, 2",
         "banks_as_of": "WITH c AS (SELECT DISTINCT frozen_at AS cutoff FROM experience_banks WHERE frozen_at IS NOT NULL), v AS (SELECT c.cutoff, n.*, row_number() OVER (PARTITION BY cutoff, id ORDER BY version DESC, ord) AS k FROM c JOIN memory_nodes n ON n.stored_at <= c.cutoff) SELECT epoch_ms(cutoff) AS cutoff_ms, node_type, count(*) AS nodes FROM v WHERE k = 1 AND op = 'put' GROUP BY ALL",
-        "retrieval_metrics": f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_cosine_similarity(q.v, v.v), 9) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT query_id, item, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rk FROM s WHERE s > 0) WHERE rk <= 10), g AS (SELECT q.vec_id AS query_id, x.vec_id AS item FROM v q JOIN v x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
-m AS (SELECT g.query_id, count(*) AS gold, coalesce(max(1.0 / rk), 0) AS rr, {cut} FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.item = g.item GROUP BY 1) SELECT query_id, gold, round(CAST(rr AS DOUBLE), 6) AS rr, {out} FROM m""",
+        "retrieval_metrics": metrics,
+        "retrieval_summary": f"WITH q_ AS ({metrics}) SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN rr = 0 THEN 1.0 ELSE 0.0 END), 6) AS unattributed, " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (1, 5, 10) for m in ("recall", "hit", "ndcg")) + " FROM q_",
         "session_metrics": f"WITH {docs}, {bm25_sql('asked', 'docs')}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc), k AS (SELECT query_id, d.scope, min(rk) AS best FROM t JOIN documents d USING (doc_id) GROUP BY ALL) SELECT query_id, scope, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rk FROM k) WHERE rk <= 10",
         "metric_summary": "SELECT grouping(rater) AS overall, rater, count(*) AS n, count(reading_level) AS completed, round(avg(reading_level), 6) AS mean, round(sum(coalesce(reading_level, 0)) / count(*), 6) AS mean_with_failures, CAST(quantile_disc(reading_level, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(reading_level, 0.95) AS DOUBLE) AS p95 FROM level_labels GROUP BY GROUPING SETS ((), (rater))",
         "pass_rate_groups": "WITH c AS (SELECT DISTINCT id, coalesce(source, '?') AS source, coalesce(case_group, '?') AS case_group, abstention FROM evaluation_cases) SELECT source, case_group, count(*) AS cases, count(*) FILTER (NOT abstention) AS answerable FROM c GROUP BY GROUPING SETS ((), (source), (case_group))",

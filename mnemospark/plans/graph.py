@@ -54,8 +54,10 @@ def family_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def successor_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Where supersession leads: the last node of each superseded_by chain."""
-    return G.chain_roots(nodes(spark, d).select("id", "superseded_by"), "superseded_by").where("depth > 0")
+    """Where supersession leads: the last node of each chain of 'supersedes' edges; none for nodes on a cycle."""
+    by = _edges(spark, d).where("relation = 'supersedes' AND src IS NOT NULL").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("successor"))
+    chains = G.chain_roots(nodes(spark, d).select("id").join(by, "id", "left"), "successor")
+    return chains.where("depth > 0 OR root IS NULL")
 
 
 def episode_ancestors(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,7 @@ l AS MATERIALIZED (SELECT 'record' AS k1, rid AS a, 'node' AS k2, id AS b FROM c
   UNION SELECT 'edge', id, 'record', rid FROM ce WHERE ledger UNION SELECT 'node', nid, 'edge', id FROM ends WHERE scope = ns OR scope = 'user'),
 w AS (SELECT 'record' AS kind, id FROM r WHERE ord % 100 = 0 UNION SELECT k2, b FROM w JOIN l ON l.k1 = w.kind AND l.a = w.id) SELECT DISTINCT kind, id FROM w""",
         "family_roots": _roots_sql(ep, "derived_from"),
-        "successor_chains": f"SELECT * FROM ({_roots_sql(n, 'superseded_by')}) WHERE depth > 0",
+        "successor_chains": f"SELECT * FROM ({_roots_sql(f'(SELECT id, successor FROM {n} LEFT JOIN (SELECT dst, min(src) AS successor FROM {e} WHERE relation = ' + chr(39) + 'supersedes' + chr(39) + ' AND src IS NOT NULL GROUP BY dst) ON dst = id)', 'successor')}) WHERE depth > 0 OR root IS NULL",
         "episode_ancestors": f"WITH RECURSIVE r AS MATERIALIZED (SELECT id, derived_from AS p FROM {ep}), l AS MATERIALIZED (SELECT r.id, x.id AS p FROM r JOIN r x ON r.p = x.id), w AS (SELECT id, p AS ancestor, 1 AS distance FROM l UNION ALL SELECT w.id, l.p, w.distance + 1 FROM w JOIN l ON l.id = w.ancestor WHERE distance < 4 AND l.p <> w.id) SELECT * FROM w",
         "companions": f"""WITH p AS MATERIALIZED (SELECT id, ord, record_use, text, terms, provenance.session_id AS s, provenance.turn AS t FROM {r} WHERE provenance.session_id IS NOT NULL AND provenance.turn IS NOT NULL),
 f AS MATERIALIZED (SELECT s, t, id, coalesce(record_use = 'evidence', false) AS ev, coalesce(rtrim(text, ' ') LIKE '%?', false) AS asks, len(terms) AS n, coalesce({S.correction('text')}, false) AS cor FROM (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY ord DESC) AS k FROM p) WHERE k = 1)

@@ -40,7 +40,9 @@ class VersionedTable:
         return df if scopes is None else df.where(F.col("scope").isin(list(dict.fromkeys(scopes))))
 
     def put(self, rows: DataFrame) -> None:
-        """Appends rows as the next version of their id (1 for new ones); ids must be unique within a call."""
+        """Appends rows as the next version of their id within the scope (1 for new ones); ids must be unique within a call. Only
+        the folders of the rows' scopes are read, and a scope's rows are written by one task, or several where they are many.
+        """
         missing = {"id", "scope"} - set(rows.columns)
         if missing:
             raise StoreError("invalid-input", f"missing columns {sorted(missing)}")
@@ -48,11 +50,12 @@ class VersionedTable:
         if not fresh.groupBy("id").count().where("count > 1").isEmpty():
             raise StoreError("identity-conflict", "an id occurs twice in one put")
         if self.exists():
-            top = self.rows().groupBy("id").agg(F.max("version").alias("top"))
+            scopes = [r[0] for r in fresh.select("scope").distinct().collect()]  # names of folders
+            top = self.rows(scopes).groupBy("id").agg(F.max("version").alias("top"))
             fresh = checkpointed(fresh.join(top, "id", "left").withColumn("version", F.coalesce(F.col("top"), F.lit(0)) + 1).drop("top"))
         else:
             fresh = fresh.withColumn("version", F.lit(1))
-        fresh.withColumn("op", F.lit("put")).write.mode("append").partitionBy("scope").parquet(self.path)
+        fresh.withColumn("op", F.lit("put")).hint("rebalance", "scope").write.mode("append").partitionBy("scope").parquet(self.path)
 
     def current(self, scopes: list[str] | None = None) -> DataFrame:
         """The highest version of each id."""
@@ -78,20 +81,46 @@ class VersionedTable:
             folder = f"scope={names.escapePathName(row['scope'])}"
             target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
             staged = jvm.org.apache.hadoop.fs.Path(f"{staging}/{folder}")
-            fs.delete(target, True)
-            if fs.exists(staged):
-                fs.rename(staged, target)
+            self._swap(fs, staged, target)
         fs.delete(stage, True)
         self.spark.catalog.refreshByPath(self.path)
         return n
 
+    def _swap(self, fs, staged, target) -> None:
+        """Puts the staged folder in the target's place; the old one is only moved aside until the new one stands, so a crash
+        loses nothing: ``recover`` moves it back.
+        """
+        aside = self.spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.old")
+        fs.delete(aside, True)
+        if fs.exists(target):
+            fs.rename(target, aside)
+        if fs.exists(staged):
+            fs.rename(staged, target)
+        fs.delete(aside, True)
+
+    def recover(self) -> int:
+        """Moves folders that a crash left aside back where nothing took their place; returns their number."""
+        fs, p = self._fs(self.path)
+        n = 0
+        for parent in (p.getParent(), p):
+            for status in fs.listStatus(parent) if fs.exists(parent) else []:
+                name = status.getPath().getName()
+                if name.startswith("_") and name.endswith(".old") and (parent.equals(p) or name == f"_{p.getName()}.old"):
+                    target = self.spark._jvm.org.apache.hadoop.fs.Path(parent, name[1:-4])
+                    if fs.exists(target):
+                        fs.delete(status.getPath(), True)
+                    else:
+                        fs.rename(status.getPath(), target)
+                        n += 1
+        self.spark.catalog.refreshByPath(self.path)
+        return n
+
     def compact(self) -> None:
         """Rewrites every scope with the current versions only."""
         kept = checkpointed(self.current())
         kept.repartition("scope").write.mode("overwrite").partitionBy("scope").parquet(f"{self.path}.staging")
         fs, p = self._fs(self.path)
-        fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.staging"), p)
+        self._swap(fs, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.staging"), p)
         self.spark.catalog.refreshByPath(self.path)
 
 
