@@ -134,6 +134,52 @@ def bm25_reach(queries: DataFrame, reach: DataFrame | None, documents: DataFrame
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {q_kind}, doc_id {d_kind}, score double")
 
 
+def hashed_vectors(documents: DataFrame, dimensions: int = 512) -> DataFrame:
+    """doc_id, bucket, value: sparse vectors of hashed terms, each (1 + ln tf) signed by the hash's top bit, L2-normalised;
+    cells that cancel out are left out, and so are documents without terms.
+
+    documents: doc_id, terms. A vector needs its own document only, so nothing is shuffled; a worker hashes a term once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(frames):
+        known: dict[str, int] = {}
+        for frame in frames:
+            ids, buckets, values = [], [], []
+            for doc, terms in zip(frame["doc_id"], frame["terms"]):
+                if terms is None or not len(terms):
+                    continue
+                if len(known) > 1_000_000:
+                    known.clear()
+                words, tf = np.unique(np.asarray(terms, object), return_counts=True)
+                for w in words:
+                    if w not in known:
+                        known[w] = fnv1a_of(w)
+                h = np.array([known[w] for w in words], np.int64)
+                x = np.zeros(dimensions)
+                np.add.at(x, h % dimensions, np.where(h >> 31 == 1, -1.0, 1.0) * (1 + np.log(tf)))
+                cells = np.flatnonzero(np.abs(x) > 1e-9)
+                norm = np.sqrt((x * x).sum())
+                ids += [doc] * len(cells)
+                buckets.append(cells)
+                values.append(x[cells] / norm)
+            yield pd.DataFrame({"doc_id": ids, "bucket": np.concatenate([np.array([], np.int64), *buckets]), "value": np.concatenate([np.array([]), *values])})
+
+    return documents.select("doc_id", "terms").mapInPandas(run, f"doc_id {kind}, bucket bigint, value double")
+
+
+def fnv1a_of(term: str) -> int:
+    """32-bit FNV-1a over the UTF-16 code units of a term."""
+    data = term.encode("utf-16-le", "surrogatepass")
+    h = 2166136261
+    for i in range(0, len(data), 2):
+        h = ((h ^ (data[i] | data[i + 1] << 8)) * 16777619) & 0xFFFFFFFF
+    return h
+
+
 def ranked(scored: DataFrame, by: list[str], order: list[Column], name: str = "rk") -> DataFrame:
     """Adds the 1-based rank of each row within ``by``."""
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

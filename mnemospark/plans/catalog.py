@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import belief, experience, graph, orphans, rendering, text
+from mnemospark.plans import belief, experience, graph, orphans, rendering, tables, text
 
-_MODULES = [text, belief, graph, experience, rendering, orphans]
+_MODULES = [text, belief, graph, experience, rendering, orphans, tables]
 
 
 def queries() -> dict:

@@ -66,12 +66,7 @@ def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Hashed-term vectors of 512 dimensions, sparse: bucket and L2-normalised value."""
-    tf = _docs(spark, d).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    h = tf.withColumn("h", X.fnv1a("term"))
-    sign = F.when(F.shiftright("h", 31) == 1, -1.0).otherwise(1.0)
-    cells = h.groupBy("doc_id", (F.col("h") % 512).alias("bucket")).agg(F.sum(sign * (1 + F.log("tf"))).alias("x"))
-    norms = cells.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return cells.join(norms, "doc_id").where("abs(x) > 1e-9").select("doc_id", "bucket", F.round(F.col("x") / F.col("norm"), 6).alias("value"))
+    return R.hashed_vectors(_docs(spark, d)).select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
 
 def tool_digests(spark: SparkSession, d: str) -> DataFrame:

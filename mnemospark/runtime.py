@@ -29,18 +29,25 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the reliable checkpoint folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and written tables: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset on a local master (tests, one
-    machine) a temporary one is made. A cluster without the setting is an error: its machines share no temporary folder.
+    Only where that is unset on a local master (tests, one machine) a temporary one is made. A cluster without the setting
+    is an error: its machines share no temporary folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemospark-checkpoint-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the reliable checkpoint folder all executors share (see ``shared_folder``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
