@@ -382,7 +382,7 @@ SELECT c.query_id, c.id, round(c.score, 6) AS score, pk.seat AS rk FROM pk JOIN
         "shared_sessions": f"WITH s AS MATERIALIZED (SELECT DISTINCT dataset_fingerprint AS name, unnest(evidence_session_ids) AS member FROM {case}), b AS (SELECT DISTINCT training_dataset_fingerprint AS training, held_out_dataset_fingerprint AS held_out FROM experience_banks WHERE held_out_dataset_fingerprint IS NOT NULL) SELECT training, held_out, count(*) AS shared FROM b JOIN s x ON x.name = training JOIN s y ON y.name = held_out AND y.member = x.member WHERE x.member IS NOT NULL GROUP BY 1, 2",
         "banks_as_of": "WITH c AS (SELECT DISTINCT frozen_at AS cutoff FROM experience_banks WHERE frozen_at IS NOT NULL), v AS (SELECT c.cutoff, n.*, row_number() OVER (PARTITION BY cutoff, id ORDER BY version DESC, ord) AS k FROM c JOIN memory_nodes n ON n.stored_at <= c.cutoff) SELECT epoch_ms(cutoff) AS cutoff_ms, node_type, count(*) AS nodes FROM v WHERE k = 1 AND op = 'put' GROUP BY ALL",
         "retrieval_metrics": metrics,
-        "retrieval_summary": f"WITH q_ AS ({metrics}) SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN rr = 0 THEN 1.0 ELSE 0.0 END), 6) AS unattributed, " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (1, 5, 10) for m in ("recall", "hit", "ndcg")) + " FROM q_",
+        "retrieval_summary": f"WITH q_ AS ({metrics.replace(', 6)', ', 15)')}) SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN rr = 0 THEN 1.0 ELSE 0.0 END), 6) AS unattributed, " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (1, 5, 10) for m in ("recall", "hit", "ndcg")) + " FROM q_",
         "session_metrics": f"WITH {docs}, {bm25_sql('asked', 'docs')}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM sc), k AS (SELECT query_id, d.scope, min(rk) AS best FROM t JOIN documents d USING (doc_id) GROUP BY ALL) SELECT query_id, scope, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rk FROM k) WHERE rk <= 10",
         "metric_summary": "SELECT grouping(rater) AS overall, rater, count(*) AS n, count(reading_level) AS completed, round(avg(reading_level), 6) AS mean, round(sum(coalesce(reading_level, 0)) / count(*), 6) AS mean_with_failures, CAST(quantile_disc(reading_level, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(reading_level, 0.95) AS DOUBLE) AS p95 FROM level_labels GROUP BY GROUPING SETS ((), (rater))",
         "pass_rate_groups": "WITH c AS (SELECT DISTINCT id, coalesce(source, '?') AS source, coalesce(case_group, '?') AS case_group, abstention FROM evaluation_cases) SELECT source, case_group, count(*) AS cases, count(*) FILTER (NOT abstention) AS answerable FROM c GROUP BY GROUPING SETS ((), (source), (case_group))",
