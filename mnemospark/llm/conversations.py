@@ -68,7 +68,11 @@ def session_states(messages: DataFrame) -> DataFrame:
 
 
 def reply_parents(speakers: Sequence[int]) -> list[int]:
-    """For each message of a stretch in time order: the latest earlier message of the other speaker, -1 if none."""
+    """For each message of a stretch in time order: the latest earlier message of the other speaker, -1 if none.
+
+    Rows without reply ids have no other graph; parents drawn from the order can't form a cycle, so Kahn's leftover is empty
+    for them and the order is that of time, speaker and id.
+    """
     last, parents = [-1, -1], []
     for i, s in enumerate(speakers):
         parents.append(last[1 - s])
