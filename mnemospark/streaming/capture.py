@@ -19,11 +19,11 @@ def observations(events: DataFrame, max_text: int = 4000, digest: int = 120) ->
     """Records from session events, the same for a batch and a stream.
 
     events: session_id, seq, type, source_kind, content ARRAY<STRUCT<type, text, uri>>, tool, arguments (JSON), at. Other
-    types, text injected by a harness and blank messages are dropped; a clipped text is a summary.
+    types, text injected by a harness, user text without a source and blank messages are dropped; a clipped text is a summary.
     """
     message = F.col("type").endswith("/message")
     kind = F.create_map(*[F.lit(x) for kv in OBSERVED.items() for x in kv])[F.col("type")]
-    own = F.when(F.col("source_kind") == "skill-invocation", F.lit("skill-invocation")).when(F.coalesce("source_kind", F.lit("user")) == "user", kind)
+    own = F.when(F.col("source_kind") == "skill-invocation", F.lit("skill-invocation")).when(F.col("source_kind") == "user", kind)
     full = F.when(message, visible_text("content")).otherwise(F.concat_ws(" ", "tool", tool_digest("arguments", digest)))
     named = events.where(F.col("type").isin(*OBSERVED)).withColumn("kind", F.when(F.col("type") == "user/message", own).otherwise(kind)).withColumn("full", full)
     kept = named.where("kind IS NOT NULL AND full <> ''")
