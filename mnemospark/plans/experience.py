@@ -197,8 +197,7 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Document hits of each query kept once per scope and ranked again."""
-    scope = table(spark, d, "documents").select("doc_id", "scope")
-    hits = R.bm25(*asked_and_documents(spark, d)).join(scope, "doc_id")
+    hits = R.bm25(*asked_and_documents(spark, d, "scope"), best=10, group="scope")
     best = hits.groupBy("query_id", "scope").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("doc_id")).alias("d"))).alias("b"))
     return R.ranked(best, ["query_id"], [F.col("b.s").desc(), F.col("b.d").desc()]).where("rk <= 10").select("query_id", "scope", "rk")
 

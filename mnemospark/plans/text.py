@@ -9,7 +9,7 @@ from mnemospark.functions import text as X
 from mnemospark.operators import ranking as R
 from mnemospark.operators.views import first_arrivals
 from mnemospark.plans import sqltext as S
-from mnemospark.runtime import checkpointed, table
+from mnemospark.runtime import checkpointed, stored, table
 
 #: A literal multilingual request, for the queries with one cue.
 CUE = "compare the shared archive with Dienstag sessions 快照 and historial"
@@ -24,10 +24,11 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
 
 
-def asked_and_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The query set and all documents with their terms, extracted once: matches and statistics read them several times."""
-    docs = checkpointed(_docs(spark, d))
-    return docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), docs
+def asked_and_documents(spark: SparkSession, d: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The query set and all documents with their terms, extracted once: matches and statistics read them several times.
+    columns: others of the documents to keep."""
+    docs = stored(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *columns, X.tokenize("text").alias("terms")))
+    return docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "terms"), docs
 
 
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,39 @@ def test_belief_arithmetic(spark):
         N.clamped(F.lit(7.0)).alias("high"),
     ).first()
     assert row.asDict() == {"half": pytest.approx(0.4), "never": 0.8, "later": 0.8, "up": pytest.approx(0.55), "up2": pytest.approx(0.6625), "down": 0.2, "nan": 0.0, "high": 1.0}
+
+
+def scored(rows, seed=1, n=200):
+    """Documents (some alike, some of no words), requests and BM25 of all pairs."""
+    rng = random.Random(seed)
+    texts = [[rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))] for _ in range(n)]
+    docs = rows("doc_id bigint, scope string, at bigint, terms array<string>", *[(i, rng.choice(["x", "y", "z", "w", None]), rng.choice([None, rng.randint(0, 9)]), t + [None] * (i % 9 == 0)) for i, t in enumerate(texts)])
+    asked = docs.where("doc_id % 20 = 1").select(F.col("doc_id").alias("query_id"), "terms")
+    return asked, docs, [(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in R.bm25(asked, docs).collect()]
+
+
+def test_bm25_best_groups_are_those_of_all_matches(rows):
+    asked, docs, pairs = scored(rows)
+    scope = {r["doc_id"]: r["scope"] for r in docs.collect()}
+    first = {}
+    for q, d, s in sorted(pairs, key=lambda x: (x[0], -x[2], x[1])):
+        first.setdefault((q, scope[d]), (-s, d))
+    want = {q: sorted((*v, g) for (p, g), v in first.items() if p == q)[:3] for q, _ in first}
+    got = {}
+    for r in R.bm25(asked, docs, best=3, group="scope").collect():
+        got.setdefault((r["query_id"], r["scope"]), []).append((-round(r["score"], 9), r["doc_id"]))
+    assert want and {q: sorted((*min(v), g) for (p, g), v in got.items() if p == q)[:3] for q in want} == want
+
+
+@pytest.mark.parametrize("weight, k", [(0.25, 10), (0.5, 3), (2.0, 3)])
+def test_fusion_with_recency_is_that_of_whole_rankings(rows, weight, k):
+    asked, docs, pairs = scored(rows)
+    at = {r["doc_id"]: r["at"] for r in docs.collect()}
+    want = set()
+    for q in {p[0] for p in pairs}:
+        lexical = [d for _, d, _ in sorted((p for p in pairs if p[0] == q), key=lambda p: (-p[2], p[1]))]
+        recent = sorted(lexical, key=lambda d: (at[d] is None, -(at[d] or 0), d))
+        fused = sorted((-round(1 / (61 + i) + weight / (61 + recent.index(d)), 9), i, d) for i, d in enumerate(lexical))[:k]
+        want |= {(q, d, n + 1) for n, (_, _, d) in enumerate(fused)}
+    got = R.fused_with_recency(asked, docs, "at", weight, k)
+    assert {(r["query_id"], r["doc_id"], r["rk"]) for r in got.collect()} == want
