@@ -134,13 +134,7 @@ def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and recency rankings of all matches fused per query, best ten."""
-    docs = table(spark, d, "documents").select("doc_id", "created_at")
-    lexical = R.ranked(R.bm25(*asked_and_documents(spark, d)).join(docs, "doc_id"), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")])
-    both = R.ranked(lexical, ["query_id"], [F.col("created_at").desc_nulls_last(), F.col("doc_id")], "recent")
-    seat = lambda no, rk, weight: F.struct(F.lit(no).alias("list_no"), F.col(rk).alias("rk"), F.lit(weight).alias("weight"))
-    lists = both.select("query_id", "doc_id", F.inline(F.array(seat(0, "rk", 1.0), seat(1, "recent", 0.25))))
-    fused = R.reciprocal_rank_fusion(lists, ["query_id"], "doc_id")
-    best = R.ranked(fused, ["query_id"], [F.round("score", 9).desc(), F.col("first_seen")]).where("rk <= 10")
+    best = R.fused_with_recency(*asked_and_documents(spark, d, "created_at"), "created_at", 0.25, 10)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rk")
 
 
