@@ -52,50 +52,58 @@ def bm25_reach(queries: DataFrame, reach: DataFrame | None, documents: DataFrame
     Requests are packed into blocks and documents into shares by hash; a block meets a share as two inverted lists in one
     vectorised pass, so a frequent term is no hot key and no row per request, term and document is ever shuffled.
     """
-    return Meeting(queries, reach, documents, best is not None).found(best, group)
+    return Meeting(queries, reach, documents).found(best, group)
 
 
 class Meeting:
-    """Requests weighed against the statistics of documents, to be held against them in blocks and shares.
-
-    few: few rows of each share come out, so blocks and shares may be large. ``requests`` has query_id, terms, weights, avgdl.
+    """Requests weighed against the statistics of documents, to be held against them in blocks and shares. ``requests`` has
+    query_id, terms, weights, avgdl; ``n`` is the number of documents where all requests ask all.
     """
 
-    def __init__(self, queries: DataFrame, reach: DataFrame | None, documents: DataFrame, few: bool = True):
+    def __init__(self, queries: DataFrame, reach: DataFrame | None, documents: DataFrame):
         self.documents, self.q_kind, self.d_kind = documents, *(x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (documents, "doc_id")))
-        share_of, block_of = (FEW_SHARE, FEW_BLOCK) if few else (SHARE, BLOCK)
         entries = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
         counts = (F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("terms"), F.lit(0))).alias("dl"), F.count("terms").alias("sized"))
-        shares, blocks = F.ceil(F.col("n") / share_of).cast("int").alias("shares"), lambda c: F.ceil(c / block_of).cast("int").alias("blocks")
+        cuts = lambda few: (FEW_SHARE, FEW_BLOCK) if few else (SHARE, BLOCK)
         if reach is None:
             # one part: its statistics are one row, its cuts are numbers
             n, dl, sized = documents.agg(*counts).first()
             self.n, union = n, {"n": F.lit(n), "avgdl": F.lit((dl or 0) / max(sized, 1))}
             df = documents.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             weighed = entries.join(df, "term").withColumns(union)
-            sizes = {"__part": F.lit(""), "shares": F.lit(max(-(-n // share_of), min(busy_partitions(documents.sparkSession), -(-n // 256)), 1)), "blocks": F.lit(max(-(-queries.count() // block_of), 1))}
-            self.sized_by = lambda rows: rows.withColumns(sizes)
+            m, busy = queries.count(), min(busy_partitions(documents.sparkSession), -(-n // 256))
+
+            def sized_by(rows: DataFrame, few: bool) -> DataFrame:
+                share, block = cuts(few)
+                return rows.withColumns({"__part": F.lit(""), "shares": F.lit(max(-(-n // share), busy, 1)), "blocks": F.lit(max(-(-m // block), 1))})
         else:
             reach = reach.select("query_id", "__part").distinct()
             asking = reach.groupBy("__part").agg(F.count(F.lit(1)).alias("m"))
-            parts = documents.groupBy("__part").agg(*counts).join(asking, "__part").select("__part", "n", "dl", "sized", shares, blocks(F.col("m")))
+            parts = documents.groupBy("__part").agg(*counts).join(asking, "__part")
             union = reach.join(parts, "__part").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("sized")).alias("avgdl"))
             df = documents.select("__part", F.explode(F.array_distinct("terms")).alias("term")).groupBy("__part", "term").agg(F.count(F.lit(1)).alias("df"))
             df = entries.join(reach, "query_id").join(df, ["__part", "term"]).groupBy("query_id", "term", "qf").agg(F.sum("df").alias("df"))
             weighed = df.join(union, "query_id")
-            self.sized_by = lambda rows: rows.join(parts.select("__part", "shares", "blocks"), "__part")
+
+            def sized_by(rows: DataFrame, few: bool) -> DataFrame:
+                share, block = cuts(few)
+                return rows.join(parts.select("__part", F.ceil(F.col("n") / share).cast("int").alias("shares"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "__part")
+
+        self.sized_by = sized_by
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         packed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qf") * idf).alias("w")))).alias("e"), F.first("avgdl").alias("avgdl"))
         packed = packed.select("query_id", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"), "avgdl")
         self.requests = packed if reach is None else packed.join(reach, "query_id")
 
-    def held(self, requests: DataFrame, with_request: list[str], with_document: list[str], run, schema: str) -> DataFrame:
-        """run(documents, requests) of every share and block, as Arrow tables; ``Lists`` has the documents' terms."""
+    def held(self, requests: DataFrame, with_request: list[str], with_document: list[str], run, schema: str, few: bool = True) -> DataFrame:
+        """run(documents, requests) of every share and block, as Arrow tables; ``Lists`` has the documents' terms. few: few rows
+        of each come out, so blocks and shares may be large.
+        """
         pick = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         keys = ["__part", "share", "block"]
-        right = self.sized_by(requests).withColumn("block", pick("query_id", F.col("blocks"))).withColumn("share", every(F.col("shares"))).select(*keys, "query_id", "terms", "weights", "avgdl", *with_request)
-        left = self.sized_by(self.documents).withColumn("share", pick("doc_id", F.col("shares"))).withColumn("block", every(F.col("blocks"))).select(*keys, "doc_id", F.array_join("terms", "").alias("text"), F.transform("terms", F.octet_length).alias("lengths"), *with_document)
+        right = self.sized_by(requests, few).withColumn("block", pick("query_id", F.col("blocks"))).withColumn("share", every(F.col("shares"))).select(*keys, "query_id", "terms", "weights", "avgdl", *with_request)
+        left = self.sized_by(self.documents, few).withColumn("share", pick("doc_id", F.col("shares"))).withColumn("block", every(F.col("blocks"))).select(*keys, "doc_id", F.array_join("terms", "").alias("text"), F.transform("terms", F.octet_length).alias("lengths"), *with_document)
         # a text and lengths take a third of the bytes of a list of strings
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
@@ -181,7 +189,7 @@ class Meeting:
 
         more = f", `{group}` {self.documents.schema[group].dataType.simpleString()}" if group else ""
         requests = self.requests if requests is None else requests
-        return self.held(requests, [] if threshold is None else ["kept"], [group] if group else [], run, f"query_id {self.q_kind}, doc_id {self.d_kind}, score double{more}")
+        return self.held(requests, [] if threshold is None else ["kept"], [group] if group else [], run, f"query_id {self.q_kind}, doc_id {self.d_kind}, score double{more}", best is not None and best <= 256)
 
 
     def newer(self, found: DataFrame, when: str) -> DataFrame:
@@ -221,6 +229,47 @@ class Meeting:
         return found.join(counts, ["query_id", "doc_id"], "left").withColumn("newer", F.coalesce("newer", F.lit(0)))
 
 
+    def better(self, found: DataFrame) -> DataFrame:
+        """Adds ``better``, the number of the request's matches, found or not, that come before by score to 9 decimals, then
+        doc_id. found: query_id, doc_id, score, few of each request. No match is shuffled.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        q_type, d_type = (to_arrow_type(T.DataType.fromDDL(k)) for k in (self.q_kind, self.d_kind))
+
+        def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+            q_ids, some = asked["query_id"].combine_chunks().cast(q_type), asked["some"].combine_chunks()
+            each = pc.list_value_length(some).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(asked)), each)
+            ids, marks = some.flatten().field("doc_id").cast(d_type), np.round(some.flatten().field("score").to_numpy(zero_copy_only=False), 9)
+            n_d, count = len(docs), np.zeros(len(owner), np.int64)
+            if n_d and len(owner):
+                lines = pa.table({"id": pa.chunked_array([docs["doc_id"].combine_chunks().cast(d_type), ids]), "doc": pa.array(np.arange(n_d + len(owner)) < n_d)})
+                line = pc.sort_indices(lines, sort_keys=[("id", "ascending"), ("doc", "ascending")]).to_numpy()
+                seat = np.empty(len(line), np.int64)
+                seat[line] = np.cumsum(line < n_d)
+                seat = seat[n_d:]
+                scores = Lists(docs, line[line < n_d]).against(asked["terms"], asked["weights"], asked["avgdl"].to_numpy())
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+                step = max(1, CELLS // len(asked))
+                for lo in range(0, n_d, step):
+                    hi = min(n_d, lo + step)
+                    total = scores(lo, hi)
+                    total = np.where(total > 0, np.round(total, 9), -1.0)
+                    for k in range(int(nth.max()) + 1):
+                        x = np.flatnonzero(nth == k)
+                        own, mark = total[owner[x]], marks[x, None]
+                        count[x] += np.count_nonzero((own > mark) | ((own == mark) & (np.arange(lo, hi) < seat[x, None])), axis=1)
+            some = np.flatnonzero(count)
+            return pa.table({"query_id": q_ids.take(pa.array(owner[some])), "doc_id": ids.take(pa.array(some)), "n": pa.array(count[some])})
+
+        asked = self.requests.join(found.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "score")).alias("some")), "query_id")
+        counts = self.held(asked, ["some"], [], run, f"query_id {self.q_kind}, doc_id {self.d_kind}, n bigint").groupBy("query_id", "doc_id").agg(F.sum("n").alias("better"))
+        return found.join(counts, ["query_id", "doc_id"], "left").withColumn("better", F.coalesce("better", F.lit(0)))
+
+
 class Lists:
     """The terms of a share's documents in a given order, to be held against lists of terms (in the worker)."""
 
@@ -417,7 +466,7 @@ def fused_with_recency(queries: DataFrame, documents: DataFrame, when: str, weig
     c = POLICY["rrf_k"]
     least = 1 / (c + k) - weight / (c + 1) - 2 * NEAR
     most = int(1 / least - c) + 1 if least > 0 else None
-    met = Meeting(queries, None, documents, most is not None)
+    met = Meeting(queries, None, documents)
     met.requests = checkpointed(met.requests)
     lexical = ranked(met.found(most), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")])
     lexical = lexical if most is None else lexical.where(F.col("rk") <= most)
@@ -457,3 +506,41 @@ def diversify(cues: DataFrame, by: list[str], limit: int, threshold: float = POL
     rows = cues.select(*by, "id", F.col("rk").cast("int").alias("rk"), *([own] if terms is None else []))
     walked = folded_in_blocks(rows, by, "rk", F.struct("rk", "id", "terms"), F.array().cast(kind), step, F.size("state") < limit, attach=attach)
     return walked.select(*by, F.posexplode("state").alias("pos", "x")).select(*by, "x.id", "x.rk", (F.col("pos") + 1).alias("pick"))
+
+
+def diverse_matches(queries: DataFrame, documents: DataFrame, limit: int, threshold: float, some: int = 32) -> DataFrame:
+    """query_id, doc_id, rk, pick: of each request's matches, by BM25, the first ``limit`` that don't restate one another.
+
+    ``diversify`` of all matches, with the same result, but only a few of them leave their share. Each round takes the best
+    ``some`` that aren't as similar as ``threshold`` to one already kept; the first of these is kept for certain, so there
+    are at most ``limit`` rounds. rk, the rank among all matches, is counted at the end.
+    """
+    met = Meeting(queries, None, documents)
+    met.requests = checkpointed(met.requests)
+    if threshold >= 1:
+        return top(met.found(limit), ["query_id"], limit, "doc_id").select("query_id", "doc_id", "rk", F.col("rk").alias("pick"))
+    texts = documents.select("doc_id", F.array_distinct("terms").alias("terms"))
+    item = F.struct("nth", "score", "doc_id", "terms")
+
+    def step(kept: Column, x: Column) -> Column:
+        close = F.exists(kept, lambda y: similarity(y["terms"], x["terms"], True) >= threshold)
+        return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
+
+    empty = F.array().cast(f"array<struct<nth:int,score:double,doc_id:{met.d_kind},terms:array<string>>>")
+    requests, ended = met.requests.withColumn("state", empty), []
+    while True:
+        asked = requests.withColumn("kept", F.col("state.terms"))
+        found = ranked(met.found(some, requests=asked, threshold=threshold), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "nth").where(F.col("nth") <= some)
+        lists = found.join(texts, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        walked = requests.join(lists, "query_id", "left").withColumn("items", F.coalesce("items", empty))  # none: nothing is left
+        walked = walked.withColumn("state", F.aggregate("items", F.col("state"), step))
+        walked = checkpointed(walked.withColumn("more", (F.size("items") >= some) & (F.size("state") < limit)).drop("items"))
+        ended.append(walked.where("NOT more").select("query_id", "state"))
+        requests = walked.where("more").drop("more")
+        if requests.isEmpty():
+            break
+    state = ended[0]
+    for part in ended[1:]:
+        state = state.unionByName(part)
+    picks = checkpointed(state.select("query_id", F.posexplode("state").alias("at", "x")).select("query_id", "x.doc_id", "x.score", (F.col("at") + 1).alias("pick")))
+    return met.better(picks).select("query_id", "doc_id", (F.col("better") + 1).cast("int").alias("rk"), "pick")

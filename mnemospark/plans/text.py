@@ -152,8 +152,7 @@ def interleave_parts(spark: SparkSession, d: str) -> DataFrame:
 def diversify_topk(spark: SparkSession, d: str) -> DataFrame:
     """All matches of each query by rank, of which the first 8 that don't restate one another are kept."""
     asked, docs = asked_and_documents(spark, d)
-    matches = R.ranked(R.bm25(asked, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")]).select("query_id", "doc_id", "rk")
-    return R.diversify(matches.withColumnRenamed("doc_id", "id"), ["query_id"], 8, 0.3, docs.withColumnRenamed("doc_id", "id")).select("query_id", F.col("id").alias("doc_id"), "rk", "pick")
+    return R.diverse_matches(asked, docs, 8, 0.3)
 
 
 def queries() -> dict:

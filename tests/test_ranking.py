@@ -118,3 +118,21 @@ def test_fusion_with_recency_is_that_of_whole_rankings(rows, weight, k):
         want |= {(q, d, n + 1) for n, (_, _, d) in enumerate(fused)}
     got = R.fused_with_recency(asked, docs, "at", weight, k)
     assert {(r["query_id"], r["doc_id"], r["rk"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("some, threshold", [(2, 0.3), (3, 0.6), (500, 0.3), (2, 0.0), (2, 1.0)])
+def test_diverse_matches_are_those_of_the_walk_over_all(rows, some, threshold):
+    asked, docs, pairs = scored(rows)
+    asked = asked.withColumn("terms", F.filter("terms", lambda x: x.isNotNull()))
+    docs = docs.withColumn("terms", F.filter("terms", lambda x: x.isNotNull()))
+    sets = {r["doc_id"]: set(r["terms"]) for r in docs.collect()}
+    pairs = [(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in R.bm25(asked, docs).collect()]
+    want = set()
+    for q in {p[0] for p in pairs}:
+        kept = []
+        for rk, (_, d, _) in enumerate(sorted((p for p in pairs if p[0] == q), key=lambda p: (-p[2], p[1])), 1):
+            if len(kept) < 5 and (threshold >= 1 or all(len(sets[d] & sets[k]) / len(sets[d] | sets[k]) < threshold for k in kept)):
+                kept.append(d)
+                want.add((q, d, rk, len(kept)))
+    got = R.diverse_matches(asked, docs, 5, threshold, some)
+    assert want and {tuple(r) for r in got.select("query_id", "doc_id", "rk", "pick").collect()} == want
