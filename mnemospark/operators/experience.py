@@ -11,6 +11,7 @@ from mnemospark.operators import ranking as R
 from mnemospark.operators.capture import running_max
 from mnemospark.operators.graph import chain_roots
 from mnemospark.operators.views import folded_in_blocks, latest
+from mnemospark.runtime import checkpointed, stored
 
 #: How much an outcome weighs, by its source.
 OUTCOME_WEIGHT = {"verified": 1.0, "tool-evidence": 0.85, "user": 0.9, "model": 0.35, "unknown": 0.0}
@@ -97,28 +98,49 @@ def search_text() -> Column:
     return F.concat_ws("\n", "title", "description", "applicability", "tags", "procedure_steps")
 
 
-def skill_search(queries: DataFrame, skills: DataFrame, limit: int) -> DataFrame:
+def skill_search(queries: DataFrame, skills: DataFrame, limit: int, some: int = 64) -> DataFrame:
     """query_id, id, score, rk: BM25 over the skills given, each hit weighed by rank score times confidence, best ``limit``.
 
     queries: query_id, terms. Filter skills (status, expiry, tools) before: statistics are those of the rows given. A hit
     of the kind and tool context of a selected one whose search text is as similar as duplicates are is skipped; the walk
     over all hits is exact and goes block by block. rk counts the selected ones.
+
+    A hit behind position n has at most the greatest confidence / (61 + n). So the walk goes over those of the first ``some``
+    hits that have more; requests for which it doesn't end there take eight times as many hits, at last all.
     """
-    docs = skills.select(F.col("id").alias("doc_id"), "confidence", "kind", context_key(F.col("required_tools")).alias("context"), tokenize(search_text()).alias("terms"))
-    hits = R.ranked(R.bm25(queries, docs), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "pos")
-    scored = hits.join(docs.drop("terms"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "kind", "context", (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
-    walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")])
+    docs = stored(skills.select(F.col("id").alias("doc_id"), "confidence", "kind", context_key(F.col("required_tools")).alias("context"), tokenize(search_text()).alias("terms")))
+    met = R.Meeting(queries, None, docs)
+    met.requests = requests = checkpointed(met.requests)
+    most_confident = docs.agg(F.max("confidence")).first()[0]
     texts = docs.select(F.col("doc_id").alias("id"), F.array_distinct("terms").alias("terms"))
 
     def step(kept: Column, x: Column) -> Column:
         close = F.exists(kept, lambda y: y["kind"].eqNullSafe(x["kind"]) & (y["context"] == x["context"]) & (similarity(y["terms"], x["terms"], True) >= POLICY["duplicate_similarity"]))
         return F.when((F.size(kept) >= limit) | close, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kinds = dict(walked.dtypes) | {"terms": "array<string>"}
-    fields = ["rk", "id", "score", "kind", "context", "terms"]
-    start = F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in fields)}>>")
-    kept = folded_in_blocks(walked.select("query_id", *fields[:-1]), ["query_id"], "rk", F.struct(*fields), start, step, F.size("state") < limit, attach=lambda part: part.join(texts, "id"))
-    return kept.select("query_id", F.posexplode("state").alias("at", "x")).select("query_id", "x.id", "x.score", (F.col("at") + 1).alias("rk"))
+    out = None
+    while True:
+        whole = some >= met.n
+        hits = R.ranked(met.found(None if whole else some, requests=requests), ["query_id"], [F.round("score", 9).desc(), F.col("doc_id")], "pos")
+        hits = hits if whole else hits.where(F.col("pos") <= some)
+        scored = hits.join(docs.drop("terms"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "kind", "context", (F.col("confidence") / (60 + F.col("pos"))).alias("score"))
+        if not whole:
+            scored = checkpointed(scored)
+            full = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= some).select("query_id", F.lit(True).alias("full"))
+            least = max(most_confident or 0.0, 0.0) / (61 + some) + 2 * R.NEAR
+            scored = scored.join(full, "query_id", "left").where(F.col("full").isNull() | (F.round("score", 9) > least)).drop("full")
+        walked = R.ranked(scored, ["query_id"], [F.round("score", 9).desc(), F.col("id")])
+        kinds = dict(walked.dtypes) | {"terms": "array<string>"}
+        fields = ["rk", "id", "score", "kind", "context", "terms"]
+        start = F.array().cast(f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in fields)}>>")
+        kept = folded_in_blocks(walked.select("query_id", *fields[:-1]), ["query_id"], "rk", F.struct(*fields), start, step, F.size("state") < limit, attach=lambda part: part.join(texts, "id"), size=4 * limit)
+        if not whole:
+            left = checkpointed(full.select("query_id").join(kept.where(F.size("state") >= limit), "query_id", "left_anti"))
+            kept = kept.join(left, "query_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if whole or left.isEmpty():
+            return out.select("query_id", F.posexplode("state").alias("at", "x")).select("query_id", "x.id", "x.score", (F.col("at") + 1).alias("rk"))
+        requests, some = requests.join(left, "query_id", "left_semi"), 8 * some
 
 
 def source_manifest(skills: DataFrame, episodes: DataFrame) -> DataFrame:

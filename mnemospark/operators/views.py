@@ -24,16 +24,16 @@ def current_versions(df: DataFrame) -> DataFrame:
     return latest(df, ["id"], [F.col("version").desc(), F.col("ord")]).where("op = 'put'")
 
 
-def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, start: Column, step, open_: Column, fits: Column | None = None, attach=None, most: int = 1024) -> DataFrame:
+def folded_in_blocks(rows: DataFrame, by: list[str], rank: str, item: Column, start: Column, step, open_: Column, fits: Column | None = None, attach=None, most: int = 1024, size: int = 64) -> DataFrame:
     """by, state: an order-dependent fold over each group's rows by rank, some ranks at a time.
 
-    A group's rows are never gathered as a whole: each round folds the next 64, 256, at last ``most`` of them into the state,
+    A group's rows are never gathered as a whole: each round folds the next ``size``, four times as many, at last ``most`` of them into the state,
     and goes on only with groups for which ``open_`` (on ``state``) still holds. ``fits`` (on a row's columns and ``state``)
     drops rows that can't change the state any more, so a round ends a group or takes something. ``attach`` adds columns that
     ``item`` needs to a round's rows alone. ranks are distinct within a group.
     """
     rows = checkpointed(rows)
-    state, size = None, 64
+    state = None
     while True:
         left = rows
         if state is not None:

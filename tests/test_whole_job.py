@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,25 @@ def test_cooccur_edges_know_actions_used_three_times(spark, rows, tmp_path):
     d = stored(tmp_path, events=rows("event_id long, user_id long, ts timestamp, event_type string", *events))
     got = {(r["from_label"], r["to_label"], r["relation"]) for r in G.cooccur_edges(spark, d).collect()}
     assert got == {("open", "open > read", "part-of"), ("read", "open > read", "part-of"), ("open", "read", "co-occurs")}
+
+
+@pytest.mark.parametrize("some", [1, 2, 500])
+def test_skill_search_ends_with_the_hits_of_the_walk_over_all(rows, some):
+    from mnemospark.operators import ranking as R
+
+    rng = random.Random(4)
+    given = [(f"s{i:02}", "t", " ".join(rng.choice("abcdefgh") for _ in range(4)), rng.choice([None, 0.01, 0.3, 0.9, 0.99]), rng.choice(["x", None])) for i in range(60)]
+    skills = rows("id string, title string, description string, confidence double, kind string, required_tools array<string>, applicability array<string>, tags array<string>, procedure_steps array<string>", *[(*x, None, None, None, None) for x in given])
+    asked = rows("query_id bigint, terms array<string>", (1, ["a", "b"]), (2, ["c"]), (3, ["nothing"]), (4, ["t"]))
+    docs = skills.select(F.col("id").alias("doc_id"), X.tokenize(X.search_text()).alias("terms"))
+    sets, by = {r["doc_id"]: set(r["terms"]) for r in docs.collect()}, {x[0]: x for x in given}
+    want, pairs = set(), R.bm25(asked, docs).collect()
+    for q in {r["query_id"] for r in pairs}:
+        ids = [r["doc_id"] for r in sorted((r for r in pairs if r["query_id"] == q), key=lambda r: (-round(r["score"], 9), r["doc_id"]))]
+        score = {d: None if by[d][3] is None else by[d][3] / (61 + n) for n, d in enumerate(ids)}
+        kept = []
+        for d in sorted(ids, key=lambda d: (score[d] is None, -round(score[d] or 0, 9), d)):
+            if len(kept) < 3 and all(by[k][4] != by[d][4] or len(sets[d] & sets[k]) / len(sets[d] | sets[k]) < 0.85 for k in kept):
+                kept.append(d)
+                want.add((q, d, len(kept)))
+    assert want and {(r["query_id"], r["id"], r["rk"]) for r in X.skill_search(asked, skills, 3, some).collect()} == want
