@@ -112,3 +112,14 @@ def test_skill_search_ends_with_the_hits_of_the_walk_over_all(rows, some):
                 kept.append(d)
                 want.add((q, d, len(kept)))
     assert want and {(r["query_id"], r["id"], r["rk"]) for r in X.skill_search(asked, skills, 3, some).collect()} == want
+
+
+def test_recall_stores_its_cues_without_their_terms(spark, monkeypatch):
+    from mnemospark.operators import recall as Q
+    from mnemospark.plans import experience as E
+
+    written, stored = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df: written.append(df.columns) or stored(df))
+    assert E.recall_diverse(spark, "/root/testdata/sf0.001").count() > 0
+    cues = [c for c in written if "signals" in c]
+    assert cues and not any("terms" in c for c in cues)
