@@ -9,7 +9,7 @@ from mnemospark.operators.cues import ordered
 from mnemospark.plans import experience as E
 
 
-@pytest.mark.parametrize("name", ["recall_filtered", "recall_cues", "recall_scopes"])
+@pytest.mark.parametrize("name", ["recall_filtered", "recall_cues", "recall_scopes", "recall_signals"])
 def test_no_cue_is_shuffled_or_sorted_by_spark(spark, name):
     plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above, found, _ = plan.partition("MapInArrow")
