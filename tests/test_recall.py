@@ -22,3 +22,12 @@ def test_order_is_by_score_to_9_decimals_then_position():
     assert ordered(score, null).tolist() == [3, 4, 0, 2, 1, 7, 6, 5]
     assert ordered(score[:3]).tolist() == [0, 2, 1] and ordered(score[:0]).tolist() == []
     assert ordered(np.array([1e12, 2e12, 1e12])).tolist() == [1, 0, 2]
+
+
+def test_recall_diverse_stores_only_what_the_walk_picks(spark, monkeypatch):
+    from mnemospark.operators import recall as Q
+
+    written, stored = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df: written.append(df.columns) or stored(df))
+    assert E.recall_diverse(spark, "/root/testdata/sf0.001").count() > 0
+    assert written and all("pick" in c for c in written if "signals" in c)
